@@ -24,6 +24,7 @@ SHARDS = 24
 CHUNKS = 8
 ROUNDS = 4
 FILL = 0.98
+LEAST_ROOM = 0.02
 PASSES = 3
 NEAR = 1.001
 RANGE_ROWS = 50_000
@@ -57,10 +58,10 @@ def propagate(units: DataFrame, target: float, shards: int, rounds: int) -> Data
     """``units`` (grp, chunk, bytes, shard) after label propagation under quotas of ``target`` bytes."""
     for _ in range(rounds):
         room = [max(0, int(FILL * target) - x) for x in _loads(units, "bytes", shards)]
-        if not any(room):
+        if max(room) <= LEAST_ROOM * target:
             break
         here = F.sum("bytes").over(Window.partitionBy("grp", "shard"))
-        wanted = F.max(F.when(_lookup([x > 0 for x in room], F.col("shard")), F.struct("here", (-F.col("shard")).alias("label")))).over(Window.partitionBy("grp"))
+        wanted = F.max(F.when(_lookup([x > LEAST_ROOM * target for x in room], F.col("shard")), F.struct("here", (-F.col("shard")).alias("label")))).over(Window.partitionBy("grp"))
         aim = units.withColumn("here", here).withColumn("wanted", wanted)
         better = (F.col("wanted.here") > F.col("here")) | ((F.col("wanted.here") == F.col("here")) & (-F.col("wanted.label") < F.col("shard")))
         aim = aim.withColumn("dest", F.when(better, -F.col("wanted.label")).otherwise(F.lit(-1)))
