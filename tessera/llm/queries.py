@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, language_id, line_frequency, mixing, packing, sharding, shared, token_counts
+from . import ann, chat, jaccard_join, language_id, line_frequency, mixing, packing, sharding, shared, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeated(docs, with_text=False)
+
+
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.replicate(docs, mixing.rates(docs))
@@ -105,6 +110,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op8_poisson_mixing, op9_token_counts)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.JaccardJoin(_table(spark, sf_dir, "documents")).documents()
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, op10_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}

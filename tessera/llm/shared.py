@@ -56,3 +56,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, most: int = 500) -> None:
+    """Fewer rows an Arrow batch, so that a batch of very long texts fits a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
