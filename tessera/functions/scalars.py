@@ -14,7 +14,7 @@ IGNORED_FOLDERS = (".git", "node_modules", "dist", "build", "target", "__pycache
 CHANGE_WORDS = ("add ", "adding ", "change ", "changing ", "modify", "modification", "which files need", "affected files", "impact", "risk", "新增", "增加", "修改", "改哪些", "需要改", "影响", "风险", "字段")
 TRACE_WORDS = ("come from", "comes from", "data flow", "call chain", "call relationship", "frontend backend", "front-end back-end", "trace", "数据从哪里", "数据来源", "调用链", "调用关系", "链路", "前后端", "追踪")
 TRUNCATED = " [truncated]"
-LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 CJK_CLASS = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}\x{3000}-\x{30FF}\x{FF00}-\x{FFEF}\x{AC00}-\x{D7AF}"
 BEARER = r"(?i)(\bBearer\s+)[A-Za-z0-9._~+/=-]+"
 ASSIGNED = r"(?i)(\b(?:api[_-]?key|authorization|access[_-]?token|token|password|secret)\s*[:=]\s*)[^\s,;]+"
@@ -28,7 +28,7 @@ def language_of(path: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Lines as text editors count them: any Unicode line break, none after the last one."""
-    body = F.regexp_replace(text, f"(?:{LINE_BREAK})$", "")
+    body = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
     return F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(F.concat(body, F.lit("x")), LINE_BREAK, -1)))
 
 
