@@ -47,7 +47,7 @@ def normalize_api_path(url: Column) -> Column:
 
 
 def join_paths(base: Column, path: Column) -> Column:
-    parts = F.filter(F.array(F.trim(F.lit("/"), base), F.trim(F.lit("/"), path)), lambda s: s != "")
+    parts = F.filter(F.array(F.trim(base, F.lit("/")), F.trim(path, F.lit("/"))), lambda s: s != "")
     return F.concat(F.lit("/"), F.array_join(parts, "/"))
 
 
