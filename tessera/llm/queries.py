@@ -117,4 +117,53 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, op10_jaccard_join)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_FOLD = "regexp_replace(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]', '0', 'g')"
+_ESCAPED = "replace(replace(replace(replace({0}, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e'), ': ', '\\c')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_frequency": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+lines AS (SELECT r, host, t, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS line FROM d),
+folded AS (SELECT r, host, t, line, {_FOLD.format("line")} AS f, len({_WORDS.format("line")}) AS k FROM lines),
+held AS (SELECT host, f, count(DISTINCT t) AS n FROM folded GROUP BY ALL), hosts AS (SELECT host, count(DISTINCT t) AS h FROM d GROUP BY host),
+bad AS (SELECT host, f FROM held JOIN hosts USING (host) WHERE n > {line_frequency.MIN_DOCS} AND n > h * {line_frequency.SHARE}),
+gone AS (SELECT r, sum(k) AS g FROM folded JOIN bad USING (host, f) GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+pos AS (SELECT r, w, generate_subscripts(w, 1) AS i FROM d),
+gram AS (SELECT r, i, w[i:i + 2] AS g FROM pos WHERE i <= len(w) - 2),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM gram) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r),
+base AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(g, 0) AS g FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (g > 0 AND n_words - g < n_words * {line_frequency.MIN_LEFT}) AS kept FROM v""",
+    "op6_chat_format": f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{HARD}' FROM range(2) t(i)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('### ' || {_ESCAPED.format("role")} || ': ' || {_ESCAPED.format("text")} || '</turn>' || chr(10)))::BIGINT AS formatted_chars FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op7_suffix_automata": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), pos AS (SELECT r, w, generate_subscripts(w, 1) AS i FROM d),
+win AS (SELECT r, i, hash(w[i:i + 34]) AS h FROM pos WHERE i <= len(w) - 34),
+twice AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+out_ AS (SELECT r, list(j) AS gone FROM twice GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(list_transform(list_filter(list_transform(w, lambda x, i: {{'x': x, 'i': i}}), lambda p: NOT coalesce(list_contains(gone, p.i), false)), lambda p: p.x), ' '), '')) AS kept_sha256 FROM d LEFT JOIN out_ USING (r)""",
+    "op8_poisson_mixing": f"""
+WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), t AS (SELECT source, round((SELECT sum(n) FROM s)::DOUBLE * pow(n::DOUBLE, {mixing.TEMPERATURE}) / (SELECT sum(pow(n::DOUBLE, {mixing.TEMPERATURE})) FROM s) / n, 9) AS rate FROM s),
+u AS (SELECT d.*, rate, ('0x' || substr(md5('{mixing.SEED}:' || doc_id || ':1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents d JOIN t USING (source)),
+c AS (SELECT *, len(list_filter(range(0, 60), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(i * ln(rate) - rate - lgamma(i + 1.0)))) <= u))::INT AS copies FROM u)
+SELECT doc_id, text, lang, source, n_chars, copies, copy::INT AS copy, md5('{mixing.SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM c WHERE copies > 0)""",
+    "op9_token_counts": """
+WITH f AS (SELECT *, coalesce(text, '') AS t FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+e AS (SELECT source, lang, 'blank-1' AS tokenizer, length(t) - length(replace(t, ' ', '')) + 1 + length(t) - length(replace(t, chr(10), '')) AS tokens FROM f UNION ALL SELECT source, lang, 'quarter-1', (strlen(t) + 3) // 4 FROM f)
+SELECT source, lang, tokenizer, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM e GROUP BY ALL""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS g FROM d),
+k AS (SELECT doc_id, hash(g) AS h FROM s), z AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id FROM d LEFT JOIN z ON z.doc_id = d.doc_id""",
+}
