@@ -137,3 +137,52 @@ def stratified_subset(cases: Sequence[dict], size: int) -> list[str]:
     if missing:
         raise ValueError(f"strata not covered: {sorted(map(str, missing))}")
     return sorted(chosen)
+
+
+def citation_metrics(records: DataFrame) -> DataFrame:
+    """One row over answers (answer, references array<struct<citation, file_path>>, gold_files): micro precision
+    and recall of cited files, and the shares of cited numbers and of files that exist."""
+    cited = F.transform(F.regexp_extract_all("answer", F.lit(r"(?<!\w)\[(\d+)\]"), 1), lambda x: x.cast("int"))
+    known = F.transform("references", lambda r: r["citation"])
+    r = records.withColumn("cited", F.array_distinct(cited)).withColumn("valid", F.array_intersect("cited", known))
+    files = F.array_distinct(F.transform(F.filter("references", lambda x: F.array_contains("valid", x["citation"])), lambda x: x["file_path"]))
+    r = r.withColumn("files", files)
+    over = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b)).otherwise(0.0)
+    hit = F.size(F.array_intersect("files", "gold_files"))
+    return r.agg(
+        over(hit, F.size("files")).alias("precision"), over(hit, F.size(F.array_distinct("gold_files"))).alias("recall"),
+        over(F.size("valid"), F.size("cited")).alias("id_validity"), F.avg((F.size("cited") > 0).cast("double")).alias("cites_at_all"),
+    )
+
+
+def refusal_metrics(records: DataFrame) -> DataFrame:
+    """One row over answers (answer, status, uncertainties, source_answerable, system_answerable, expected_uncertainties)."""
+    r = records.withColumn("refused", refused(F.col("answer"), F.col("status"), F.col("uncertainties")))
+    share = lambda where: F.coalesce(F.round(F.avg(F.when(where, F.col("refused").cast("double"))), 4), F.lit(0.0))
+    can = F.coalesce(F.col("source_answerable"), F.lit(True))
+    unsure = (F.coalesce(F.col("system_answerable"), F.lit("")) != "full") | (F.coalesce(F.size("expected_uncertainties"), F.lit(0)) > 0)
+    told = F.coalesce(F.round(F.avg(F.when(unsure, (F.coalesce(F.size("uncertainties"), F.lit(0)) > 0).cast("double"))), 4), F.lit(0.0))
+    return r.agg(
+        F.count_if(~can).alias("unanswerable"), share(~can).alias("refusal_rate"), F.count_if(can).alias("answerable"), share(can).alias("over_refusal_rate"),
+        share(can & (F.col("system_answerable") == "full")).alias("over_refusal_full"), F.count_if(unsure).alias("uncertain"), told.alias("uncertainty_compliance"),
+    )
+
+
+def repair_summary(events: DataFrame) -> DataFrame:
+    """One row over response events (case_id, phase, ok): cases with a repair, and those it helped."""
+    by = events.groupBy("case_id").agg(F.max((F.col("phase") == "repair").cast("int")).alias("tried"), F.max(((F.col("phase") == "repair") & F.col("ok")).cast("int")).alias("helped"))
+    return by.agg(F.sum("tried").alias("attempted"), F.sum("helped").alias("succeeded"), (F.sum("tried") - F.sum("helped")).alias("failed"))
+
+
+def comparable(own: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: whether two runs have one identity each, the same in both (columns ``keys``)."""
+    one = lambda df, name: df.select(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("k")).agg(F.collect_set("k").alias(name))
+    both = one(own, "a").crossJoin(one(other, "b"))
+    same = (F.size("a") == 1) & (F.col("a") == F.col("b"))
+    return both.select(F.when(same, "comparable").otherwise("not_comparable").alias("verdict"))
+
+
+def reconciliation(counts: DataFrame) -> DataFrame:
+    """Rows (name, total, parts array<long>) whose parts don't add up."""
+    parts = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return counts.withColumn("sum", parts).filter("sum <> total")

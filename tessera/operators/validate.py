@@ -144,3 +144,60 @@ def schema_errors(records: DataFrame, schema: dict, column: str = "value") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(errors, pa.string())], ["line", "error"])
 
     return records.select(F.col("line").cast("long").alias("line"), column).mapInArrow(run, "line long, error string")
+
+
+def snapshot_rules(cases: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Violations of gold data against a snapshot: indexed keys and edges that aren't there, unindexed items
+    without a reason, must-recall items that aren't indexed, and chains that don't match their edges."""
+    gold = cases.select("question_id", "system_answerable", F.explode("gold_entities").alias("e")).select("question_id", "system_answerable", "e.*")
+    known = entities.select("stable_entity_key").distinct()
+    lost = gold.filter("indexed_in_system").join(known, "stable_entity_key", "left_anti")
+    edge = cases.select("question_id", "chain_complete", F.explode("gold_edges").alias("e")).select("question_id", "chain_complete", "e.*")
+    triple = ["source_key", "target_key", "relation_type"]
+    gone = edge.filter("indexed_in_system").join(relations.select(*triple).distinct(), triple, "left_anti")
+    chain = edge.groupBy("question_id").agg(F.min(F.col("indexed_in_system").cast("int")).alias("all"), F.max(F.col("chain_complete").cast("int")).alias("said"))
+    unexplained = ~F.col("indexed_in_system") & (F.coalesce(F.col("missing_reason"), F.lit("")) == "")
+    return all_of(
+        [
+            violations(lost, "indexed_entity_missing", "question_id", F.lit(True), F.col("stable_entity_key")),
+            violations(gone, "indexed_edge_missing", "question_id", F.lit(True), F.concat_ws(">", "source_key", "target_key")),
+            violations(gold, "unindexed_without_reason", "question_id", unexplained, F.col("stable_entity_key")),
+            violations(gold, "full_with_unindexed", "question_id", ~F.col("indexed_in_system") & (F.col("system_answerable") == "full"), F.col("stable_entity_key")),
+            violations(gold, "must_recall_unindexed", "question_id", ~F.col("indexed_in_system") & (F.col("relevance") == "must_recall"), F.col("stable_entity_key")),
+            violations(chain, "chain_disagrees", "question_id", F.col("all") != F.col("said")),
+        ]
+    )
+
+
+def mark_membership(cases: DataFrame, entities: DataFrame) -> DataFrame:
+    """``cases`` (question_id, gold_entities) with each entity's indexed flag and missing reason set from the snapshot."""
+    item = cases.select("question_id", F.posexplode("gold_entities").alias("place", "e"))
+    known = entities.select(F.col("stable_entity_key").alias("k")).distinct().withColumn("there", F.lit(True))
+    found = item.join(known, F.col("e.stable_entity_key") == F.col("k"), "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    reason = F.when(F.col("there"), None).otherwise(F.coalesce(F.col("e.missing_reason"), F.lit("not_in_snapshot")))
+    fixed = found.withColumn("e", F.col("e").withField("indexed_in_system", F.col("there")).withField("missing_reason", reason))
+    listed = fixed.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "e"))), lambda x: x["e"]).alias("fixed"))
+    return cases.join(listed, "question_id", "left").withColumn("gold_entities", F.coalesce("fixed", "gold_entities")).drop("fixed")
+
+
+def manifest_errors(manifest: dict) -> list[str]:
+    """Errors of a manifest's repositories: ids, addresses, commits, states, counts and licences."""
+    import re
+
+    out, seen = [], set()
+    for i, repo in enumerate(manifest.get("repositories") or []):
+        name = repo.get("repo_id") or f"#{i}"
+        commit, state = str(repo.get("commit_sha") or ""), repo.get("status")
+        counts = [repo.get(k) for k in ("file_count", "line_count")]
+        rules = [
+            ("repo_id is missing", not repo.get("repo_id")), ("repo_id occurs twice", name in seen),
+            ("url is no https address", not re.fullmatch(r"https://[^\s/]+/\S+", str(repo.get("url") or ""))),
+            ("commit_sha is not 40 hex digits", bool(commit) and not re.fullmatch(r"[0-9a-f]{40}", commit)),
+            ("status is unknown", state not in ("planned", "cloned", "verified", "rejected")),
+            ("a cloned repository needs a commit", state in ("cloned", "verified") and not commit),
+            ("a verified repository needs its counts", state == "verified" and not all(isinstance(c, int) and not isinstance(c, bool) and c >= 0 for c in counts)),
+            ("license is missing", not repo.get("license")), ("language is missing", not repo.get("language")),
+        ]
+        out += [f"{name}: {text}" for text, bad in rules if bad]
+        seen.add(name)
+    return out

@@ -180,3 +180,48 @@ def test_records(spark, tmp_path):
     assert records.parse_manifest(text) == want
     (tmp_path / "m.yml").write_text(text)
     assert records.read_manifest(spark, str(tmp_path / "m.yml")) == want
+
+
+def test_redaction_and_point_ids(spark):
+    import json
+
+    from tessera.functions import redaction
+
+    assert [redaction.is_secret_key(k) for k in ("apiKey", "token", "accessToken", "token_count", "x-session-token", "name", "clientSecret")] == [True, True, True, False, True, False, True]
+    assert redaction.clean_url("https://u:p@h/x?key=1&a=2&api_key=3#token=z&b=1") == "https://h/x?a=2#b=1"
+    df = spark.createDataFrame([('{"a": {"password": 1, "b": ["https://u@h/"]}}',), ("no",), (None,)], "t string")
+    got = [r.c for r in df.select(redaction.clean_json("t").alias("c")).collect()]
+    assert json.loads(got[0]) == {"a": {"b": ["https://h/"]}} and got[1:] == [None, None]
+    assert spark.range(1).select(redaction.point_id(F.lit("https://x/1")).alias("p")).first().p == str(__import__("uuid").uuid5(__import__("uuid").NAMESPACE_URL, "https://x/1"))
+
+
+def test_answer_metrics(spark):
+    refs = "array<struct<citation:int,file_path:string>>"
+    rows = [("See [1] and [9]", [(1, "a"), (2, "b")], ["a", "c"]), ("none", [(1, "a")], ["a"])]
+    m = metrics.citation_metrics(spark.createDataFrame(rows, f"answer string, references {refs}, gold_files array<string>")).first()
+    assert (m.precision, m.recall, m.id_validity, m.cites_at_all) == (1.0, 1 / 3, 0.5, 0.5)
+    ddl = "answer string, status string, uncertainties array<string>, source_answerable boolean, system_answerable string, expected_uncertainties array<string>"
+    rows = [("cannot determine", "ok", ["x"], False, "full", []), ("fine", "ok", [], True, "full", []), ("fine", "error", [], True, "partial", ["u"])]
+    m = metrics.refusal_metrics(spark.createDataFrame(rows, ddl)).first()
+    assert (m.unanswerable, m.refusal_rate, m.answerable, m.over_refusal_rate, m.over_refusal_full, m.uncertain, m.uncertainty_compliance) == (1, 1.0, 2, 0.5, 0.0, 1, 0.0)
+    r = metrics.repair_summary(spark.createDataFrame([(1, "initial", False), (1, "repair", True), (2, "initial", True), (3, "repair", False)], "case_id int, phase string, ok boolean")).first()
+    assert tuple(r) == (2, 1, 1)
+    one = spark.createDataFrame([("a", 1)], "run string, n int")
+    assert metrics.comparable(one, one, ["run"]).first().verdict == "comparable"
+    assert metrics.reconciliation(spark.createDataFrame([("x", 3, [1, 2]), ("y", 3, [1])], "name string, total long, parts array<long>")).count() == 1
+
+
+def test_snapshot_rules_and_manifests(spark):
+    ent = "array<struct<stable_entity_key:string,indexed_in_system:boolean,missing_reason:string,relevance:string>>"
+    edge = "array<struct<source_key:string,target_key:string,relation_type:string,indexed_in_system:boolean>>"
+    rows = [("q", "full", True, [("k1", True, None, "must_recall"), ("k2", True, None, "x"), ("k3", False, None, "must_recall")], [("k1", "k2", "T", True), ("k1", "k3", "T", False)])]
+    cases = spark.createDataFrame(rows, f"question_id string, system_answerable string, chain_complete boolean, gold_entities {ent}, gold_edges {edge}")
+    entities = spark.createDataFrame([("k1",)], "stable_entity_key string")
+    relations = spark.createDataFrame([], "source_key string, target_key string, relation_type string")
+    got = sorted(r.rule for r in validate.snapshot_rules(cases, entities, relations).collect())
+    assert got == ["chain_disagrees", "full_with_unindexed", "indexed_edge_missing", "indexed_entity_missing", "must_recall_unindexed", "unindexed_without_reason"]
+    fixed = validate.mark_membership(cases, entities).first().gold_entities
+    assert [(e.indexed_in_system, e.missing_reason) for e in fixed] == [(True, None), (False, "not_in_snapshot"), (False, "not_in_snapshot")]
+    good = {"repo_id": "a", "url": "https://h/x", "commit_sha": "a" * 40, "status": "verified", "file_count": 1, "line_count": 2, "license": "MIT", "language": "java"}
+    assert validate.manifest_errors({"repositories": [good]}) == []
+    assert len(validate.manifest_errors({"repositories": [good, {**good, "url": "x", "commit_sha": "", "file_count": None}]})) == 4
