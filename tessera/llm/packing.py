@@ -15,6 +15,11 @@ times 2**33 plus a counter.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,67 +69,72 @@ class LevelArray:
             self.at.setdefault(level, []).append(window)
 
 
-class WordCache:
-    """Token ids of a text by way of its blank-separated words.
+class TokenCache:
+    """Token ids of texts as little-endian bytes, by way of a table of pieces seen before.
 
-    Valid for tokenizers whose pieces never span a blank or newline.  Ids of words up to
-    ``longest`` characters are kept; the cache starts anew after ``most`` words.
+    For tokenizers that lower-case, cut at letters, single digits and runs of other signs, and map
+    bytes to letters before their merges.  Where a text has code points up to U+00FF only, these
+    steps are done here and each new piece goes straight to the merges; other blank-separated words,
+    and texts that hold special tokens, go to the tokenizer itself.  Pieces of up to ``longest``
+    characters are kept, and the table starts anew after ``most`` of them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000, longest: int = 48) -> None:
-        self.encode, self.most, self.longest = encode, most, longest
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
-
-    def add(self, new: list[str]) -> None:
-        for word, ids in zip(new, self.encode(new), strict=True):
-            k = len(self.index)
-            if k >= len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.index[word], self.start[k], self.size[k] = k, self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-
-    def ids(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        if len(self.index) > self.most:
-            self.clear()
-        get = self.index.get
-        found = [get(x, -1) for x in parts]
-        if -1 in found:
-            new = list(dict.fromkeys(x for x, k in zip(parts, found, strict=True) if k < 0))
-            if any(len(x) > self.longest for x in new):
-                return self.once(parts)
-            self.add(new)
-            found = [self.index[x] for x in parts]
-        at = np.array(found, dtype=np.int64)
-        return self.gather(at)
-
-    def gather(self, at: np.ndarray) -> np.ndarray:
-        size = self.size[at]
-        ends = np.cumsum(size)
-        if not len(ends) or not ends[-1]:
-            return np.empty(0, np.uint32)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - size), size)]
-
-    def once(self, parts: list[str]) -> np.ndarray:
-        """A text that holds long words: these are encoded by themselves and not kept."""
-        out, run = [], []
-        for x in parts:
-            if len(x) > self.longest:
-                out += [self.ids(" ".join(run)), np.array(self.encode([x])[0], dtype=np.uint32)]
-                run = []
-            else:
-                run.append(x)
-        return np.concatenate([*out, self.ids(" ".join(run))])
+    SPECIAL = "<|"
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa00-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
+
+    def __init__(self, tokenizer, most: int = 400_000, longest: int = 48) -> None:
+        self.tokenizer, self.model, self.most, self.longest = tokenizer, tokenizer.model, most, longest
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.known: dict[str, bytes] = {}
+
+    def piece(self, x: str) -> bytes:
+        mapped = x if x.isascii() and x.isalpha() else "".join([self.letter[b] for b in x.encode()])
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def whole(self, x: str) -> bytes:
+        return array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
+
+    def fill(self, pieces: list[str]) -> bytes:
+        known, out = self.known, []
+        for x in pieces:
+            ids = known.get(x)
+            if ids is None:
+                ids = self.piece(x)
+                if len(x) <= self.longest:
+                    known[x] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def latin(self, text: str) -> bytes:
+        pieces = self.PIECE.findall(text.lower())
+        try:
+            return b"".join([self.known[x] for x in pieces])
+        except KeyError:
+            if len(self.known) > self.most:
+                self.known.clear()
+            return self.fill(pieces)
+
+    def ids(self, text: str) -> bytes:
+        if self.SPECIAL in text:
+            return self.whole(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join([self.latin(x) if x.isascii() else self.whole(x) for x in text.replace("\n", " ").split(" ")])
+        return self.latin(text)
+
+
+def _cache(path: str) -> TokenCache:
+    """One table for each Python worker and tokenizer file, kept from task to task."""
+    from tokenizers import Tokenizer
+
+    kept = sys.modules.setdefault("_tessera_token_caches", types.ModuleType("_tessera_token_caches"))
+    if path not in vars(kept):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        vars(kept)[path] = TokenCache(Tokenizer.from_file(path))
+    return vars(kept)[path]
 
 
 class Packer:
@@ -175,23 +185,21 @@ class Packer:
 
 def _pack(path: str, end_id: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        cache = WordCache(lambda new: [x.ids for x in tokenizer.encode_batch(new, add_special_tokens=False)])
+        cache = _cache(path)
         packer = Packer(TaskContext.get().partitionId() << 33, window)
         names = [x.split()[0] for x in PIECES.split(", ")]
+        end = np.array([end_id], dtype="<u4").tobytes()
 
         def batch(pieces: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*pieces, strict=True))
-            cols[3] = [x.astype("<u4").tobytes() for x in cols[3]]
+            cols[3] = [x.tobytes() for x in cols[3]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(cols)], names)
 
         done: list[tuple] = []
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text")
             for i in range(b.num_rows):
-                found = np.append(cache.ids(texts[i].as_py() or ""), np.uint32(end_id))
+                found = np.frombuffer(cache.ids(texts[i].as_py() or "") + end, dtype="<u4")
                 for piece in packer.add(ids[i].as_py(), found):
                     done.append(piece)
                     if len(done) >= 1024:
@@ -211,4 +219,5 @@ def _pack(path: str, end_id: int, window: int) -> Callable[[Iterator[pa.RecordBa
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
     """Pieces of ``docs`` in windows: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     shared.shared_dir(docs.sparkSession)
+    shared.bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(tokenizer_path, end_id, window), PIECES)
