@@ -9,9 +9,10 @@ shingles' posting lists: more levels, longer prefixes, but more shared shingles
 pair is verified on whole sets.
 
 Equal sets collapse before, so copies make no pairs.  Within a posting list sets are first linked
-along a chain (by size), which is linear; only members of different components are paired after
-that, so a list of near copies doesn't make all its pairs, and no link between different components
-is lost.
+with the list's pivot (the set with the fewest rarer shingles) and along a chain, which is linear;
+only members of different components are paired after that, and only where both prefixes of the
+pair's own required overlap hold the shingle and parity signatures allow it, so a list of near copies doesn't make all its pairs, and
+no link between different components is lost.
 
 Null or wordless text has an empty set and links with nothing; rows that repeat are one set; documents
 without an id link like others but lend no id; an empty table gives no rows.
@@ -35,6 +36,7 @@ VERIFY_COST = 50
 FREQUENT = 1 << 20
 CHAIN = 500
 FLUSH = 1 << 21
+SIGNATURE = [f"s{i}" for i in range(8)]
 
 
 def sets_of(value: np.ndarray, word_off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +62,21 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
         return int(signed(mix(s).sum(dtype=np.uint64, keepdims=True))[0]), int(signed(mix(s ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64, keepdims=True))[0])
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """512 bits: the parity of the shingles in each hash class.
+
+    Sets that differ in d shingles differ in at most d bits.
+    """
+    bits = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _facts(n: int):
     """Per row its set's identity and size; per task the number of rows that hold each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
-        names = ["key", "doc_id", "n", "a", "b"]
+        names = ["key", "doc_id", "n", "a", "b", *SIGNATURE]
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +88,10 @@ def _facts(n: int):
             code, stop = sets_of(value, word_off, n)
             size, first, second = [], [], []
             seen = []
+            signs = np.zeros((part.num_rows, len(SIGNATURE)), np.int64)
             for i in range(part.num_rows):
                 s = np.unique(code[word_off[i] : stop[i]])
+                signs[i] = signature(s)
                 one, two = _identity(s) if len(s) else (None, None)
                 size.append(len(s))
                 first.append(one)
@@ -91,7 +104,7 @@ def _facts(n: int):
                 if len(held[0][0]) > FLUSH // 2:
                     yield _counts(*held[0], names)
                     held = []
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), *(pa.array(x) for x in signs.T.copy())], names)
         if held:
             yield _counts(*merged(), names)
 
@@ -101,7 +114,7 @@ def _facts(n: int):
 def _counts(word: np.ndarray, count: np.ndarray, names: list[str]) -> pa.RecordBatch:
     """Word counts in the rows' schema: n below zero marks them."""
     nothing = pa.nulls(len(word), pa.int64())
-    return pa.RecordBatch.from_arrays([nothing, nothing, pa.array(-count), pa.array(signed(word)), nothing], names)
+    return pa.RecordBatch.from_arrays([nothing, nothing, pa.array(-count), pa.array(signed(word)), nothing, *[nothing] * len(SIGNATURE)], names)
 
 
 def _postings(n: int, percent: int, buckets: int, order):
@@ -202,7 +215,7 @@ def _verify(percent: int):
 
 def _pairs(left: DataFrame, asked) -> DataFrame:
     """Pairs with at least as many shared prefix shingles as the smaller of their levels."""
-    return left.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter(asked).select("a", "b")
+    return left.groupBy("a", "b").agg(F.count_distinct("token").alias("shared"), F.min("need").alias("need")).filter(asked).select("a", "b")
 
 
 class JaccardJoin:
@@ -214,7 +227,7 @@ class JaccardJoin:
         shared.bounded_batches(self.spark)
         text = F.col("text").cast("string")
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-        found = shared.settle(self.docs.mapInArrow(_facts(n), "key long, doc_id long, n long, a long, b long"), "facts")
+        found = shared.settle(self.docs.mapInArrow(_facts(n), "key long, doc_id long, n long, a long, b long, " + ", ".join(f"{x} long" for x in SIGNATURE)), "facts")
         self.facts = found.filter("n >= 0")
         self.words = found.filter("n < 0")
 
@@ -235,9 +248,9 @@ class JaccardJoin:
         costs = [F.sum(F.when(F.col("place") < base + l, F.col("df") - 1).otherwise(0)).alias(f"c{l}") for l in range(1, LEVELS + 1)]
         cost = lambda l: F.col(f"c{l}") * (1 + VERIFY_COST / l)
         best = F.array_min(F.array(*[F.struct(cost(l).alias("cost"), F.lit(l).alias("level")) for l in range(1, LEVELS + 1)]))["level"]
-        level = live.groupBy("owner").agg(*costs).select("owner", best.alias("level"))
+        level = live.groupBy("owner").agg(F.min("place").alias("rarer"), *costs).select("owner", "rarer", best.alias("level"))
         kept = live.join(level, "owner").filter(F.col("place") < base + F.col("level"))
-        return shared.settle(kept.select("token", "owner", "size", F.least("level", F.col("size").cast("int")).alias("level"), "df"), "prefixes")
+        return shared.settle(kept.select("token", "owner", "size", "place", "rarer", F.least("level", F.col("size").cast("int")).alias("level"), "df"), "prefixes")
 
     def _links(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(verified links, all pairs looked at)."""
@@ -250,28 +263,55 @@ class JaccardJoin:
         checked = shared.settle(two.select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long, good boolean"), "checked")
         return checked.filter("good").select("a", "b"), pairs
 
+    def _overlap(self):
+        """Shingles that two sets must share."""
+        return F.ceil((F.col("size1") + F.col("size2")) * self.percent / (100.0 + self.percent) - 1e-9)
+
+    def _most_apart(self):
+        """Shingles that two linked sets may differ in."""
+        return F.col("size1") + F.col("size2") - 2 * self._overlap()
+
+    def _may_link(self):
+        """Whether two sets that meet in a prefix shingle can reach the similarity there.
+
+        Together they need an overlap of ``most`` shingles, so the shingle must lie in both prefixes of
+        size - most + level, which are shorter than either set's own prefix, and sizes must be near.
+        """
+        p = self.percent
+        low, high = F.least("size1", "size2"), F.greatest("size1", "size2")
+        most = self._overlap()
+        level = F.least("level1", "level2")
+        inside = (F.col("place1") < F.col("size1") - most + level) & (F.col("place2") < F.col("size2") - most + level)
+        return (F.col("owner1") != F.col("owner2")) & (low * 100 >= high * p) & inside
+
+    @staticmethod
+    def _pair() -> list:
+        return [F.least("owner1", "owner2").alias("a"), F.greatest("owner1", "owner2").alias("b"), F.least("level1", "level2").alias("need"), "token"]
+
     def set_components(self) -> DataFrame:
         """node, root of the sets that link with a different set."""
         prefixes = self._postings()
+        cells = ("owner", "size", "place", "level")
+        me = lambda i: [F.col(c).alias(f"{c}{i}") for c in cells]
+        pivot = shared.settle(prefixes.groupBy("token").agg(F.min(F.struct("rarer", "size", "owner", "place", "level")).alias("p")), "pivots")
+        star = prefixes.select("token", *me(1)).join(pivot.select("token", *[F.col(f"p.{c}").alias(f"{c}2") for c in cells]), "token")
         salt = F.pmod(F.xxhash64("owner", "token"), F.ceil(F.col("df") / CHAIN).cast("long"))
-        chain = Window.partitionBy("token", salt).orderBy("size", "owner")
-        back = prefixes.withColumn("o", F.lag("owner").over(chain)).withColumn("l", F.lag("level").over(chain)).withColumn("s", F.lag("size").over(chain))
-        near = F.col("s") * 100 >= F.col("size") * self.percent
-        step = back.filter(F.col("o").isNotNull() & near).select(F.least("owner", "o").alias("a"), F.greatest("owner", "o").alias("b"), F.least("level", "l").alias("need"))
+        chain = Window.partitionBy("token", salt).orderBy("rarer", "size", "owner")
+        back = prefixes.select("token", *me(1), *[F.lag(c).over(chain).alias(f"{c}2") for c in cells]).filter("owner2 is not null")
+        step = star.unionByName(back).filter(self._may_link()).select(*self._pair())
         links, seen = self._links(_pairs(step, "shared >= need"))
         roots = shared.settle(components(links), "roots")
         # what is left: pairs of different components that share a prefix shingle
-        placed = prefixes.join(roots, F.col("owner") == F.col("node"), "left").select("token", "owner", "size", "level", F.coalesce("root", "owner").alias("root"))
+        placed = prefixes.join(roots, F.col("owner") == F.col("node"), "left").select("token", *cells, F.coalesce("root", "owner").alias("root"))
         placed = shared.settle(placed, "placed")
         open_ = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("token")
         open_ = shared.settle(placed.join(open_, "token"), "open")
-        x, y = (open_.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("owner", "size", "level", "root")]) for i in (1, 2))
-        met = x.join(y, "token").filter(
-            (F.col("root1") != F.col("root2"))
-            & ((F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("owner1") < F.col("owner2"))))
-            & (F.col("size1") * 100 >= F.col("size2") * self.percent)
-        )
-        step = met.select(F.least("owner1", "owner2").alias("a"), F.greatest("owner1", "owner2").alias("b"), F.least("level1", "level2").alias("need"))
+        signs = self.facts.join(open_.select("owner").distinct(), F.col("a") == F.col("owner"), "left_semi").groupBy(F.col("a").alias("owner")).agg(*[F.max(c).alias(c) for c in SIGNATURE])
+        open_ = shared.settle(open_.join(signs, "owner"), "signed")
+        x, y = (open_.select("token", *me(i), F.col("root").alias(f"root{i}"), *[F.col(c).alias(f"{c}_{i}") for c in SIGNATURE]) for i in (1, 2))
+        apart = sum((F.bit_count(F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))) for c in SIGNATURE), F.lit(0))
+        once = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("owner1") < F.col("owner2")))
+        step = x.join(y, "token").filter((F.col("root1") != F.col("root2")) & once & self._may_link() & (apart <= self._most_apart())).select(*self._pair())
         rest = _pairs(step, "shared >= need").join(seen, ["a", "b"], "left_anti")
         more, _ = self._links(rest)
         return shared.settle(components(links.unionByName(more)), "roots")
