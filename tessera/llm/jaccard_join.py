@@ -36,7 +36,7 @@ VERIFY_COST = 50
 FREQUENT = 1 << 20
 CHAIN = 500
 FLUSH = 1 << 21
-SIGNATURE = [f"s{i}" for i in range(8)]
+SIGNATURE = [f"s{i}" for i in range(32)]
 
 
 def sets_of(value: np.ndarray, word_off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,11 +63,11 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """512 bits: the parity of the shingles in each hash class.
+    """2048 bits: the parity of the shingles in each hash class.
 
     Sets that differ in d shingles differ in at most d bits.
     """
-    bits = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    bits = np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=2048) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -257,7 +257,7 @@ class JaccardJoin:
         pairs = shared.settle(pairs, "pairs")
         owners = pairs.select(F.col("a").alias("owner")).unionByName(pairs.select(F.col("b").alias("owner"))).distinct()
         keys = self.facts.join(owners, F.col("a") == F.col("owner")).groupBy("owner").agg(F.min("key").alias("key")).select("key").distinct()
-        sets = shared.settle(self.docs.join(keys, "key", "left_semi").select("text").mapInArrow(_sets(self.n), "owner long, shingles binary").dropDuplicates(["owner"]), "sets")
+        sets = shared.settle(self.docs.join(shared.few(keys), "key", "left_semi").select("text").mapInArrow(_sets(self.n), "owner long, shingles binary").dropDuplicates(["owner"]), "sets")
         one = pairs.join(sets.select(F.col("owner").alias("b"), F.col("shingles").alias("y")), "b")
         two = one.join(sets.select(F.col("owner").alias("a"), F.col("shingles").alias("x")), "a")
         checked = shared.settle(two.select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long, good boolean"), "checked")
@@ -334,7 +334,7 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     gone = shared.settle(found.join(gone, "component").filter("key <> first").select("key").distinct(), "gone")
     key = "__key"
     text = F.col("text").cast("string")
-    kept = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))).join(gone.withColumnRenamed("key", key).hint("shuffle_hash"), key, "left_anti")
+    kept = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))).join(shared.few(gone.withColumnRenamed("key", key)), key, "left_anti")
     if found.groupBy("key").count().filter("count > 1").head(1):
         kept = kept.dropDuplicates([key])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

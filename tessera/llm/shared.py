@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Functions sent to executors travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
@@ -64,3 +65,12 @@ def bounded_batches(spark: SparkSession, most: int = 500) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > most:
         spark.conf.set(key, str(most))
+
+
+def few(keys: DataFrame, most: int = 200_000) -> DataFrame:
+    """A one-column side of a join with texts: broadcast if it is counted and small, else hashed in a shuffled join.
+
+    Either way the join gives the same rows; the first spares shuffling the texts.
+    """
+    keys = settle(keys, "keys")
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("shuffle_hash")
