@@ -52,6 +52,14 @@ def estimate(queries: np.ndarray, turn: np.ndarray, codes: np.ndarray, length: n
     return raw * (length / own), np.linalg.norm(queries, axis=1)[:, None] * spread + 1e-5 * length * np.linalg.norm(queries, axis=1)[:, None]
 
 
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in doubles, summed in the order of the dimensions, so equal vectors score alike."""
+    out = np.zeros(len(vectors))
+    for j, x in enumerate(query):
+        out += vectors[:, j] * x
+    return out
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -103,7 +111,7 @@ def _cell(k: int, bound: float):
                 rest = ids != asked[low + i]
                 floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
                 near = np.flatnonzero(rest & (guess[i] + error[i] >= floor))
-                score = (vectors[near] * q[low + i]).sum(axis=1)
+                score = products(vectors[near], q[low + i])
                 best = np.lexsort((ids[near], -score))[:k]
                 out.append((np.full(len(best), asked[low + i]), ids[near][best], score[best]))
         return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema)
