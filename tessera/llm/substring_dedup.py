@@ -209,7 +209,7 @@ def _cut(with_text: bool):
         tables = Tables()
         for part, data, offsets in rows(batches):
             start, end, _, word_off = words(data, offsets, tables)
-            spans = part.column(part.schema.get_field_index("spans")).to_pylist()
+            spans = part.column(part.schema.get_field_index("__spans")).to_pylist()
             raw = data.tobytes()
             texts, sizes, gone, digest = part.column(part.schema.get_field_index("text")).to_pylist(), [], [], []
             for i in range(part.num_rows):
@@ -233,8 +233,8 @@ def _cut(with_text: bool):
                     pieces.append(raw[at : start[low + a]])
                     at = int(end[low + b - 1])
                 texts[i] = b"".join([*pieces, raw[at : offsets[i + 1]]]).decode()
-            columns = [(pa.array(texts, f.type) if f.name == "text" else c) for f, c in zip(part.schema, part.columns, strict=True) if f.name not in ("spans", "row_key") and (with_text or f.name != "text")]
-            names = [f.name for f in part.schema if f.name not in ("spans", "row_key") and (with_text or f.name != "text")]
+            columns = [(pa.array(texts, f.type) if f.name == "text" else c) for f, c in zip(part.schema, part.columns, strict=True) if f.name not in ("__spans", "__row_key") and (with_text or f.name != "text")]
+            names = [f.name for f in part.schema if f.name not in ("__spans", "__row_key") and (with_text or f.name != "text")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], [*names, "n_words", "n_removed", "kept_sha256"])
 
     return run
@@ -246,7 +246,8 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     The digest is that of the kept words joined by one blank.  Without ``with_text`` the text is left out.
     """
     spans = repeated_spans(docs, window, most)
-    joined = docs.withColumn("row_key", row_key()).join(spans.hint("shuffle_hash"), "row_key", "left")
+    spans = spans.select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans"))
+    joined = docs.withColumn("__row_key", row_key()).join(spans.hint("shuffle_hash"), "__row_key", "left")
     kept = [f for f in docs.schema.fields if with_text or f.name != "text"]
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long, n_removed long, kept_sha256 string"])
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "row_key", "spans").mapInArrow(_cut(with_text), kinds)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__row_key", "__spans").mapInArrow(_cut(with_text), kinds)
