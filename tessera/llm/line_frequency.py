@@ -4,7 +4,8 @@ Every line is normalised (ASCII lower case, digits to 0, white space collapsed)
 each host the number of distinct documents holding a line is counted (documents with one and the
 same text count once, so copying a document doesn't turn its lines into boilerplate).  Lines held by
 more than ``max(min_docs, share * documents of the host)`` documents are removed, and a document is
-rejected if removal leaves less than ``min_left`` of its words.
+rejected if removal leaves less than ``min_left`` of its words.  The share decides at every size;
+``min_docs`` only keeps a few documents that agree by chance in a small host from being boilerplate.
 
 Defined cases: null text reads as empty; a null host is a host of its own; rows that repeat get the
 same verdict; an empty table gives an empty result; columns beyond those named pass through.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from . import shared
 from .textkernel import SPACE, Tables, mix, rows, words
 
+FEW_DOCS = 3
+#: The floor that the SQL twin of op2_line_frequency has; up to 5000 documents a host it decides instead of the share.
 MIN_DOCS = 50
 SHARE = 0.01
 MIN_LEFT = 0.4
@@ -102,7 +105,7 @@ def _keyed(docs: DataFrame, host: str) -> list:
     ]
 
 
-def line_report(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def line_report(docs: DataFrame, host: str = "source", min_docs: int = FEW_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per row of ``docs``: its counts, the hashes of its lines to remove and the verdict.
 
     Columns: doc_key, host, doc_id, the five counts, bad_lines array<long>, removed_words, depleted.

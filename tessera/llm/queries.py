@@ -19,8 +19,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = line_frequency.line_report(_table(spark, sf_dir, "documents"))
+def _line_verdicts(report: DataFrame) -> DataFrame:
     return report.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         line_frequency.base_failed().alias("base_failed"),
@@ -28,6 +27,16 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the floor that its SQL twin has."""
+    return _line_verdicts(line_frequency.line_report(_table(spark, sf_dir, "documents"), min_docs=line_frequency.MIN_DOCS))
+
+
+def op2_line_frequency_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the host's texts decides at every size."""
+    return _line_verdicts(line_frequency.line_report(_table(spark, sf_dir, "documents")))
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
@@ -115,7 +124,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op2_line_frequency_by_share, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, op10_jaccard_join)}
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _FOLD = "regexp_replace(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]', '0', 'g')"
@@ -170,3 +179,4 @@ l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id FROM d LEFT JOIN z ON z.doc_id = d.doc_id""",
 }
+ORACLE_SQL["op2_line_frequency_by_share"] = ORACLE_SQL["op2_line_frequency"].replace(f"n > {line_frequency.MIN_DOCS} ", f"n > {line_frequency.FEW_DOCS} ")

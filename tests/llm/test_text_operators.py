@@ -77,6 +77,16 @@ def test_line_frequency_removes_lines_and_keeps_layout(spark):
     assert {r.doc_id: r.text for r in kept.collect()} == {i: f"{b}\n" for i, b in enumerate(body)} | {9: body[0]}
 
 
+@pytest.mark.parametrize(("size", "holders", "gone"), [(40, 4, True), (40, 3, False), (600, 7, True), (600, 6, False)])
+def test_line_frequency_share_decides_at_every_size(spark, size, holders, gone):
+    """Production limits: more than 1 % of a host's texts, and more than 3 of them."""
+    body = lambda i: " ".join(f"w{i}x{chr(97 + j % 26)}{chr(97 + j // 26)}".translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(60))
+    rows = [(i, ("Terms of use\n" if i < holders else "") + body(i), None, "a", 0, "k", "m", "h") for i in range(size)]
+    kept = {r.doc_id: r.text for r in line_frequency.clean_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(kept) == size
+    assert all(("Terms of use" in kept[i]) != gone for i in range(holders))
+
+
 def test_substring_dedup_matches_brute_force(docs):
     rows = {x[0]: x for x in corpus()}
     want = dict(zip(rows, brute.removed_windows([x[1] for x in rows.values()]), strict=True))
