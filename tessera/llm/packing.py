@@ -221,3 +221,42 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
     shared.shared_dir(docs.sparkSession)
     shared.bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(tokenizer_path, end_id, window), PIECES)
+
+
+def _ranks(path: str):
+    """One encoding of a rank file for each Python worker, kept from task to task."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    kept = sys.modules.setdefault("_tessera_token_caches", types.ModuleType("_tessera_token_caches"))
+    if path not in vars(kept):
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        vars(kept)[path] = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return vars(kept)[path]
+
+
+def _lengths(word_path: str, byte_path: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, ranks = _cache(word_path), _ranks(byte_path)
+        for b in batches:
+            texts = b.column(b.num_columns - 1)
+            word, byte = [], []
+            for i in range(b.num_rows):
+                text = texts[i].as_py() or ""
+                word.append(len(cache.ids(text)) // 4)
+                byte.append(len(ranks.encode_ordinary(text)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(word, pa.int64()), pa.array(byte, pa.int64())], names)
+
+    return run
+
+
+def token_lengths(docs: DataFrame, word_path: str, byte_path: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns of every row of ``docs`` with word_tokens and byte_tokens: tokens of the whole text under a tokenizer file like :func:`pack`'s and under a rank file; 0 for null or empty text."""
+    shared.shared_dir(docs.sparkSession)
+    shared.bounded_batches(docs.sparkSession)
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(_lengths(word_path, byte_path, [*keep, "word_tokens", "byte_tokens"]), f"{kinds}, word_tokens long, byte_tokens long")

@@ -85,8 +85,12 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs, mixing.rates(docs))
 
 
+def _event(rows: DataFrame, op: str, tokenizer: str, tokens, old=None) -> DataFrame:
+    return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), tokens.alias("tokens"), (F.lit(None).cast("long") if old is None else old).alias("old_tokens"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents: two tokenizers' counts, revised counts, deletes of toxic rows.
+    """Four batches over all documents: two measures of length that SQL has, revised counts, deletes of toxic rows.
 
     Each batch is committed twice; the second time has no effect.
     """
@@ -102,16 +106,40 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = shared.settle(facts, "facts")
     gone = facts.join(toxic, "doc_id", "left_semi")
 
-    def event(rows: DataFrame, op: str, tokenizer: str, tokens, old=None) -> DataFrame:
-        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), tokens.alias("tokens"), (F.lit(None).cast("long") if old is None else old).alias("old_tokens"))
-
     blanks, lines, quarters = F.col("blanks"), F.col("blanks") + F.col("breaks"), F.col("quarters")
     rollup = token_counts.Rollup(spark)
     batches = {
-        "0001": event(facts, "insert", "blank-1", blanks),
-        "0002": event(facts, "insert", "quarter-1", quarters),
-        "0003": event(facts, "revise", "blank-1", lines, blanks),
-        "0004": event(gone, "delete", "blank-1", lines).unionByName(event(gone, "delete", "quarter-1", quarters)),
+        "0001": _event(facts, "insert", "blank-1", blanks),
+        "0002": _event(facts, "insert", "quarter-1", quarters),
+        "0003": _event(facts, "revise", "blank-1", lines, blanks),
+        "0004": _event(gone, "delete", "blank-1", lines).unionByName(_event(gone, "delete", "quarter-1", quarters)),
+    }
+    for name, events in batches.items():
+        rollup.commit(name, events)
+        rollup.commit(name, events)
+    return rollup.totals()
+
+
+def op9_token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents: whole texts' tokens under two public tokenizers, the first's
+    revised to count the end token that packing adds, deletes of toxic rows.
+
+    Each batch is committed twice; the second time has no effect.
+    """
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    paths = [public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken")]
+    facts = shared.settle(packing.token_lengths(docs, *paths, ["doc_id", "source", "lang"]), "facts")
+    gone = facts.join(toxic, "doc_id", "left_semi")
+    word, ended, byte = F.col("word_tokens"), F.col("word_tokens") + 1, F.col("byte_tokens")
+    rollup = token_counts.Rollup(spark)
+    batches = {
+        "0001": _event(facts, "insert", "word-bpe-49k", word),
+        "0002": _event(facts, "insert", "byte-bpe-50k", byte),
+        "0003": _event(facts, "revise", "word-bpe-49k", ended, word),
+        "0004": _event(gone, "delete", "word-bpe-49k", ended).unionByName(_event(gone, "delete", "byte-bpe-50k", byte)),
     }
     for name, events in batches.items():
         rollup.commit(name, events)
@@ -124,7 +152,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op2_line_frequency_by_share, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op2_line_frequency_by_share, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, op9_token_counts_bpe, op10_jaccard_join)}
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _FOLD = "regexp_replace(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]', '0', 'g')"

@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tessera.llm import ann, chat, mixing, token_counts
+from tessera.llm import ann, chat, mixing, queries, token_counts
 
 
 def test_nearest_finds_what_brute_force_finds(spark):
@@ -110,6 +112,21 @@ def test_rollup_is_idempotent_and_signed(spark):
     assert {x.source: x.tokens for x in rollup.totals().filter("tokenizer = 'v2'").collect()} == dict(want)
 
 
+def test_token_counts_are_the_tokenizers(spark, tmp_path):
+    texts = [None, "", "a  b", "Hello World 123 it's\n\n x", "é 😀 Straße <|endoftext|>", "x" * 3000, "toxic words here"]
+    spark.createDataFrame([(i, t, "en", "s" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(6, 1), (3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(f)) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    byte.encode_special_tokens = True
+    size = lambda t, x: len(t.encode(x or "", add_special_tokens=False).ids)
+    want = Counter()
+    for i, t in enumerate(texts[:6]):
+        want["s" if i % 2 else None, "word-bpe-49k"] += size(word, t) + 1
+        want["s" if i % 2 else None, "byte-bpe-50k"] += size(byte, t)
+    got = queries.op9_token_counts_bpe(spark, str(tmp_path)).collect()
+    assert {(r.source, r.tokenizer): r.tokens for r in got} == dict(want) and {r.docs for r in got} == {3}
+
+
 def test_uniform_is_the_digest(spark):
     row = spark.range(1).select(mixing.uniform("s", F.lit(5), F.lit(None)).alias("u")).first()
     assert row.u == int(hashlib.md5(b"s:5:null").hexdigest()[:13], 16) / 2**52
