@@ -39,6 +39,11 @@ FLUSH = 1 << 21
 SIGNATURE = [f"s{i}" for i in range(32)]
 
 
+def row_key():
+    """Rows alike in id and text share a key; rows that only share an id don't."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def sets_of(value: np.ndarray, word_off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the shingle at each word, and for each row where its shingles end."""
     total = len(value)
@@ -226,7 +231,7 @@ class JaccardJoin:
         shared.shared_dir(self.spark)
         shared.bounded_batches(self.spark)
         text = F.col("text").cast("string")
-        self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+        self.docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
         found = shared.settle(self.docs.mapInArrow(_facts(n), "key long, doc_id long, n long, a long, b long, " + ", ".join(f"{x} long" for x in SIGNATURE)), "facts")
         self.facts = found.filter("n >= 0")
         self.words = found.filter("n < 0")
@@ -328,13 +333,16 @@ class JaccardJoin:
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest key (the id, where there is one)."""
+    """``docs`` with one row of each component: the first by id (rows without an id last) and hash of id and text.
+
+    Rows without a shingle stay; rows alike in id and text are one.
+    """
     found = shared.settle(JaccardJoin(docs, n, percent).documents(), "joined")
-    gone = found.filter("component is not null").groupBy("component").agg(F.min("key").alias("first"))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    gone = found.filter("component is not null").groupBy("component").agg(F.min(place)["key"].alias("first"))
     gone = shared.settle(found.join(gone, "component").filter("key <> first").select("key").distinct(), "gone")
     key = "__key"
-    text = F.col("text").cast("string")
-    kept = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))).join(shared.few(gone.withColumnRenamed("key", key)), key, "left_anti")
+    kept = docs.withColumn(key, row_key()).join(shared.few(gone.withColumnRenamed("key", key)), key, "left_anti")
     if found.groupBy("key").count().filter("count > 1").head(1):
         kept = kept.dropDuplicates([key])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

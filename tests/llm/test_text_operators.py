@@ -153,6 +153,15 @@ def test_jaccard_join_null_ids_and_repeated_rows(spark):
     assert sorted(map(str, kept)) == ["3", "7", "None"] or sorted(map(str, kept)) == ["3", "None", "None"]
 
 
+def test_near_copies_with_one_id_for_two_texts(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    a, near, c, d, e = text("a"), text("a") + " end", text("c"), text("d"), text("e")
+    rows = [(1, a), (5, near), (5, c), (5, c), (8, d), (8, e), (None, d)]
+    docs = spark.createDataFrame([(i, t, None, "a", 0, "k", "m", "h") for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in jaccard_join.drop_near_copies(docs).collect()]
+    assert sorted(kept) == [(1, a), (5, c), (8, d), (8, e)]
+
+
 def test_components_of_random_graphs(spark):
     r = random.Random(5)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1040)]
