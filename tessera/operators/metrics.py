@@ -85,13 +85,32 @@ def degeneracy(rows: DataFrame, k: int = 10) -> DataFrame:
     return both.groupBy("variant_a", "variant_b").agg(F.avg((F.col("top_a") == F.col("top_b")).cast("double")).alias("identical"))
 
 
-def gated(scores: DataFrame, base: str, floor: str) -> DataFrame:
-    """Candidates (variant, weight, r1, r5, r10, mrr) that lose no recall against the base and floor variants and gain somewhere."""
+def _beats(b5: str, bm: str, f10: str) -> Column:
+    """Loses no recall against base and floor and gains somewhere."""
+    ok = (F.col("r10") + TOLERANCE >= F.col(f10)) & (F.col("r5") + TOLERANCE >= F.col(b5))
+    return ok & ((F.col("r5") > F.col(b5) + TOLERANCE) | (F.col("mrr") > F.col(bm) + TOLERANCE))
+
+
+def gated(scores: DataFrame, base: str, floor: str, groups: DataFrame | None = None, floors: tuple[float, float, float] | None = None) -> DataFrame:
+    """Candidates (variant, weight, r1, r5, r10, mrr) that lose no recall against the base and floor variants and gain somewhere.
+
+    With ``groups`` (field, value, variant, r5) none may lose recall at 5 against the base in any group.
+    ``floors`` are the least recall at 10 of the floor variant and recall at 5 and mrr of the base (a
+    run below one has no qualified candidate); candidates need the first two as well.
+    """
     b = scores.filter(F.col("variant") == base).select(F.col("r5").alias("b5"), F.col("mrr").alias("bm"))
     f = scores.filter(F.col("variant") == floor).select(F.col("r10").alias("f10"))
     out = scores.filter(F.col("weight").isNotNull()).crossJoin(F.broadcast(b)).crossJoin(F.broadcast(f))
-    ok = (F.col("r10") + TOLERANCE >= F.col("f10")) & (F.col("r5") + TOLERANCE >= F.col("b5"))
-    return out.withColumn("qualified", ok & ((F.col("r5") > F.col("b5") + TOLERANCE) | (F.col("mrr") > F.col("bm") + TOLERANCE))).drop("b5", "bm", "f10")
+    ok = _beats("b5", "bm", "f10")
+    if floors is not None:
+        run = (F.col("f10") + TOLERANCE >= floors[0]) & (F.col("b5") + TOLERANCE >= floors[1]) & (F.col("bm") + TOLERANCE >= floors[2])
+        ok = ok & run & (F.col("r10") + TOLERANCE >= floors[0]) & (F.col("r5") + TOLERANCE >= floors[1])
+    if groups is not None:
+        own = groups.filter(F.col("variant") == base).select("field", "value", F.col("r5").alias("g5"))
+        losers = groups.join(own, ["field", "value"]).filter(F.col("r5") + TOLERANCE < F.col("g5")).select("variant").distinct().withColumn("loses", F.lit(True))
+        out = out.join(F.broadcast(losers), "variant", "left")
+        ok = ok & F.col("loses").isNull()
+    return out.withColumn("qualified", ok).drop("b5", "bm", "f10", "loses")
 
 
 def best_weight(candidates: DataFrame) -> DataFrame:
@@ -118,6 +137,38 @@ def leave_one_out(rows: DataFrame) -> DataFrame:
     return rows.select("item", "variant", ((F.sum("value").over(w) - F.col("value")) / (F.count("*").over(w) - 1)).alias("mean"))
 
 
+def leave_one_out_selection(rows: DataFrame, base: str, floor: str, fields: Sequence[str] = ("language", "task_type")) -> DataFrame:
+    """How often each variant is selected when each item in turn is omitted (variant, runs); the row of the null variant counts runs without a winner.
+
+    ``rows`` has item, variant, weight (null if no candidate), r1, r5, r10, mrr and ``fields``, one row
+    for each item with gold and variant. Means without an item are sums less its own; only the item's own
+    groups change, so the work is linear in rows. A group left empty gates nothing; there are no absolute floors.
+    """
+    less = lambda total, own, n: F.when(F.col(n) > 1, (F.col(total) - F.col(own)) / F.nullif(F.col(n) - 1, F.lit(0)))
+    cells = ("r1", "r5", "r10", "mrr")
+    total = rows.groupBy("variant").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cells])
+    # rounded within the tolerance, so that equal means tie whatever the order of their sums
+    rest = rows.join(F.broadcast(total), "variant").select("item", "variant", "weight", *[F.round(less(f"s_{c}", c, "n"), 12).alias(c) for c in cells])
+    group = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
+    grouped = rows.select("item", "variant", "r5", group.alias("g")).select("item", "variant", "r5", "g.field", F.coalesce("g.value", F.lit("None")).alias("value"))
+    sums = grouped.groupBy("field", "value", "variant").agg(F.sum("r5").alias("s"), F.count("*").alias("k"))
+    based = sums.filter(F.col("variant") == base).select("field", "value", F.col("s").alias("bs"))
+    sums = sums.join(based, ["field", "value"]).withColumn("lost", (F.col("s") / F.col("k") + TOLERANCE < F.col("bs") / F.col("k")).cast("int"))
+    every = sums.groupBy("variant").agg(F.sum("lost").alias("lost"))
+    own = rows.filter(F.col("variant") == base).select("item", F.col("r5").alias("b5"))
+    now = F.coalesce((less("s", "r5", "k") + TOLERANCE < less("bs", "b5", "k")).cast("int"), F.lit(0))
+    change = grouped.join(own, "item").join(sums, ["field", "value", "variant"]).groupBy("item", "variant").agg(F.sum(now - F.col("lost")).alias("change"))
+    w = Window.partitionBy("item")
+    of = lambda variant, c: F.max(F.when(F.col("variant") == variant, F.col(c))).over(w)
+    seen = rest.select("*", of(base, "r5").alias("b5"), of(base, "mrr").alias("bm"), of(floor, "r10").alias("f10"))
+    fit = seen.filter(F.col("weight").isNotNull() & _beats("b5", "bm", "f10")).join(change, ["item", "variant"]).join(F.broadcast(every), "variant").filter("lost + change = 0")
+    order = w.orderBy(F.desc("r5"), F.desc("mrr"), F.desc("r1"), F.abs(F.col("weight") - 0.7), "weight")
+    won = fit.withColumn("place", F.row_number().over(order)).filter("place = 1").select("item", F.col("variant").alias("winner"))
+    runs = rows.select("item").distinct().join(won, "item", "left").groupBy(F.col("winner").alias("variant")).agg(F.count("*").alias("runs"))
+    none = rows.sparkSession.createDataFrame([(None, 0)], "variant string, runs long")
+    return runs.unionByName(none).groupBy("variant").agg(F.sum("runs").alias("runs"))
+
+
 def stratified_subset(cases: Sequence[dict], size: int) -> list[str]:
     """Driver-side greedy choice of cases that cover task types, languages and answerability, hard ones first.
 

@@ -501,6 +501,18 @@ def leave_one_out(spark, sf):
     return metrics.leave_one_out(c).withColumn("mean", F.round("mean", 4))
 
 
+@query()
+def leave_one_out_selection(spark, sf):
+    """The reversed ranking by price stands for the floor variant, parity of the id for the language."""
+    p, g = F.col("predicted"), F.col("gold")
+    rows = td.rankings(spark, sf).filter(F.size("gold") > 0)
+    rows = rows.unionByName(rows.filter("variant = 'W70'").withColumns({"variant": F.lit("B2"), "predicted": F.reverse("predicted")}))
+    scores = [metrics.recall(p, g, k).alias(f"r{k}") for k in (1, 5, 10)] + [metrics.reciprocal_rank(p, g).alias("mrr")]
+    weight = F.when(F.col("variant") != "B2", F.substring("variant", 2, 2).try_cast("double") / 100)
+    cases = rows.select(F.col("question_id").alias("item"), "variant", weight.alias("weight"), (F.col("question_id") % 2).alias("language"), F.col("c_mktsegment").alias("task_type"), *scores)
+    return metrics.leave_one_out_selection(cases, "W70", "B2")
+
+
 # -- context and evidence --
 
 

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -147,6 +150,44 @@ def test_metrics_small(spark):
     assert [r.r for r in answers.select(metrics.refused(F.col("a"), F.col("s"), F.col("u")).alias("r")).collect()] == [True, True, True, False]
 
 
+def plain_winner(cases, grouped=True, floors=None):
+    """The reference's selection over cases {variant: (r1, r5, r10, mrr)} with language and task_type."""
+    mean = lambda some, v, k: sum(c[v][k] for c in some) / len(some)
+    groups = [[c for c in cases if c[f] == x] for f in ("language", "task_type") for x in {c[f] for c in cases}] if grouped else []
+    low = floors or (0, 0, 0)
+    fit = [
+        v for v in ("W60", "W70", "W80")
+        if mean(cases, "B2", 2) + 1e-12 >= low[0] and mean(cases, "W70", 1) + 1e-12 >= low[1] and mean(cases, "W70", 3) + 1e-12 >= low[2]
+        and mean(cases, v, 2) + 1e-12 >= max(mean(cases, "B2", 2), low[0]) and mean(cases, v, 1) + 1e-12 >= max(mean(cases, "W70", 1), low[1])
+        and (mean(cases, v, 1) > mean(cases, "W70", 1) + 1e-12 or mean(cases, v, 3) > mean(cases, "W70", 3) + 1e-12)
+        and all(mean(g, v, 1) + 1e-12 >= mean(g, "W70", 1) for g in groups)
+    ]
+    exact = lambda v, k: -round(mean(cases, v, k), 12)
+    return min(fit, key=lambda v: (exact(v, 1), exact(v, 3), exact(v, 0), abs(int(v[1:]) / 100 - 0.7), v), default=None)
+
+
+def test_weights_are_selected_anew_without_each_case(spark):
+    seen = set()
+    schema = "item long, variant string, weight double, language string, task_type string, r1 double, r5 double, r10 double, mrr double"
+    for seed in (0, 5, 17):
+        r = random.Random(seed)
+        cases = [{"language": r.choice(["zh", "en"]), "task_type": "x" if i < 8 else "y" if i < 11 else "z"} for i in range(12)]
+        for c in cases:
+            c |= {v: (r.choice([0.0, 1.0]), r.choice([0.5, 0.5, 1.0]) if v == "W70" else r.choice([0.5, 1.0, 1.0]), 1.0 if v != "B2" else 0.5, r.choice([0.25, 0.5, 1.0])) for v in ("B2", "W60", "W70", "W80")}
+        rows = [(i, v, None if v == "B2" else int(v[1:]) / 100, c["language"], c["task_type"], *c[v]) for i, c in enumerate(cases) for v in ("B2", "W60", "W70", "W80")]
+        want = Counter(plain_winner([c for c in cases if c is not o]) for o in cases)
+        table = spark.createDataFrame(rows, schema)
+        got = {x.variant: x.runs for x in metrics.leave_one_out_selection(table, "W70", "B2").collect()}
+        assert got == {None: 0} | dict(want)
+        seen |= set(want)
+        means = table.groupBy("variant", "weight").agg(*[F.avg(c).alias(c) for c in ("r1", "r5", "r10", "mrr")])
+        groups = table.select("variant", "r5", F.explode(F.create_map(F.lit("language"), "language", F.lit("task_type"), "task_type")).alias("field", "value")).groupBy("field", "value", "variant").agg(F.avg("r5").alias("r5"))
+        for floors in (None, (0.5, 0.5, 0.2), (0.9, 0.5, 0.2)):
+            first = metrics.best_weight(metrics.gated(means, "W70", "B2", groups, floors)).first()
+            assert (first and first.variant) == plain_winner(cases, True, floors)
+    assert None in seen and len(seen) > 1
+
+
 def test_schema_walk(spark):
     schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"type": "string", "pattern": "^x", "maxLength": 2}}, "c": {"enum": [1, "y"]}}}
     assert validate.check_schema({"a": 1, "b": ["x"], "c": "y"}, schema) == []
