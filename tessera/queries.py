@@ -495,6 +495,15 @@ def bootstrap_ci(spark, sf):
     return b.select(*[F.round(c, 6).alias(c) for c in b.columns])
 
 
+@query("WITH d AS (SELECT n_nationkey::BIGINT AS item, ((n_nationkey * 7) % 11 - 4) / 10.0 AS delta FROM nation), k AS (SELECT count(*) AS n FROM d), r AS (SELECT i // n AS iteration, ('0x' || substr(md5('20260717:' || i), 1, 8))::BIGINT % n AS item FROM k, LATERAL (SELECT unnest(range(0, 10000 * n)) AS i)), m AS (SELECT iteration, avg(delta) AS mean FROM r JOIN d USING (item) GROUP BY iteration) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(avg((mean >= -1e-12)::INT), 6) AS not_worse FROM m")
+def bootstrap_ci_10000(spark, sf):
+    """As many iterations as the reference has, each of as many draws as there are items."""
+    n = F.col("n_nationkey")
+    d = td.table(spark, sf, "nation").select(n.cast("long").alias("item"), ((n * 7 % 11 - 4) / 10.0).alias("delta"))
+    b = metrics.bootstrap(d, metrics.hashed_draws(spark, d.count(), metrics.ITERATIONS))
+    return b.select(*[F.round(c, 6).alias(c) for c in b.columns])
+
+
 @query("SELECT c_custkey AS item, c_mktsegment AS variant, round((sum(c_acctbal) OVER w - c_acctbal) / (count(*) OVER w - 1), 4) AS mean FROM customer WINDOW w AS (PARTITION BY c_mktsegment)")
 def leave_one_out(spark, sf):
     c = td.table(spark, sf, "customer").select(F.col("c_custkey").alias("item"), F.col("c_mktsegment").alias("variant"), F.col("c_acctbal").alias("value"))

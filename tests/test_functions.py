@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.functions import scalars
 from tessera.functions.api_path import normalize_api_path
 from tessera.functions.lexical import FIELDS, LOW_INFORMATION, fold, lexical_score, parse_terms
@@ -188,6 +190,17 @@ def test_weights_are_selected_anew_without_each_case(spark):
     assert None in seen and len(seen) > 1
 
 
+def test_bootstrap_draws_as_often_as_the_reference(spark, tmp_path):
+    spark.range(7).select(F.col("id").cast("int").alias("n_nationkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    got = queries.bootstrap_ci_10000(spark, str(tmp_path)).first()
+    delta = [(i * 7 % 11 - 4) / 10 for i in range(7)]
+    draw = lambda i: delta[int(hashlib.md5(f"20260717:{i}".encode()).hexdigest()[:8], 16) % 7]
+    means = sorted(sum(draw(7 * k + j) for j in range(7)) / 7 for k in range(10_000))
+    at = lambda q: means[int(q * 9999)] + (q * 9999 % 1) * (means[int(q * 9999) + 1] - means[int(q * 9999)])
+    assert (got.low, got.high) == pytest.approx((at(0.025), at(0.975)), abs=2e-6)
+    assert got.not_worse == pytest.approx(sum(m >= -1e-12 for m in means) / 10_000, abs=1e-6)
+
+
 def test_schema_walk(spark):
     schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"type": "string", "pattern": "^x", "maxLength": 2}}, "c": {"enum": [1, "y"]}}}
     assert validate.check_schema({"a": 1, "b": ["x"], "c": "y"}, schema) == []
