@@ -88,12 +88,15 @@ def _count(bits: int):
 def fit(train: DataFrame, bits: int = BITS, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and their matrix of log probabilities (buckets x languages, with add-one smoothing).
 
-    At most ``max_docs`` documents of each of the ``MAX_LANGS`` most frequent languages are used, by
-    a threshold on the hash of their ids; all languages weigh alike.
+    At most ``max_docs`` documents of each language are used, by a threshold on the hash of their ids;
+    all languages weigh alike.  More than ``MAX_LANGS`` languages, whose matrix would outgrow the
+    driver, are an error: none is left out.
     """
     shared.shared_dir(train.sparkSession)
     known = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = known.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages to learn")
     if not sizes:
         return [], np.zeros((1 << bits, 0), dtype=np.float32)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, max_docs / r["count"]))])

@@ -256,6 +256,13 @@ def test_language_id_learns_and_marks_the_undefined(spark):
     assert {x.lang_pred for x in language_id.predict(docs, langs, logp, [F.col("doc_id")]).collect()} == {"und"}
 
 
+def test_language_id_leaves_no_language_out(spark):
+    one_more = spark.range(language_id.MAX_LANGS + 1).selectExpr("id AS doc_id", "'ab cd' AS text", "'l' || id AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(one_more, bits=4)
+    assert len(language_id.fit(one_more.filter(F.col("doc_id") > 0), bits=4)[0]) == language_id.MAX_LANGS
+
+
 def test_sharding_keeps_sizes_even_and_groups_together(docs):
     rows = corpus()
     got = sharding.balanced_shards(docs, shards=5).collect()
