@@ -8,18 +8,26 @@ at least.  Each set takes the level whose estimated cost is least, from the leng
 shingles' posting lists: more levels, longer prefixes, but more shared shingles asked for before a
 pair is verified on whole sets.
 
-Equal sets collapse before, so copies make no pairs.  Within a posting list sets are first linked
-with the list's pivot (the set with the fewest rarer shingles) and along a chain, which is linear;
-only members of different components are paired after that, and only where both prefixes of the
-pair's own required overlap hold the shingle and parity signatures allow it, so a list of near copies doesn't make all its pairs, and
-no link between different components is lost.
+Equal sets collapse before, so copies make no pairs.  Sparse rounds come first: within a posting list
+sets meet the list's pivot (the set with the fewest rarer shingles) and their neighbours in a chain,
+whose order is another in each round; that is linear in the postings, and a group of near copies
+becomes one component without making all its pairs.  What is left meets in the token join: only lists
+with different components, cut into bands of sizes that can link, without sets that have fewer open
+shingles than their level asks for, and only pairs that their own required overlap and their parity
+signatures allow.  No link between different components is lost.
+
+A shingle that many sets share never comes to one task: where a task sees more than ``HOT`` postings
+of it, they are dealt by set instead of by shingle; later joins by shingle have one row a shingle on
+one side or can be split by Spark.
 
 Null or wordless text has an empty set and links with nothing; rows that repeat are one set; documents
-without an id link like others but lend no id; an empty table gives no rows.
+without an id link like others but lend no id; an empty table gives no rows; texts are read whole, in
+bounded pieces, however long; columns beyond doc_id and text pass through ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +44,12 @@ VERIFY_COST = 50
 FREQUENT = 1 << 20
 CHAIN = 500
 FLUSH = 1 << 21
+#: Postings of one shingle in a flush beyond which they are dealt by set too.
+HOT = 64
+SPARSE_ROUNDS = 3
 SIGNATURE = [f"s{i}" for i in range(32)]
+#: The signature folded to a quarter, for the token join.
+FOLDED = [f"f{i}" for i in range(8)]
 
 
 def row_key():
@@ -139,7 +152,15 @@ def _postings(n: int, percent: int, buckets: int, order):
             fresh = np.ones(len(token), dtype=bool)
             fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
             token, owner, size, place = token[fresh], owner[fresh], size[fresh], place[fresh]
-            bucket = (token >> shift).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            many = np.diff(np.append(first, len(token)))
+            hot = np.repeat(many > HOT, many)
+            first = first[many > HOT]
+            # a hot shingle leaves a mark in its range, so that its other postings count as live
+            token, owner, size, place, hot = (np.concatenate([x, y]) for x, y in zip((token, owner, size, place, hot), (token[first], owner[first], size[first], np.full(len(first), -1, np.int32), np.zeros(len(first), bool)), strict=True))
+            bucket = np.where(hot, buckets + (mix(owner.view(np.uint64) ^ token) % np.uint64(buckets)).astype(np.int64), (token >> shift).astype(np.int64))
+            at = np.argsort(bucket, kind="stable")
+            bucket, token, owner, size, place = (x[at] for x in (bucket, token, owner, size, place))
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             for low, high in zip(edge, np.append(edge[1:], len(token)), strict=True):
                 yield bucket[low], *(x[low:high].tobytes() for x in (token, owner, size, place))
@@ -178,18 +199,21 @@ def _postings(n: int, percent: int, buckets: int, order):
     return run
 
 
-def _live(table: pa.Table) -> pa.Table:
-    """Postings of the shingles that two sets or more have in their prefixes."""
-    token, owner, size, place = (np.frombuffer(b"".join(table.column(x).to_pylist()), t) for x, t in (("token", np.int64), ("owner", np.int64), ("size", np.int32), ("place", np.int32)))
-    at = np.lexsort((owner, token))
-    token, owner, size, place = token[at], owner[at], size[at], place[at]
-    fresh = np.ones(len(token), dtype=bool)
-    fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-    token, owner, size, place = token[fresh], owner[fresh], size[fresh], place[fresh]
-    edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    df = np.repeat(np.diff(np.append(edge, len(token))), np.diff(np.append(edge, len(token))))
-    some = df > 1
-    return pa.table({"token": token[some], "owner": owner[some], "size": size[some], "place": place[some], "df": df[some]})
+def _live(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Postings of the shingles that two sets or more have in their prefixes."""
+        token, owner, size, place = (np.frombuffer(b"".join(table.column(x).to_pylist()), t) for x, t in (("token", np.int64), ("owner", np.int64), ("size", np.int32), ("place", np.int32)))
+        at = np.lexsort((-place, owner, token))
+        token, owner, size, place = token[at], owner[at], size[at], place[at]
+        fresh = np.ones(len(token), dtype=bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] < 0)
+        token, owner, size, place = token[fresh], owner[fresh], size[fresh], place[fresh]
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        many = np.diff(np.append(edge, len(token)))
+        some = np.repeat((many > 1) | (table.column("bucket")[0].as_py() >= buckets), many) & (place >= 0)
+        return pa.table({"token": token[some], "owner": owner[some], "size": size[some], "place": place[some]})
+
+    return run
 
 
 def _sets(n: int):
@@ -218,11 +242,6 @@ def _verify(percent: int):
     return run
 
 
-def _pairs(left: DataFrame, asked) -> DataFrame:
-    """Pairs with at least as many shared prefix shingles as the smaller of their levels."""
-    return left.groupBy("a", "b").agg(F.count_distinct("token").alias("shared"), F.min("need").alias("need")).filter(asked).select("a", "b")
-
-
 class JaccardJoin:
     """Components of documents linked by a Jaccard similarity of ``percent`` or more of n-word shingles."""
 
@@ -235,20 +254,33 @@ class JaccardJoin:
         found = shared.settle(self.docs.mapInArrow(_facts(n), "key long, doc_id long, n long, a long, b long, " + ", ".join(f"{x} long" for x in SIGNATURE)), "facts")
         self.facts = found.filter("n >= 0")
         self.words = found.filter("n < 0")
+        one = [F.min("key").alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in SIGNATURE]]
+        #: one row a distinct set
+        self.classes = shared.settle(self.facts.filter("n > 0").groupBy(F.col("a").alias("owner")).agg(*one), "sets-of")
 
     def _order(self):
-        """The most frequent words and the numbers of rows that hold them: at most FREQUENT, so bounded."""
-        counts = self.words.groupBy("a").agg((-F.sum("n")).alias("df")).filter("df > 1")
-        top = counts.orderBy(F.desc("df"), "a").limit(FREQUENT).toArrow()
+        """The most frequent words and the numbers of rows that hold them: at most FREQUENT come to the driver.
+
+        A histogram of the numbers' logarithms, a few hundred rows, gives the least number to take.
+        """
+        counts = shared.settle(self.words.groupBy("a").agg((-F.sum("n")).alias("df")).filter("df > 1").withColumn("step", F.floor(F.log2("df") * 16).cast("int")), "words")
+        least, total = None, 0
+        for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
+            total += r["count"]
+            if total > FREQUENT:
+                break
+            least = r["step"]
+        top = counts.filter(F.col("step") >= F.lit(least)).select("a", "df").toArrow()
         word = top.column("a").to_numpy().view(np.uint64)
         at = np.argsort(word)
         return self.spark.sparkContext.broadcast((word[at], np.minimum(top.column("df").to_numpy()[at], (1 << 23) - 1)))
 
     def _postings(self) -> DataFrame:
         rows_ = self.facts.count()
-        buckets = 1 << min(16, max(8, (rows_ // 2000).bit_length()))
+        buckets = 1 << min(20, max(8, (rows_ // 2000).bit_length()))
         blobs = self.docs.mapInArrow(_postings(self.n, self.percent, buckets, self._order()), "bucket long, token binary, owner binary, size binary, place binary")
-        live = shared.settle(blobs.groupBy("bucket").applyInArrow(_live, "token long, owner long, size int, place int, df long"), "live")
+        live = shared.settle(blobs.groupBy("bucket").applyInArrow(_live(buckets), "token long, owner long, size int, place int"), "live")
+        live = shared.settle(live.join(live.groupBy("token").agg(F.count("*").alias("df")), "token"), "counted")
         base = F.col("size") - F.ceil(F.col("size") * self.percent / 100.0 - 1e-9)
         costs = [F.sum(F.when(F.col("place") < base + l, F.col("df") - 1).otherwise(0)).alias(f"c{l}") for l in range(1, LEVELS + 1)]
         cost = lambda l: F.col(f"c{l}") * (1 + VERIFY_COST / l)
@@ -257,16 +289,30 @@ class JaccardJoin:
         kept = live.join(level, "owner").filter(F.col("place") < base + F.col("level"))
         return shared.settle(kept.select("token", "owner", "size", "place", "rarer", F.least("level", F.col("size").cast("int")).alias("level"), "df"), "prefixes")
 
-    def _links(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(verified links, all pairs looked at)."""
+    def _links(self, pairs: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(verified links, all pairs looked at so far) of pairs (a, b) that may repeat."""
+        pairs = pairs.distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = shared.settle(pairs, "pairs")
+        seen = pairs if seen is None else seen.unionByName(pairs)
         owners = pairs.select(F.col("a").alias("owner")).unionByName(pairs.select(F.col("b").alias("owner"))).distinct()
-        keys = self.facts.join(owners, F.col("a") == F.col("owner")).groupBy("owner").agg(F.min("key").alias("key")).select("key").distinct()
+        own = shared.settle(self.classes.join(owners, "owner", "left_semi").select("owner", "key", F.col("n").alias("size"), *SIGNATURE), "own")
+        side = lambda i, c: own.select(F.col("owner").alias(c), F.col("size").alias(f"size{i}"), *[F.col(x).alias(f"{x}_{i}") for x in SIGNATURE])
+        near = pairs.join(side(1, "a"), "a").join(side(2, "b"), "b").filter(self._apart(SIGNATURE) <= self._most_apart()).select("a", "b")
+        near = shared.settle(near, "near")
+        owners = near.select(F.col("a").alias("owner")).unionByName(near.select(F.col("b").alias("owner"))).distinct()
+        keys = own.join(owners, "owner", "left_semi").select("key")
         sets = shared.settle(self.docs.join(shared.few(keys), "key", "left_semi").select("text").mapInArrow(_sets(self.n), "owner long, shingles binary").dropDuplicates(["owner"]), "sets")
-        one = pairs.join(sets.select(F.col("owner").alias("b"), F.col("shingles").alias("y")), "b")
+        one = near.join(sets.select(F.col("owner").alias("b"), F.col("shingles").alias("y")), "b")
         two = one.join(sets.select(F.col("owner").alias("a"), F.col("shingles").alias("x")), "a")
         checked = shared.settle(two.select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long, good boolean"), "checked")
-        return checked.filter("good").select("a", "b"), pairs
+        return checked.filter("good").select("a", "b"), seen
+
+    @staticmethod
+    def _apart(columns: list[str]):
+        """Bits in which two parity signatures differ; sets differ in as many shingles at least."""
+        return sum((F.bit_count(F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))) for c in columns), F.lit(0))
 
     def _overlap(self):
         """Shingles that two sets must share."""
@@ -291,43 +337,87 @@ class JaccardJoin:
 
     @staticmethod
     def _pair() -> list:
-        return [F.least("owner1", "owner2").alias("a"), F.greatest("owner1", "owner2").alias("b"), F.least("level1", "level2").alias("need"), "token"]
+        return [F.least("owner1", "owner2").alias("a"), F.greatest("owner1", "owner2").alias("b")]
+
+    @staticmethod
+    def _side(i: int, *more: str) -> list:
+        return [F.col(c).alias(f"{c}{i}") for c in ("owner", "size", "place", "level", *more)]
+
+    def _star(self, prefixes: DataFrame) -> DataFrame:
+        """Each posting with its list's pivot."""
+        pivot = shared.settle(prefixes.groupBy("token").agg(F.min(F.struct("rarer", "size", "owner", "place", "level")).alias("p")), "pivots")
+        other = pivot.select("token", *[F.col(f"p.{c}").alias(f"{c}2") for c in ("owner", "size", "place", "level")])
+        return prefixes.select("token", *self._side(1)).join(other, "token").filter(self._may_link()).select(*self._pair())
+
+    def _chain(self, postings: DataFrame, turn: int, order: list) -> DataFrame:
+        """Neighbours in ``order`` of a posting list; a long list makes several chains, others in each turn."""
+        salt = F.pmod(F.xxhash64("owner", "token", F.lit(turn)), F.ceil(F.col("df") / CHAIN).cast("long"))
+        chain = Window.partitionBy("token", salt).orderBy(*order)
+        cells = [c for c in ("owner", "size", "place", "level", "root") if c in postings.columns]
+        met = postings.select(*[F.col(c).alias(f"{c}1") for c in cells], *[F.lag(c).over(chain).alias(f"{c}2") for c in cells]).filter("owner2 is not null")
+        if "root" in cells:
+            met = met.filter("root1 <> root2")
+        return met.filter(self._may_link()).select(*self._pair())
+
+    def _open(self, prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+        """Postings, with their sets' roots, of the shingles in whose lists different roots are left."""
+        placed = shared.settle(prefixes.join(roots, F.col("owner") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "owner")), "placed")
+        more = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("token")
+        return shared.settle(placed.join(more, "token", "left_semi"), "open")
+
+    def _banded(self, postings: DataFrame) -> DataFrame:
+        """Postings by shingle and band of sizes: each in its own band, and for its larger partners in the next.
+
+        Sets that can link are in one band or in neighbours.  Lists without different roots go, and so do
+        postings of sets that have fewer such shingles than both their own level and the list's least one.
+        """
+        place = F.log(F.col("size").cast("double")) / math.log(100.0 / self.percent)
+        bands = F.sequence(F.floor(place - 1e-6).cast("int"), F.floor(place + 1 + 1e-6).cast("int"))
+        spread = postings.withColumn("own", F.floor(place).cast("int")).withColumn("band", F.explode(bands))
+        for _ in range(2):
+            lists = spread.groupBy("token", "band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max(F.col("own") == F.col("band")).alias("some"), F.min("level").alias("least"))
+            lists = lists.filter("r1 <> r2 and some").select("token", "band", "least")
+            left = shared.settle(spread.drop("least", "held").join(lists, ["token", "band"]), "lists")
+            held = left.groupBy("owner").agg(F.count_distinct("token").alias("held"))
+            spread = shared.settle(left.join(held, "owner").filter(F.col("held") >= F.least("level", "least")), "banded")
+        return spread
+
+    def _rest(self, postings: DataFrame) -> DataFrame:
+        """Pairs of different roots that share as many prefix shingles as their levels ask for."""
+        spread = self._banded(postings)
+        folds = [F.col(SIGNATURE[i]).bitwiseXOR(F.col(SIGNATURE[i + 8])).bitwiseXOR(F.col(SIGNATURE[i + 16])).bitwiseXOR(F.col(SIGNATURE[i + 24])).alias(FOLDED[i]) for i in range(8)]
+        signs = self.classes.join(spread.select("owner").distinct(), "owner", "left_semi").select("owner", *folds)
+        signed_ = shared.settle(spread.join(signs, "owner"), "signed")
+        cells = lambda i: [*self._side(i, "root", "held"), *[F.col(c).alias(f"{c}_{i}") for c in FOLDED]]
+        x, y = signed_.select("token", "band", *cells(1)), signed_.filter("own = band").select("token", "band", *cells(2))
+        once = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("owner1") < F.col("owner2")))
+        need = F.least("level1", "level2")
+        may = (F.col("root1") != F.col("root2")) & once & (need <= F.least("held1", "held2")) & self._may_link() & (self._apart(FOLDED) <= self._most_apart())
+        met = x.join(y, ["token", "band"]).filter(may).select(*self._pair(), need.alias("need"), "token")
+        return met.groupBy("a", "b").agg(F.count_distinct("token").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
     def set_components(self) -> DataFrame:
         """node, root of the sets that link with a different set."""
         prefixes = self._postings()
-        cells = ("owner", "size", "place", "level")
-        me = lambda i: [F.col(c).alias(f"{c}{i}") for c in cells]
-        pivot = shared.settle(prefixes.groupBy("token").agg(F.min(F.struct("rarer", "size", "owner", "place", "level")).alias("p")), "pivots")
-        star = prefixes.select("token", *me(1)).join(pivot.select("token", *[F.col(f"p.{c}").alias(f"{c}2") for c in cells]), "token")
-        salt = F.pmod(F.xxhash64("owner", "token"), F.ceil(F.col("df") / CHAIN).cast("long"))
-        chain = Window.partitionBy("token", salt).orderBy("rarer", "size", "owner")
-        back = prefixes.select("token", *me(1), *[F.lag(c).over(chain).alias(f"{c}2") for c in cells]).filter("owner2 is not null")
-        step = star.unionByName(back).filter(self._may_link()).select(*self._pair())
-        links, seen = self._links(_pairs(step, "shared >= need"))
+        links, seen = self._links(self._star(prefixes).unionByName(self._chain(prefixes, 0, ["rarer", "size", "owner"])), None)
         roots = shared.settle(components(links), "roots")
-        # what is left: pairs of different components that share a prefix shingle
-        placed = prefixes.join(roots, F.col("owner") == F.col("node"), "left").select("token", *cells, F.coalesce("root", "owner").alias("root"))
-        placed = shared.settle(placed, "placed")
-        open_ = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("token")
-        open_ = shared.settle(placed.join(open_, "token"), "open")
-        signs = self.facts.join(open_.select("owner").distinct(), F.col("a") == F.col("owner"), "left_semi").groupBy(F.col("a").alias("owner")).agg(*[F.max(c).alias(c) for c in SIGNATURE])
-        open_ = shared.settle(open_.join(signs, "owner"), "signed")
-        x, y = (open_.select("token", *me(i), F.col("root").alias(f"root{i}"), *[F.col(c).alias(f"{c}_{i}") for c in SIGNATURE]) for i in (1, 2))
-        apart = sum((F.bit_count(F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))) for c in SIGNATURE), F.lit(0))
-        once = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("owner1") < F.col("owner2")))
-        step = x.join(y, "token").filter((F.col("root1") != F.col("root2")) & once & self._may_link() & (apart <= self._most_apart())).select(*self._pair())
-        rest = _pairs(step, "shared >= need").join(seen, ["a", "b"], "left_anti")
-        more, _ = self._links(rest)
-        return shared.settle(components(links.unionByName(more)), "roots")
+        postings = self._open(prefixes, roots)
+        for i in range(1, SPARSE_ROUNDS):
+            found, seen = self._links(self._chain(postings, i, [F.xxhash64("owner", F.lit(i)), "owner"]), seen)
+            if not found.head(1):
+                break
+            links = links.unionByName(found)
+            roots = shared.settle(components(links), "roots")
+            postings = self._open(prefixes, roots)
+        found, _ = self._links(self._rest(postings), seen)
+        return shared.settle(components(links.unionByName(found)), "roots") if found.head(1) else roots
 
     def documents(self) -> DataFrame:
         """key, doc_id, n_shingles, component (of sets; null for an empty set) and component_id of every row."""
         roots = self.set_components()
-        classes = self.facts.filter("n > 0").groupBy("a").agg(F.min("doc_id").alias("least"))
-        rooted = classes.join(roots, F.col("a") == F.col("node"), "left").select("a", "least", F.coalesce("root", "a").alias("component"))
+        rooted = shared.settle(self.classes.join(roots, F.col("owner") == F.col("node"), "left").select("owner", "least", F.coalesce("root", "owner").alias("component")), "rooted")
         named = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-        classes = shared.settle(rooted.join(named, "component").select(F.col("a").alias("set_id"), "component", "component_id"), "classes")
+        classes = shared.settle(rooted.join(named, "component").select(F.col("owner").alias("set_id"), "component", "component_id"), "classes")
         out = self.facts.join(classes, F.col("a") == F.col("set_id"), "left")
         return out.select("key", "doc_id", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -298,3 +298,33 @@ def test_empty_tables(empty):
     assert jaccard_join.drop_near_copies(empty).count() == 0
     assert packing.pack(empty, TOKENIZER).count() == 0
     assert sharding.balanced_shards(empty).count() == 0
+
+
+def test_jaccard_join_one_shingle_in_most_of_the_unlinked_sets(spark):
+    """Sets that share a single shingle make no pair, and two linked ones among them are found."""
+    r = random.Random(9)
+    vocabulary = [f"v{j}" for j in range(240)]
+    body = ["qq rr ss " * (i % 3 > 0) + " ".join(r.sample(vocabulary, 240)) for i in range(1000)]
+    rows = [*enumerate(body), (5000, body[7] + " end")]
+    join = jaccard_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    prefixes = join._postings()
+    assert prefixes.groupBy("token").count().filter("count > 600").count() == 1
+    roots = spark.createDataFrame([], "node long, root long")
+    assert 2 <= join._banded(join._open(prefixes, roots)).select("owner").distinct().count() < 100
+    got = {x.doc_id: x.component_id for x in join.documents().collect()}
+    assert got == {i: i for i in range(1000)} | {5000: 7}
+
+
+def test_jaccard_join_deals_a_hot_shingle_by_set(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(60)] = f"z{r.randint(0, 9)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = jaccard_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80).documents().collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute.components(rows, 3, 80)
