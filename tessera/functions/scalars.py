@@ -95,6 +95,25 @@ def stable_key(*parts: Column) -> Column:
     return F.sha2(F.trim(F.concat_ws("|", *text)).cast("binary"), 256)
 
 
+def json_object(text: Column, strict: bool = False) -> Column:
+    """The text if it is a JSON object; else ``{}``, or with ``strict`` an error."""
+    good = F.coalesce(F.startswith(F.ltrim(text), F.lit("{")) & F.try_parse_json(text).isNotNull(), F.lit(False))
+    other = F.raise_error(F.concat(F.lit("not a JSON object: "), F.coalesce(F.substring(text, 1, 80), F.lit("null")))) if strict else F.lit("{}")
+    return F.when(good, text).otherwise(other)
+
+
+def relationship_limits(uncertainties: Column) -> Column:
+    """Those of an answer's uncertainties that tell of a relation type without a stored edge."""
+    return F.filter(uncertainties, lambda u: F.startswith(u, F.lit("No stored ")) & F.contains(u, F.lit("edge was found")) & F.contains(u, F.lit("cannot be determined from indexed code")))
+
+
+def with_limits(answer: Column, uncertainties: Column) -> Column:
+    """The answer with its relationship limits listed below, if it has any."""
+    limits = relationship_limits(uncertainties)
+    listed = F.concat(answer, F.lit("\n\nIndexed relationship limits:\n- "), F.array_join(limits, "\n- "))
+    return F.when(F.size(limits) > 0, listed).otherwise(answer)
+
+
 def strip_fence(text: Column) -> Column:
     """Text without a Markdown code fence around it."""
     return F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")

@@ -65,6 +65,33 @@ def memory_window(messages: DataFrame, group: str, place: str, role: str = "role
     return last.groupBy(group).agg(truncate(whole, MEMORY_CHARS).alias("memory"))
 
 
+def search_history(searches: DataFrame, most: int = 20) -> DataFrame:
+    """The latest searches (project_id, query, searched_at), each project and query once whatever its case, with place from 1; at most ``most``.
+
+    Blank queries and projects that aren't positive are left out.
+    """
+    text = F.trim("query")
+    rows = searches.filter((F.col("project_id") > 0) & (text != "")).withColumn("query", text)
+    one = Window.partitionBy("project_id", F.lower("query")).orderBy(F.desc("searched_at"), F.desc("query"))
+    latest = rows.withColumn("again", F.row_number().over(one)).filter("again = 1").drop("again")
+    kept = latest.orderBy(F.desc("searched_at"), "project_id", "query").limit(most)
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(F.desc("searched_at"), "project_id", "query")))
+
+
+def visible_history(history: DataFrame, project_id: int, most: int = 8) -> DataFrame:
+    """What is shown of a history: the current project's searches first, each part in its order."""
+    order = Window.orderBy(F.when(F.col("project_id") == project_id, 0).otherwise(1), "place")
+    return history.withColumn("shown", F.row_number().over(order)).filter(F.col("shown") <= most)
+
+
+def project_page(projects: DataFrame, term: str = "", sort: str = "manual", page: int = 1, size: int = 10) -> DataFrame:
+    """A page of the projects whose name or root holds ``term``: in manual order, by id, by name or by last scan (newest first)."""
+    text = F.lower(F.concat_ws(" ", "name", "root_path"))
+    found = projects.filter(F.contains(text, F.lit(term.strip().lower())))
+    orders = {"id": ["id"], "name": ["name", "id"], "scan": [F.desc_nulls_last("last_scan_at"), "sort_order", "id"], "manual": ["sort_order", "id"]}
+    return found.orderBy(*orders[sort if sort in orders else "manual"]).offset((page - 1) * size).limit(size)
+
+
 def citations(answer: Column) -> Column:
     """Numbers cited as [n], in order."""
     return F.transform(F.regexp_extract_all(answer, F.lit(CITATION), 1), lambda x: x.cast("int"))

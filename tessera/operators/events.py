@@ -54,8 +54,10 @@ def append_new(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> Data
 def reconcile(ledger: DataFrame, responses: DataFrame) -> DataFrame:
     """Pending attempts closed from durable responses (attempt_id, ordinal, error, latency_seconds); gaps and strangers are errors."""
     rows = attempts(ledger).select("attempt_id", "state")
-    step = Window.orderBy("ordinal")
-    marked = responses.withColumn("gap", F.col("ordinal") - F.lag("ordinal", 1, -1).over(step) != 1)
+    follows = responses.select((F.col("ordinal") + 1).alias("ordinal")).distinct().withColumn("follows", F.lit(True))
+    again = F.row_number().over(Window.partitionBy("ordinal").orderBy("attempt_id")) > 1
+    marked = responses.withColumn("again", again).join(follows, "ordinal", "left")
+    marked = marked.withColumn("gap", F.col("again") | ((F.col("ordinal") != 0) & F.col("follows").isNull()))
     out = rows.join(marked, "attempt_id", "full_outer")
     verdict = (
         F.when(F.col("state").isNull(), "unknown_response").when(F.col("gap"), "ordinal_gap")

@@ -65,6 +65,12 @@ def merge(walk: tuple[DataFrame, DataFrame], seed_order: DataFrame) -> tuple[Dat
     return nodes, walk[1].select("relation_id").distinct()
 
 
+def merge_by_id(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Several walks' nodes and edges as an evaluation lists them: each once, nodes by id, edges by their ends, type and id."""
+    own = nodes.dropDuplicates(["entity_id"]).orderBy("entity_id")
+    return own, edges.dropDuplicates(["relation_id"]).orderBy("source_id", "target_id", "relation_type", "relation_id")
+
+
 def api_matches(apis: DataFrame, method: str, normalized_path: str) -> DataFrame:
     """Backend APIs of exactly that method and path (columns http_method, normalized_path)."""
     return apis.filter((F.upper("http_method") == method.upper()) & (F.col("normalized_path") == normalized_path))

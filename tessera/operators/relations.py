@@ -76,6 +76,13 @@ def derive(entities: DataFrame, parsed: DataFrame) -> DataFrame:
     return first_of_each(found[0].unionByName(found[1]).unionByName(found[2])).drop("ordinal")
 
 
+def receiver_types(invocations: DataFrame, services: DataFrame) -> DataFrame:
+    """Frequency of each receiver type among the invocations, and whether it names a service."""
+    simple = services.select(F.explode(F.array("class_name", F.element_at(F.split("class_name", r"\."), -1))).alias("receiver_type")).distinct().withColumn("known", F.lit(True))
+    by = invocations.filter("receiver_type is not null").groupBy("receiver_type").agg(F.count("*").alias("n"))
+    return by.join(simple, "receiver_type", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def resolution_funnel(invocations: DataFrame, methods: DataFrame, services: DataFrame) -> DataFrame:
     """Invocations by outcome: resolved, unknown receiver type, or unresolved method."""
     resolved = call_edges(invocations.withColumn("qualifier", F.col("invocation_id").cast("string")), methods, services).select(F.col("qualifier").cast("long").alias("invocation_id"), F.lit(1).alias("ok"))

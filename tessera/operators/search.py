@@ -7,16 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.lexical import field_score, fold, lexical_score, parse_terms
+from tessera.functions.lexical import fold, folded, lexical_score, parse_terms, term_scores
 
 HIT = ("entity_id", "entity_type", "name", "qualified_name", "file_path", "start_line", "end_line", "content", "metadata_json")
 VECTOR_WEIGHT = 0.75
 RRF_K = 60
 
 
-def top(scored: DataFrame, limit: int) -> DataFrame:
-    """Best scores first, ties by id."""
-    return scored.orderBy(F.desc("score"), "entity_id").limit(limit)
+def top(scored: DataFrame, limit: int, tie: str = "entity_id") -> DataFrame:
+    """Best scores first, ties by id or another column, such as a stable key."""
+    return scored.orderBy(F.desc("score"), tie).limit(limit)
+
+
+def lexical_top(entities: DataFrame, terms: Sequence[str], limit: int = 10, digits: int | None = None) -> DataFrame:
+    """The best entities with ``score``, above 0.  The filter stands after the limit, so texts are scored once."""
+    score = lexical_score(terms)
+    scored = term_scores(entities, terms).withColumn("score", score if digits is None else F.round(score, digits))
+    return top(scored.select(*[F.col(f"`{c}`") for c in entities.columns], "score"), limit).filter("score > 0")
 
 
 def keyword_search(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -26,31 +33,34 @@ def keyword_search(entities: DataFrame, query: str, limit: int = 10) -> DataFram
         terms = ["\\"] if query.strip() == "\\" else []
     if not terms:
         return entities.withColumn("score", F.lit(0.0)).limit(0)
-    if len(terms) > 1 and terms[0] == fold(query.strip()):
-        scored = entities.withColumn("whole", field_score(terms[0])).withColumn("parts", lexical_score(terms[1:]))
-        best = scored.agg(F.max("whole").alias("best"))
-        scored = scored.crossJoin(F.broadcast(best)).withColumn("score", F.when(F.col("best") > 0, F.col("whole")).otherwise(F.col("parts"))).drop("whole", "parts", "best")
-    else:
-        scored = entities.withColumn("score", lexical_score(terms))
-    return top(scored.filter("score > 0"), limit)
+    if len(terms) == 1 or terms[0] != fold(query.strip()):
+        return lexical_top(entities, terms, limit)
+    # both scores in one pass: rows that have the query whole come first, so the others go if there is one
+    scored = term_scores(entities, terms).withColumn("whole", F.col("term_0") > 0)
+    scored = scored.withColumn("score", F.when(F.col("whole"), F.col("term_0")).otherwise(lexical_score(terms[1:], 1)))
+    best = scored.select(*[F.col(f"`{c}`") for c in entities.columns], "score", "whole").orderBy(F.desc("whole"), F.desc("score"), "entity_id").limit(limit)
+    found = best.withColumn("found", F.max("whole").over(Window.partitionBy()))
+    return found.filter((F.col("whole") == F.col("found")) & (F.col("score") > 0)).drop("whole", "found")
 
 
 def token_baseline(files: DataFrame, tokens: Sequence[str], limit: int = 10) -> DataFrame:
     """Files by the share of distinct query tokens they hold: file_path, matched, occurrences, score."""
-    text = F.lower("content")
-    found = [((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t)).cast("long") for t in tokens]
-    counts = files.select("file_path", F.array(*found).alias("n"))
+    text = F.col("lowered")
+    found = [F.floor((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t)).cast("long") for t in tokens]
+    counts = files.select("file_path", F.lower("content").alias("lowered")).select("file_path", F.array(*found).alias("n"))
     out = counts.select("file_path", F.size(F.filter("n", lambda x: x > 0)).alias("matched"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("occurrences"))
     out = out.withColumn("score", F.round(F.col("matched") / len(tokens), 4))
-    return out.filter("matched > 0").orderBy(F.desc("score"), "file_path").limit(limit)
+    return out.orderBy(F.desc("score"), "file_path").limit(limit).filter("matched > 0")
 
 
 def keyword_baseline(entities: DataFrame, tokens: Sequence[str], limit: int = 10) -> DataFrame:
-    """Per token the best 3 * limit hits, folded by file: tokens matched, best score, first hit's id."""
-    hits = None
-    for t in tokens:
-        one = top(entities.withColumn("score", field_score(t)).filter("score > 0"), 3 * limit).select("entity_id", "file_path", "score", F.lit(t).alias("token"))
-        hits = one if hits is None else hits.unionByName(one)
+    """Per token the best 3 * limit hits, folded by file: tokens matched, best score, first hit's id.
+
+    All tokens are scored in one pass; the best of each token are cut before the shuffle.
+    """
+    scored = term_scores(entities, tokens).select("entity_id", "file_path", F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.col(f"term_{i}").alias("score")) for i, t in enumerate(tokens)])).alias("x"))
+    order = Window.partitionBy("token").orderBy(F.desc("score"), "entity_id")
+    hits = scored.select("entity_id", "file_path", "x.*").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 3 * limit).filter("score > 0")
     by = hits.groupBy("file_path").agg(F.count_distinct("token").alias("n_tokens"), F.max("score").alias("best"), F.min_by("entity_id", F.struct(-F.col("score"), "entity_id")).alias("entity_id"))
     return by.orderBy(F.desc("n_tokens"), F.desc("best"), "file_path").limit(limit)
 
@@ -78,10 +88,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot / size).otherwise(0.0)
 
 
-def vector_search(vectors: DataFrame, query: Sequence[float], limit: int = 10) -> DataFrame:
+def vector_search(vectors: DataFrame, query: Sequence[float], limit: int = 10, digits: int | None = None) -> DataFrame:
     """entity_id and cosine score of the nearest vectors (entity_id, embedding); the query is a literal."""
     literal = F.array(*[F.lit(float(x)) for x in query])
-    return top(vectors.withColumn("score", cosine(F.col("embedding").cast("array<double>"), literal)).drop("embedding"), limit)
+    score = cosine(F.col("embedding").cast("array<double>"), literal)
+    return top(vectors.withColumn("score", score if digits is None else F.round(score, digits)).drop("embedding"), limit)
 
 
 def _branches(vector: DataFrame, keyword: DataFrame) -> DataFrame:
@@ -96,10 +107,27 @@ def positive_scaled(column: str) -> Column:
     return F.when(F.col(column) > 0, F.col(column) / best).otherwise(0.0)
 
 
-def weighted_fusion(vector: DataFrame, keyword: DataFrame, limit: int = 10, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
+def weighted_fusion(vector: DataFrame, keyword: DataFrame, limit: int = 10, vector_weight: float = VECTOR_WEIGHT, digits: int | None = None) -> DataFrame:
     """Weighted sum of both branches' scaled scores, best first, ties by id."""
     both = _branches(vector, keyword).select("entity_id", positive_scaled("v").alias("v"), positive_scaled("k").alias("k"))
-    return top(both.select("entity_id", (F.col("v") * vector_weight + F.col("k") * (1 - vector_weight)).alias("score")), limit)
+    score = F.col("v") * vector_weight + F.col("k") * (1 - vector_weight)
+    return top(both.select("entity_id", (score if digits is None else F.round(score, digits)).alias("score")), limit)
+
+
+def weight_sweep(vector: DataFrame, keyword: DataFrame, weights: Sequence[float], limit: int = 10, digits: int | None = None) -> DataFrame:
+    """weight, entity_id and score: the weighted fusion's best for each of ``weights`` from one pass over the branches."""
+    both = _branches(vector, keyword).select("entity_id", positive_scaled("v").alias("v"), positive_scaled("k").alias("k"))
+    swept = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in weights])))
+    score = F.col("v") * F.col("weight") + F.col("k") * (1 - F.col("weight"))
+    order = Window.partitionBy("weight").orderBy(F.desc("score"), "entity_id")
+    swept = swept.withColumn("score", score if digits is None else F.round(score, digits)).withColumn("place", F.row_number().over(order))
+    return swept.filter(F.col("place") <= limit).select("weight", "entity_id", "score")
+
+
+def degraded(vector: DataFrame | None, keyword: DataFrame | None, limit: int = 10) -> DataFrame:
+    """The best of the branch that is left, with ``source`` naming the fallback."""
+    source, left = ("keyword_fallback", keyword) if vector is None else ("vector_fallback", vector)
+    return top(left.select("entity_id", "score"), limit).withColumn("source", F.lit(source))
 
 
 def reciprocal_rank_fusion(vector: DataFrame, keyword: DataFrame, limit: int = 10, k: int = RRF_K) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,26 @@ def project_stats(files: DataFrame, entities: DataFrame, relations: DataFrame, i
     return out
 
 
+def ranked_counts(df: DataFrame, key: str, *sums: str) -> DataFrame:
+    """n and sums by ``key``, most frequent first (place from 1, ties by key); the last row, ``*``, has the totals."""
+    cells = [F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums]]
+    by = df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias(key)).agg(*cells)
+    by = by.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), key)))  # one row a value
+    return by.unionByName(df.agg(*cells).select(F.lit("*").alias(key), "n", *sums, F.lit(0).alias("place")))
+
+
+def matched_relations(edges: DataFrame, relation_type: str = "REQUESTS_API") -> DataFrame:
+    """One row: relations of a type, and the distinct calls among their sources (the first figure counts a call once for each API)."""
+    return edges.filter(F.col("relation_type") == relation_type).agg(F.count("*").alias("relations"), F.count_distinct("source_id").alias("calls"))
+
+
+def scan_summary(files: DataFrame, entities: DataFrame, relations: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row: files, entities and relations indexed, files skipped and parse errors."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    bad = issues.agg(F.count_if(F.col("issue_type") == "skipped").alias("files_skipped"), F.count_if(F.col("issue_type") == "parse_error").alias("parse_errors"))
+    return n(files, "files_indexed").crossJoin(n(entities, "entities_indexed")).crossJoin(n(relations, "relations_indexed")).crossJoin(bad)
+
+
 def matched_calls(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: identified, matched and unmatched calls (call_id); edges have source_id."""
     hit = calls.join(edges.select(F.col("source_id").alias("call_id")), "call_id", "left_semi").agg(F.count("*").alias("matched"))

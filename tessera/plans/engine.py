@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schema
@@ -16,11 +16,11 @@ from tessera.operators import context, graph, parsing, relations, search, stats
 from tessera.plans.providers import Complete, Embed, embed_chunks, hash_embedder, rewrite_query
 from tessera.schema import DomainError
 from tessera.sources.files import scan
-from tessera.sources.store import Store, check_vectors
+from tessera.sources.store import Store, check_vectors, numbered
 
 NO_EVIDENCE = "No supporting code evidence was found."
 REFUSED = "The model answer did not pass evidence validation, so it was not returned."
-LIMITS = "Indexed relationship limits:"
+GRAPH_UNAVAILABLE = "Graph relationship retrieval was unavailable; only direct search evidence was used."
 CATALOG = "catalog"
 
 
@@ -103,18 +103,16 @@ class Engine:
 
     def _index(self, project_id: int, root: str) -> dict:
         files, issues = scan(self.spark, root, project_id)
-        files = files.cache()
-        parsed = parsing.parse_files(files).cache()
+        files, issues = self.store.settle(files), self.store.settle(issues)
+        parsed = self.store.settle(parsing.parse_files(files))
         requests = parsed.select(F.inline("requests"))
         calls, warnings = parsing.resolve_requests(requests, *parsing.catalogs(parsed))
         found = parsed.select(F.inline("entities")).unionByName(calls)
         # one numbering over a project's entities, in the order of their keys, the last of each key
         keyed = relations.last_of_each(found.withColumn("ordinal", F.col("start_line")))
-        rank = F.row_number().over(Window.partitionBy("project_id").orderBy("local_key")).cast("long")
-        entities = keyed.drop("ordinal").withColumn("project_id", F.lit(project_id).cast("long")).withColumn("id", rank).cache()
+        entities = numbered(self.store, keyed.drop("ordinal").withColumn("project_id", F.lit(project_id).cast("long")), "id", "local_key")
         edges = relations.resolve_ends(relations.derive(entities, parsed.select(F.inline("relations"))), entities)
-        rank = F.row_number().over(Window.partitionBy("project_id").orderBy("source_id", "target_id", "relation_type")).cast("long")
-        edges = edges.withColumn("project_id", F.lit(project_id).cast("long")).withColumn("id", rank)
+        edges = numbered(self.store, edges.withColumn("project_id", F.lit(project_id).cast("long")), "id", "source_id", "target_id", "relation_type")
         names = ["project_id", "id", *(x.split()[0] for x in schema.ENTITY.split(", "))]
         extra = warnings.unionByName(parsing.parse_errors(parsed)).withColumn("project_id", F.lit(project_id).cast("long"))
         self.store.publish(
@@ -124,10 +122,9 @@ class Engine:
                 "relations": edges.select("project_id", "id", "source_id", "target_id", "relation_type", "confidence", "metadata_json"),
             },
         )
-        for df in (files, parsed, entities):
-            df.unpersist()
-        counts = {t: self.store.read(project_id, t).count() for t in ("files", "entities", "relations", "issues")}
-        return {f"{t}_indexed": n for t, n in counts.items()}
+        self.store.unsettle(files, issues, parsed, entities, edges)
+        read = [self.store.read(project_id, t) for t in ("files", "entities", "relations", "issues")]
+        return stats.scan_summary(*read).first().asDict() | {"issues_indexed": read[3].count()}
 
     def _read(self, project_id: int, table: str) -> DataFrame:
         self.project(project_id)
@@ -169,12 +166,13 @@ class Engine:
     def build_vector_index(self, project_id: int) -> int:
         chunks = self.entities(project_id).select("entity_id", search.chunk_text().alias("chunk"))
         try:
-            vectors = embed_chunks(chunks, self.embed).cache()
+            vectors = self.store.settle(embed_chunks(chunks, self.embed))
             n = chunks.count()
             check_vectors(vectors, n)
         except Exception as e:
             raise DomainError("EMBEDDING_REQUEST_FAILED", str(e), 502) from e
         self.store.publish(f"vectors-{project_id}", {"vectors": vectors})
+        self.store.unsettle(vectors)
         return n
 
     def keyword(self, project_id: int, query: str, limit: int = 10) -> DataFrame:
@@ -182,6 +180,10 @@ class Engine:
             raise ValueError("a query and a limit of 1 to 50 are needed")
         return search.keyword_search(self.entities(project_id), query, limit)
 
+    def _few(self, hits: DataFrame) -> DataFrame:
+        """A branch's hits, at most its limit, as local rows: computed once, nothing stays cached."""
+        return self.spark.createDataFrame(hits.select("entity_id", "score").collect(), "entity_id long, score double")
+
     def hybrid(self, project_id: int, query: str, limit: int = 10) -> DataFrame:
         """Both branches with twice the limit, fused; one branch failing degrades, both failing is an error."""
         query = rewrite_query(query, self.complete)
@@ -191,16 +193,14 @@ class Engine:
         vector, keyword, failed = None, None, []
         try:
             literal = self.embed([query])[0]
-            vector = search.vector_search(self.store.read(f"vectors-{project_id}", "vectors"), literal, 2 * limit).cache()
-            vector.count()
+            vector = self._few(search.vector_search(self.store.read(f"vectors-{project_id}", "vectors"), literal, 2 * limit))
         except DomainError:
             raise
         except Exception as e:
             failed.append(f"vector: {e}")
             vector = None
         try:
-            keyword = self.keyword(project_id, query, min(50, 2 * limit)).select("entity_id", "score").cache()
-            keyword.count()
+            keyword = self._few(self.keyword(project_id, query, min(50, 2 * limit)).select("entity_id", "score"))
         except DomainError:
             raise
         except Exception as e:
@@ -255,12 +255,18 @@ class Engine:
         notes = []
         if walk:
             edges = self.edges(project_id)
-            ranked = graph.graph_rag(entities, edges, hits.select("entity_id", "score"))
-            rows = ranked.join(entities, "entity_id").orderBy("graph_depth", F.desc("retrieval_score"), "entity_id").collect()
+            try:
+                ranked = graph.graph_rag(entities, edges, hits.select("entity_id", "score"))
+                rows = ranked.join(entities, "entity_id").orderBy("graph_depth", F.desc("retrieval_score"), "entity_id").collect()
+            except Exception:  # the direct hits stay evidence
+                direct = hits.withColumn("graph_depth", F.lit(0)).withColumn("retrieval_score", F.col("score")).withColumn("relation_reason", F.lit("direct hybrid-search hit"))
+                rows, edges = direct.collect(), None
+                notes = [GRAPH_UNAVAILABLE]
+        if walk and edges is not None:
             ids = {r.entity_id for r in rows}
             inside = edges.filter(F.col("source_id").isin(*ids) & F.col("target_id").isin(*ids)) if ids else edges.limit(0)
             notes = [f"No stored {r.relation_type} edge was found; its relationship cannot be determined from indexed code." for r in graph.missing_relation_types(inside).orderBy("place").collect()]
-        else:
+        if not walk:
             rows = hits.collect()
         blocks, refs, used = [], [], 0
         for r in rows:
@@ -276,7 +282,7 @@ class Engine:
             blocks.append(block)
             refs.append({"citation": len(refs) + 1, "entity_id": r.entity_id, "file_path": r.file_path, "start_line": r.start_line, "end_line": r.end_line, "qualified_name": r.qualified_name})
             used = size
-        if walk and refs:
+        if walk and refs and edges is not None:
             kept = self.spark.createDataFrame([(r["entity_id"], r["qualified_name"]) for r in refs], "entity_id long, qualified_name string")
             lines = [x.line for x in context.edge_lines(edges, kept).orderBy("relation_id").collect()]
             section = "\n".join(["Stored graph edges (authoritative):", *lines])
@@ -312,8 +318,9 @@ class Engine:
                 out |= {"answer": answer, "uncertainties": list(dict.fromkeys(notes))}
                 if files is not None:
                     out["affected_files"] = files
-                if task == "TRACE_CHAIN" and notes:
-                    out["answer"] += f"\n\n{LIMITS}\n" + "\n".join(f"- {n}" for n in notes)
+                limits = [n for n in out["uncertainties"] if n.startswith("No stored ") and "edge was found" in n and "cannot be determined from indexed code" in n]
+                if task == "TRACE_CHAIN" and limits:
+                    out["answer"] += "\n\nIndexed relationship limits:\n" + "\n".join(f"- {n}" for n in limits)
                 return out
             prompt = f"{prompt}\n\nThe last answer was rejected:\n" + "\n".join(problems)
         return out | {"answer": REFUSED, "uncertainties": [*notes, *problems, "Evidence validation repair limit reached."]}
@@ -374,18 +381,29 @@ class Engine:
         return found[0].asDict() | {"messages": [m.asDict() for m in own.collect()]}
 
     def save_exchange(self, project_id: int, question: str, result: dict, conversation_id: int | None = None) -> int:
-        """Both messages in one publication; a new conversation is titled by the question's first 80 characters."""
-        key, talks, messages = self._talk(project_id)
+        """Both messages in one publication, added to those there; a new conversation is titled by the question's first 80 characters.
+
+        If another exchange was saved meanwhile, the numbers are taken anew.
+        """
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        if conversation_id is None:
-            every = [r[0] for p in self._projects() for r in self._talk(p["id"])[1].agg(F.coalesce(F.max("id"), F.lit(0))).collect()]
-            conversation_id = max([0, *every]) + 1
-            talks = talks.unionByName(self.spark.createDataFrame([(conversation_id, project_id, question[:80], now, now)], schema.CONVERSATIONS))
-        last = messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         about = json.dumps({k: v for k, v in result.items() if k != "answer"}, ensure_ascii=False, sort_keys=True, default=str)
-        new = [(last + 1, conversation_id, "user", question, None, "{}", now), (last + 2, conversation_id, "assistant", result["answer"], result.get("task_type"), about, now)]
-        self.store.publish(key, {"conversations": talks, "messages": messages.unionByName(self.spark.createDataFrame(new, schema.MESSAGES))})
-        return conversation_id
+        while True:
+            expected = self.store.version(f"talk-{project_id}")
+            key, _, messages = self._talk(project_id)
+            number, more = conversation_id, {}
+            if number is None:
+                every = [r[0] for p in self._projects() for r in self._talk(p["id"])[1].agg(F.coalesce(F.max("id"), F.lit(0))).collect()]
+                number = max([0, *every]) + 1
+                more["conversations"] = self.spark.createDataFrame([(number, project_id, question[:80], now, now)], schema.CONVERSATIONS)
+            last = messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            new = [(last + 1, number, "user", question, None, "{}", now), (last + 2, number, "assistant", result["answer"], result.get("task_type"), about, now)]
+            more["messages"] = self.spark.createDataFrame(new, schema.MESSAGES)
+            try:
+                self.store.publish(key, {}, more=more, expected=expected)
+                return number
+            except DomainError as e:
+                if e.code != "WRITE_CONFLICT":
+                    raise
 
     def chat(self, project_id: int, question: str, conversation_id: int | None = None, limit: int = 5) -> dict:
         """Route a question, answer it with the conversation's last messages in mind, and save the exchange."""

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera import testdata as td
 from tessera.functions import scalars
-from tessera.functions.lexical import field_score, lexical_score
 from tessera.operators import context, events, graph, metrics, relations, search, stats, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,18 +51,18 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("entity_id", "file_path", F.round("score", 6).alias("score"))
 
 
-def _search(df: DataFrame, score, limit: int = 20) -> DataFrame:
-    return _hits(search.top(df.withColumn("score", F.round(score, 9)).filter("score > 0"), limit))
+def _search(df: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
+    return _hits(search.lexical_top(df, terms, limit, 9))
 
 
 @query(_top_sql(_score_sql("doc_7")))
 def lex_single_term(spark, sf):
-    return _search(td.entities(spark, sf), field_score("doc_7"))
+    return _search(td.entities(spark, sf), ["doc_7"])
 
 
 @query(_top_sql(_terms_sql(["code", "the", "src3", "doc_12"])))
 def lex_multi_term(spark, sf):
-    return _search(td.entities(spark, sf), lexical_score(["code", "the", "src3", "doc_12"]))
+    return _search(td.entities(spark, sf), ["code", "the", "src3", "doc_12"])
 
 
 @query(_top_sql(_score_sql("src1.en.doc_1")))
@@ -78,17 +77,32 @@ def lex_structured_fallback(spark, sf):
 
 @query(_top_sql(_score_sql("%%%")))
 def lex_literal_wildcards(spark, sf):
-    return _search(td.entities(spark, sf), field_score("%%%"))
+    return _search(td.entities(spark, sf), ["%%%"])
 
 
 @query(_top_sql(_score_sql("the"), "entity_type = 'src4'"))
 def lex_project_isolation(spark, sf):
-    return _search(td.entities(spark, sf).filter(F.col("entity_type") == "src4"), field_score("the"))
+    return _search(td.entities(spark, sf).filter(F.col("entity_type") == "src4"), ["the"])
 
 
 @query(_top_sql(_score_sql("/doc_4")))
 def lex_path_term(spark, sf):
-    return _search(td.entities(spark, sf), field_score("/doc_4"))
+    return _search(td.entities(spark, sf), ["/doc_4"])
+
+
+#: Every seventh document begins with a sharp s and a decomposed accent.
+_ODD = "Königsstraße cafe\u0301 "
+
+
+@query(
+    f"WITH {td.ENT}, odd AS (SELECT * REPLACE (CASE WHEN entity_id % 7 = 0 THEN '{_ODD}' || content ELSE content END AS content) FROM ent), "
+    "ent2 AS (SELECT * REPLACE (replace(lower(nfc_normalize(content)), 'ß', 'ss') AS content) FROM odd) "
+    + _top_sql(_terms_sql(["königsstrasse", "caf\u00e9"]))[len(f"WITH {td.ENT} ") :].replace("FROM ent ", "FROM ent2 ")
+)
+def lex_casefold(spark, sf):
+    e = td.entities(spark, sf)
+    odd = e.withColumn("content", F.when(F.col("entity_id") % 7 == 0, F.concat(F.lit(_ODD), "content")).otherwise(F.col("content")))
+    return _hits(search.keyword_search(odd, "KÖNIGSSTRASSE caf\u00e9", 20))
 
 
 _COUNT = "+".join(f"(length(lower(content)) - length(replace(lower(content), '{t}', ''))) // {len(t)}" for t in ("the", "und", "que"))
@@ -122,13 +136,11 @@ _KEY = f"{td.ENT}, key AS (SELECT entity_id, round({_terms_sql(['the', 'src1'])}
 
 
 def _vector(spark, sf, limit=20):
-    literal = F.array(*[F.lit(x) for x in td.query_vector(spark, sf)])
-    v = td.vectors(spark, sf)
-    return search.top(v.select("entity_id", F.round(search.cosine(F.col("embedding"), literal), 9).alias("score")), limit)
+    return search.vector_search(td.vectors(spark, sf), td.query_vector(spark, sf), limit, 9)
 
 
 def _keyword(spark, sf, limit=20):
-    return search.top(td.entities(spark, sf).select("entity_id", F.round(lexical_score(["the", "src1"]), 9).alias("score")).filter("score > 0"), limit)
+    return search.lexical_top(td.entities(spark, sf), ["the", "src1"], limit, 9).select("entity_id", "score")
 
 
 def _rounded(df):
@@ -153,9 +165,8 @@ def _fused_sql(w: float, limit: int = 10) -> str:
     return f"SELECT entity_id, round({w} * v + {1 - w} * k, 9) AS score FROM both_ ORDER BY score DESC, entity_id LIMIT {limit}"
 
 
-def _fuse(spark, sf, w=search.VECTOR_WEIGHT, limit=10):
-    both = search._branches(_vector(spark, sf), _keyword(spark, sf)).select("entity_id", search.positive_scaled("v").alias("v"), search.positive_scaled("k").alias("k"))
-    return search.top(both.select("entity_id", F.round(F.col("v") * w + F.col("k") * (1 - w), 9).alias("score")), limit)
+def _fuse(spark, sf, limit=10):
+    return search.weighted_fusion(_vector(spark, sf), _keyword(spark, sf), limit, digits=9)
 
 
 @query(f"WITH {_VEC}, {_KEY}, {_BOTH} SELECT entity_id, round(score, 6) AS score FROM ({_fused_sql(0.75)})")
@@ -168,11 +179,8 @@ _SWEEP = (0.5, 0.6, 0.7, 0.75, 0.8, 0.9)
 
 @query(f"WITH {_VEC}, {_KEY}, {_BOTH} " + " UNION ALL ".join(f"SELECT {w}::DOUBLE AS weight, entity_id, round(score, 6) AS score FROM ({_fused_sql(w)})" for w in _SWEEP))
 def hybrid_weight_sweep(spark, sf):
-    both = search._branches(_vector(spark, sf), _keyword(spark, sf)).select("entity_id", search.positive_scaled("v").alias("v"), search.positive_scaled("k").alias("k"))
-    swept = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in _SWEEP])))
-    swept = swept.withColumn("score", F.round(F.col("v") * F.col("weight") + F.col("k") * (1 - F.col("weight")), 9))
-    order = Window.partitionBy("weight").orderBy(F.desc("score"), "entity_id")
-    return swept.withColumn("n", F.row_number().over(order)).filter("n <= 10").select("weight", "entity_id", F.round("score", 6).alias("score"))
+    swept = search.weight_sweep(_vector(spark, sf), _keyword(spark, sf), _SWEEP, digits=9)
+    return swept.select("weight", "entity_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_VEC}, {_KEY} SELECT entity_id, round(sum(p), 6) AS score FROM (SELECT entity_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, entity_id)) AS p FROM vec UNION ALL SELECT entity_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, entity_id)) FROM key) GROUP BY entity_id ORDER BY round(sum(p), 9) DESC, entity_id LIMIT 10")
@@ -191,12 +199,12 @@ def hybrid_branch_diagnostics(spark, sf):
 
 @query(f"WITH {_KEY} SELECT entity_id, round(score, 6) AS score, 'keyword_fallback' AS source FROM key ORDER BY score DESC, entity_id LIMIT 10")
 def hybrid_degraded_keyword(spark, sf):
-    return _rounded(search.top(_keyword(spark, sf), 10)).withColumn("source", F.lit("keyword_fallback"))
+    return search.degraded(None, _keyword(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_VEC} SELECT entity_id, round(score, 6) AS score, 'vector_fallback' AS source FROM vec ORDER BY vec.score DESC, entity_id LIMIT 10")
 def hybrid_degraded_vector(spark, sf):
-    return _rounded(search.top(_vector(spark, sf), 10)).withColumn("source", F.lit("vector_fallback"))
+    return search.degraded(_vector(spark, sf), None).withColumn("score", F.round("score", 6))
 
 
 # -- scalars --
@@ -381,10 +389,10 @@ def diagnostics_matched_unmatched(spark, sf):
     return stats.matched_calls(c, td.table(spark, sf, "orders").select(F.col("o_custkey").alias("source_id")))
 
 
-@query("SELECT c_custkey AS call_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY 1 LIMIT 10")
+@query("SELECT c_custkey AS call_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) ORDER BY 1 LIMIT 10")
 def diagnostics_examples(spark, sf):
     c = td.table(spark, sf, "customer").select(F.col("c_custkey").alias("call_id"))
-    return stats.unmatched_calls(c, td.table(spark, sf, "orders").select(F.col("o_custkey").alias("source_id")))
+    return stats.unmatched_calls(c, td.table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("source_id")))
 
 
 @query("SELECT coalesce(lang, '*') AS row_value, coalesce(source, '*') AS column_value, count(*) AS n FROM documents GROUP BY CUBE (lang, source)")
@@ -531,7 +539,13 @@ def context_budget_prefix(spark, sf):
     return context.budget_prefix(d, "source", "doc_id", "text").select("source", "doc_id", "used")
 
 
-@query()
+@query(
+    "WITH RECURSIVE d AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), "
+    "s AS (SELECT source, doc_id, i, n <= 12000 AS kept, (n <= 12000)::INT AS citation, CASE WHEN n <= 12000 THEN n ELSE 0 END AS used FROM d WHERE i = 1 "
+    "UNION ALL SELECT d.source, d.doc_id, d.i, s.used + CASE WHEN s.citation > 0 THEN 2 ELSE 0 END + d.n <= 12000, s.citation + (s.used + CASE WHEN s.citation > 0 THEN 2 ELSE 0 END + d.n <= 12000)::INT, "
+    "CASE WHEN s.used + CASE WHEN s.citation > 0 THEN 2 ELSE 0 END + d.n <= 12000 THEN s.used + CASE WHEN s.citation > 0 THEN 2 ELSE 0 END + d.n ELSE s.used END FROM s JOIN d ON d.source = s.source AND d.i = s.i + 1) "
+    "SELECT source, doc_id, citation::INT AS citation, used::INT AS used FROM s WHERE kept"
+)
 def context_budget_greedy(spark, sf):
     d = td.table(spark, sf, "documents").select("source", "doc_id", "text")
     return context.budget_greedy(d, "source", "doc_id", "text")
@@ -608,13 +622,13 @@ def violations_identity(spark, sf):
     return validate.one_identity(td.table(spark, sf, "events"), "identity", "event_type")
 
 
-@query("SELECT n_nationkey::BIGINT AS nation, o_orderpriority AS priority, 'missing' AS kind FROM nation, (SELECT DISTINCT o_orderpriority FROM orders) EXCEPT SELECT c_nationkey, o_orderpriority, 'missing' FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 330000")
+@query("SELECT n_nationkey::BIGINT AS nation, o_orderpriority AS priority, 'missing' AS kind FROM nation, (SELECT DISTINCT o_orderpriority FROM orders) EXCEPT SELECT c_nationkey, o_orderpriority, 'missing' FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 97 = 0")
 def schedule_gap(spark, sf):
     o = td.table(spark, sf, "orders")
     c = td.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("nation"))
     levels = o.select(F.col("o_orderpriority").alias("priority")).distinct()
     expected = td.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("nation")).crossJoin(F.broadcast(levels))
-    seen = o.filter("o_totalprice > 330000").join(c, "o_custkey").select("nation", F.col("o_orderpriority").alias("priority"))
+    seen = o.filter("o_orderkey % 97 = 0").join(c, "o_custkey").select("nation", F.col("o_orderpriority").alias("priority"))
     return validate.schedule_gaps(expected, seen, ["nation", "priority"])
 
 

@@ -42,7 +42,9 @@ def scan(spark: SparkSession, root: str, project_id: int = 1, max_bytes: int = M
         raise DomainError("INVALID_ROOT_PATH", f"{root} is not a folder.", 400)
     links = local_links(root)
     plain = root.removeprefix("file://").rstrip("/")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # a file that is listed but can't be read gives no row where its content is asked for
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    listed = reader.load(root)
     relative = F.regexp_replace(F.col("path"), r"^[A-Za-z0-9+.-]+:/*(?=/)", "")
     relative = F.substring(relative, F.lit(len(plain) + 2), F.length("path"))
     rows = listed.withColumn("file_path", relative).withColumn("language", language_of(F.col("file_path")))
@@ -60,7 +62,9 @@ def scan(spark: SparkSession, root: str, project_id: int = 1, max_bytes: int = M
         F.lit(project_id).cast("long").alias("project_id"), "file_path", "language", line_count(text).alias("line_count"),
         F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size_bytes"), text.alias("content"),
     )
-    skipped = read.filter("reason_code is not null").select("file_path", "reason_code")
+    checked = read.filter("content is not null").select("file_path", "reason_code")
+    unread = small.select("file_path").join(checked.select("file_path"), "file_path", "left_anti")
+    skipped = checked.filter("reason_code is not null").unionByName(unread.select("file_path", F.lit("READ_ERROR").alias("reason_code")))
     skipped = skipped.unionByName(rows.filter(F.col("length") > max_bytes).select("file_path", F.lit("FILE_TOO_LARGE").alias("reason_code")))
     known = [x for x in links if x.rsplit(".", 1)[-1].lower() in LANGUAGES]
     if known:

@@ -21,6 +21,44 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return rows.filter(~bad).select(*[F.col(f"r.`{n}`") for n in names]), rows.filter(bad).select(F.col("value").alias("line"))
 
 
+def torn_tails(spark: SparkSession, path: str, most: int = 1 << 20) -> list[str]:
+    """The unfinished last lines of the files of a JSON-lines folder or file: those without a line break that aren't JSON.
+
+    The driver reads at most ``most`` bytes from each file's end.
+    """
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = [s for s in system.listStatus(root) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    out = []
+    for status in listed:
+        size = status.getLen()
+        at = max(0, size - most)
+        stream = system.open(status.getPath())
+        try:
+            stream.seek(at)
+            tail = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+        if tail and not tail.endswith((b"\n", b"\r")):
+            last = tail.splitlines()[-1].decode("utf-8", "replace")
+            try:
+                json.loads(last)
+            except ValueError:
+                out.append(last)
+    return out
+
+
+def read_checkpoint(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantined lines) of an appended JSON-lines checkpoint: a file's torn last line, left by a writer that
+    died, is set aside; any other bad line is an error."""
+    rows, bad = read_jsonl(spark, path, schema, strict=False)
+    torn = torn_tails(spark, path)
+    if bad.filter(~F.col("line").isin(*torn) if torn else F.lit(True)).head(1):
+        raise ValueError(f"{path} has a bad line that isn't a torn last one")
+    return rows, bad
+
+
 def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array or JSON lines, whichever the file holds."""
     first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
@@ -45,12 +83,25 @@ def _scalar(text: str) -> object:
     return text
 
 
+def _uncommented(line: str) -> str:
+    """A line without its comment: from a ``#`` at its start or after a blank, outside quotes."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" and (i == 0 or line[i - 1] in " :[{,-"):
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1] in " \t"):
+            return line[:i]
+    return line
+
+
 def parse_manifest(text: str) -> object:
     """The part of YAML that manifests use: nested maps and lists by indentation, plain and quoted scalars."""
     lines = []
     for raw in text.splitlines():
-        body = raw.split(" #", 1)[0].rstrip()
-        if body.strip() and not body.lstrip().startswith("#") and body.strip() != "---":
+        body = _uncommented(raw).rstrip()
+        if body.strip() and body.strip() != "---":
             lines.append((len(body) - len(body.lstrip()), body.strip()))
 
     def block(at: int, depth: int) -> tuple[object, int]:

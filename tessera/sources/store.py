@@ -1,9 +1,9 @@
-"""Versioned tables by project: a version is written aside and published by one rename."""
+"""Versioned tables by project: data is written aside, and one mark publishes a version."""
 
 from __future__ import annotations
 
 import json
-import threading
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -12,79 +12,129 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import stable_key
 from tessera.schema import DomainError
+from tessera.sources import marks
+
+#: Versions that stay readable after newer ones, for readers that began with them.
+KEPT = 3
+#: Seconds after which a scan's lock counts as left behind by a process that died.
+LEASE = 6 * 3600
 
 
 class Store:
     """Tables of projects below ``root``.
 
-    ``publish`` replaces all of a project's tables at once: readers see the old version until the
-    marker of the new one is there, and a failure before that leaves the old one in place.
+    A version is a numbered mark that lists each table's folders.  Marks are made once, so of several
+    writers of one number a single one succeeds; the others take the next number or, with
+    ``expected``, are told.  Readers see the old version until the new mark is there, a failure
+    before that leaves the old one in place, and the last ``KEPT`` versions' folders stay.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self._locks: dict[object, threading.Lock] = {}
-        self._guard = threading.Lock()
 
-    def _fs(self, path: str):
-        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        p = fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p, fs
+    def _marks(self, project) -> str:
+        return f"{self.root}/marks/{project}"
 
-    def _list(self, path: str) -> list[str]:
-        system, p, _ = self._fs(path)
-        return [s.getPath().getName() for s in system.listStatus(p)] if system.exists(p) else []
+    def version(self, project) -> int:
+        """Number of the last version, 0 without one."""
+        found = marks.names_in(self.spark, self._marks(project))
+        return int(found[-1]) if found else 0
 
-    def _version(self, project) -> str | None:
-        marks = sorted((m for m in self._list(f"{self.root}/marks/{project}")), key=lambda m: int(m.split("-")[0]))
-        return marks[-1] if marks else None
+    def _tables(self, project, number: int) -> dict[str, list[str]]:
+        return json.loads(marks.read_text(self.spark, f"{self._marks(project)}/{number:012d}")) if number else {}
 
     def has(self, project, table: str | None = None) -> bool:
-        mark = self._version(project)
-        return mark is not None and (table is None or table in self._list(f"{self.root}/data/{project}/{mark}"))
-
-    def publish(self, project, tables: dict[str, DataFrame], keep: bool = False) -> None:
-        """Replace a project's tables; with ``keep`` the tables not named stay as they are."""
-        now = self._version(project)
-        mark = f"{int(now.split('-')[0]) + 1 if now else 1}-{uuid.uuid4().hex[:8]}"
-        base = f"{self.root}/data/{project}/{mark}"
-        for name, df in tables.items():
-            df.write.parquet(f"{base}/{name}")
-        if keep and now:
-            for name in self._list(f"{self.root}/data/{project}/{now}"):
-                if name not in tables:
-                    self.read(project, name).write.parquet(f"{base}/{name}")
-        system, p, _ = self._fs(f"{self.root}/marks/{project}/{mark}")
-        system.mkdirs(p)
-        if now:
-            self._drop(f"{self.root}/marks/{project}/{now}")
-            self._drop(f"{self.root}/data/{project}/{now}")
+        number = self.version(project)
+        return number > 0 and (table is None or table in self._tables(project, number))
+
+    def publish(self, project, tables: dict[str, DataFrame], keep: bool = False, more: dict[str, DataFrame] | None = None, expected: int | None = None) -> int:
+        """Replace a project's tables; returns the new version.
+
+        With ``keep`` tables that aren't named stay as they are, without being copied; the rows of ``more``
+        are added to a table.  With ``expected`` the write is a conflict unless that is still the last version.
+        """
+        folder = f"{self.root}/data/{project}/{uuid.uuid4().hex}"
+        for name, df in [*tables.items(), *(more or {}).items()]:
+            df.write.parquet(f"{folder}/{name}")
+        while True:
+            now = self.version(project)
+            if expected is not None and now != expected:
+                marks.drop_path(self.spark, folder)
+                raise DomainError("WRITE_CONFLICT", f"Project {project} was changed by another writer.", 409)
+            before = self._tables(project, now)
+            after = (dict(before) if keep or more else {}) | {name: [f"{folder}/{name}"] for name in tables}
+            for name in more or {}:
+                after[name] = [*after.get(name, []), f"{folder}/{name}"]
+            if marks.publish(self.spark, f"{self._marks(project)}/{now + 1:012d}", json.dumps(after)):
+                self._clean(project, now + 1)
+                return now + 1
+
+    def _clean(self, project, number: int) -> None:
+        """Drop versions before the last ones, and the folders that only they list."""
+        found = [int(x) for x in marks.names_in(self.spark, self._marks(project))]
+        old, new = [x for x in found if x <= number - KEPT], [x for x in found if x > number - KEPT]
+        if not old:
+            return
+        used = {f for x in new for folders in self._tables(project, x).values() for f in folders}
+        for x in old:
+            for folders in self._tables(project, x).values():
+                for f in folders:
+                    if f not in used:
+                        marks.drop_path(self.spark, f)
+            marks.drop_path(self.spark, f"{self._marks(project)}/{x:012d}")
 
     def read(self, project, table: str) -> DataFrame:
-        mark = self._version(project)
-        if mark is None:
+        tables = self._tables(project, self.version(project))
+        if table not in tables:
             raise DomainError("PROJECT_NOT_SCANNED", f"Project {project} has no {table}.", 409)
-        return self.spark.read.parquet(f"{self.root}/data/{project}/{mark}/{table}")
+        return self.spark.read.parquet(*tables[table])
 
-    def delete(self, project) -> None:
-        self._drop(f"{self.root}/marks/{project}")
-        self._drop(f"{self.root}/data/{project}")
+    def settle(self, df: DataFrame) -> DataFrame:
+        """``df`` written below the root and read back; :meth:`unsettle` removes it."""
+        path = f"{self.root}/work/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._settled = path
+        return out
 
-    def _drop(self, path: str) -> None:
-        system, p, _ = self._fs(path)
-        system.delete(p, True)
+    def unsettle(self, *frames: DataFrame) -> None:
+        for df in frames:
+            marks.drop_path(self.spark, df._settled)
+
+    def delete(self, project) -> None:
+        marks.drop_path(self.spark, self._marks(project))
+        marks.drop_path(self.spark, f"{self.root}/data/{project}")
 
     @contextmanager
     def scanning(self, project):
-        """One scan of a project at a time; a second one is refused, not queued."""
-        with self._guard:
-            lock = self._locks.setdefault(project, threading.Lock())
-        if not lock.acquire(blocking=False):
+        """One scan of a project at a time, whichever process asks; a second one is refused, not queued."""
+        path = f"{self.root}/locks/{project}"
+        taken = marks.publish(self.spark, path, str(time.time()))
+        if not taken and marks.path_exists(self.spark, path) and float(marks.read_text(self.spark, path)) < time.time() - LEASE:
+            marks.drop_path(self.spark, path)
+            taken = marks.publish(self.spark, path, str(time.time()))
+        if not taken:
             raise DomainError("SCAN_ALREADY_RUNNING", f"Project {project} is being scanned.", 409)
         try:
             yield
         finally:
-            lock.release()
+            marks.drop_path(self.spark, path)
+
+
+def numbered(store: Store, df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df``, settled, with a number from 1 in ``order``: rows are sorted in ranges and counted by range,
+    so no task holds more than a range.  Rows alike in ``order`` follow in any sequence."""
+    ranges = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = store.settle(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range_", F.spark_partition_id()).withColumn("inside_", inside))
+    sizes = [(r["range_"], r["n"]) for r in parts.groupBy("range_").agg(F.count("*").alias("n")).collect()]  # one row a range
+    before, total = {}, 0
+    for number, n in sorted(sizes):
+        before[number], total = total, total + n
+    start = F.element_at(F.array(*[F.lit(before.get(i, 0)) for i in range(max(before, default=0) + 1)]), F.col("range_") + 1)
+    out = parts.withColumn(name, (start + F.col("inside_") + 1).cast("long")).drop("range_", "inside_")
+    out._settled = parts._settled
+    return out
 
 
 def check_vectors(vectors: DataFrame, chunks: int | None = None) -> int:
@@ -123,10 +173,22 @@ def attest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, output: str, inputs: list[str]) -> None:
-    """Write a report as JSON; an output that is one of its inputs is refused."""
-    if output.rstrip("/") in {p.rstrip("/") for p in inputs}:
+    """Write a report as JSON; an output that is one of its inputs is refused.
+
+    It is written aside and renamed, so a failure leaves the last report whole.
+    """
+    spark, output = df.sparkSession, output.rstrip("/")
+    if output in {p.rstrip("/") for p in inputs}:
         raise ValueError(f"{output} is an input of this report")
-    df.write.mode("overwrite").json(output)
+    staged, old = f"{output}.{uuid.uuid4().hex}.new", f"{output}.{uuid.uuid4().hex}.old"
+    df.write.json(staged)
+    target, system = marks.hadoop(spark, output)
+    if system.exists(target):
+        system.rename(target, marks.hadoop(spark, old)[0])
+    if not system.rename(marks.hadoop(spark, staged)[0], target):
+        system.rename(marks.hadoop(spark, old)[0], target)
+        raise OSError(f"{output} could not be replaced")
+    marks.drop_path(spark, old)
 
 
 def render_report(title: str, rows: list[dict]) -> str:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.events import append_new
+from tessera.sources.marks import names_in
 
 STATE = "started int, finished int, outcome string, latency double"
 OUTPUT = "attempt_id string, state string, outcome string, latency_seconds double"
@@ -46,17 +48,22 @@ def counters(stream: DataFrame) -> DataFrame:
 
 
 def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """A query that appends rows whose keys aren't in ``path`` yet; replayed batches add nothing."""
+    """A query that appends rows whose keys aren't in ``path`` yet; replayed batches add nothing.
+
+    Each micro-batch of a checkpoint has a folder of its own, ``batch=<checkpoint>-<id>``, which a replay
+    overwrites; whether there is anything yet is asked of the file system, so a read that fails is an
+    error and not an empty table.
+    """
     spark = stream.sparkSession
     shape = stream.schema
-
-    def write(batch: DataFrame, _: int) -> None:
-        try:
-            there = spark.read.schema(shape).parquet(path)
-            there.head(1)
-        except Exception:  # nothing written so far
-            there = spark.createDataFrame([], shape)
-        append_new(there, batch, keys).write.mode("append").parquet(path)
+    own = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        there = spark.createDataFrame([], shape)
+        others = [x for x in names_in(spark, path) if x.startswith("batch=") and x != f"batch={own}-{number}"]
+        if others:
+            there = spark.read.schema(shape).parquet(*[f"{path}/{x}" for x in others])
+        append_new(there, batch, keys).write.mode("overwrite").parquet(f"{path}/batch={own}-{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

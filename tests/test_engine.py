@@ -157,6 +157,81 @@ def test_failed_publication_keeps_the_old_version(spark, tmp_path):
     assert (s.read(1, "t").count(), s.read(1, "u").count()) == (5, 2)
 
 
+def test_versions_conflicts_and_added_rows(spark, tmp_path):
+    s, other = store_module.Store(spark, str(tmp_path)), store_module.Store(spark, str(tmp_path))
+    first = s.publish(1, {"t": spark.range(3), "u": spark.range(2)})
+    reader = s.read(1, "t")
+    assert other.publish(1, {}, more={"t": spark.range(3, 5)}, expected=first) == first + 1
+    assert sorted(r.id for r in s.read(1, "t").collect()) == [0, 1, 2, 3, 4] and s.read(1, "u").count() == 2
+    with pytest.raises(DomainError) as x:
+        s.publish(1, {}, more={"t": spark.range(9, 10)}, expected=first)
+    assert x.value.code == "WRITE_CONFLICT"
+    assert reader.count() == 3  # the version it began with is still there
+    for i in range(4):
+        s.publish(1, {"t": spark.range(i)})
+    assert s.version(1) == 6 and s.read(1, "t").count() == 3 and not s.has(1, "u")
+    assert len(list((tmp_path / "data/1").glob("*/t"))) == store_module.KEPT
+    with s.scanning(1), pytest.raises(DomainError), other.scanning(1):
+        pass
+    with other.scanning(1):
+        pass
+
+
+def test_numbers_follow_the_order(spark, tmp_path):
+    s = store_module.Store(spark, str(tmp_path))
+    df = spark.range(500).selectExpr("id", "lpad(string(pmod(id * 37, 500)), 4, '0') AS k")
+    got = store_module.numbered(s, df.repartition(7), "n", "k").collect()
+    assert [r.k for r in sorted(got, key=lambda r: r.n)] == [f"{i:04d}" for i in range(500)] and sorted(r.n for r in got) == list(range(1, 501))
+    assert store_module.numbered(s, df.limit(0), "n", "k").count() == 0
+
+
+def test_file_lost_after_the_listing_is_a_row(spark, tmp_path):
+    for name in ("a.py", "b.py"):
+        (tmp_path / name).write_text("x = 1\n")
+    files, issues = scan(spark, str(tmp_path))
+    (tmp_path / "b.py").unlink()
+    assert [r.file_path for r in files.collect()] == ["a.py"]
+    assert [(r.file_path, r.reason_code) for r in issues.collect()] == [("b.py", "READ_ERROR")]
+
+
+def test_graph_failure_keeps_the_direct_hits(engine, monkeypatch):
+    from tessera.plans import engine as module
+
+    engine.build_vector_index(1)
+
+    def fails(*_):
+        raise RuntimeError("no graph")
+
+    monkeypatch.setattr(module.graph, "graph_rag", fails)
+    text, refs, notes = engine._evidence(1, "OrderService findById", 5, True)
+    assert refs and notes == [module.GRAPH_UNAVAILABLE] and "Relation reason: direct hybrid-search hit" in text
+
+
+def test_report_is_replaced_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    out = str(tmp_path / "report")
+    store_module.write_report(spark.range(2), out, [])
+    with pytest.raises(Exception, match="boom"):
+        store_module.write_report(spark.range(3).select(F.raise_error(F.lit("boom")).cast("long").alias("id")), out, [])
+    assert spark.read.json(out).count() == 2
+    store_module.write_report(spark.range(5), out, [])
+    assert spark.read.json(out).count() == 5
+
+
+def test_torn_checkpoint_lines_are_set_aside(spark, tmp_path):
+    from tessera.sources import records
+
+    path = tmp_path / "c.jsonl"
+    path.write_text('{"a": 1}\n{"a": 2}\n{"a": 3')
+    rows, torn = records.read_checkpoint(spark, str(path), "a int")
+    assert sorted(r.a for r in rows.collect()) == [1, 2] and [r.line for r in torn.collect()] == ['{"a": 3']
+    path.write_text('{"a": 1}\n{"a": \n{"a": 3}\n')
+    with pytest.raises(ValueError, match="bad line"):
+        records.read_checkpoint(spark, str(path), "a int")
+    assert records.parse_manifest('a: "x # y" # note\nb: it\'s\n# all\nc: d#e\n') == {"a": "x # y", "b": "it's", "c": "d#e"}
+
+
 def test_snapshot_and_reports(engine, spark, tmp_path):
     tables = store_module.snapshot(engine._read(1, "files"), engine._read(1, "entities"), engine._read(1, "relations"), engine._read(1, "issues"), "repo", "c0ffee")
     store_module.write_snapshot(tables, str(tmp_path / "snap"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import queries
 from tessera.functions import scalars
 from tessera.functions.api_path import normalize_api_path
-from tessera.functions.lexical import FIELDS, LOW_INFORMATION, fold, lexical_score, parse_terms
+from tessera.functions.lexical import FIELDS, LOW_INFORMATION, fold, folded, lexical_score, parse_terms, term_scores
 from tessera.functions.source_code import blanked, constants, literal, mapped_paths, parse_frontend, parse_java, parse_python, wrappers
 from tessera.operators import context, metrics, validate
 from tessera.sources import records
@@ -40,7 +40,7 @@ def test_terms_are_few_distinct_and_folded(text, most):
 
 
 def test_lexical_score_equals_plain_version(spark):
-    rows = [("find", "A.find", '{"p": "/api/x"}', "src/a.py", "body of code"), ("x", "find.x", "{}", "find/b", "method find"), (None, None, None, None, None), ("/api/y", "q", "{}", "p", "")]
+    rows = [("find", "A.find", '{"p": "/api/x"}', "src/a.py", "body of code"), ("x", "find.x", "{}", "find/b", "method find"), (None, None, None, None, None), ("/api/y", "q", "{}", "p", ""), ("Straße", "CAFE\u0301.x", "{}", "p", "\u03a3\u0391\u03a3 find")]
 
     def one(term, row):
         name, qualified, meta, path, content = (fold(v) for v in row)
@@ -49,8 +49,8 @@ def test_lexical_score_equals_plain_version(spark):
         return max(best, default=0.0)
 
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{f} string" for f in FIELDS))
-    for terms in (["find"], ["find", "method", "zzz"], ["/api", "code"]):
-        got = {r.i: r.s for r in df.select("i", lexical_score(terms).alias("s")).collect()}
+    for terms in (["find"], ["find", "method", "zzz"], ["/api", "code"], ["strasse", "caf\u00e9"], ["\u03c3\u03b1\u03c3"]):
+        got = {r.i: r.s for r in term_scores(df, terms).select("i", lexical_score(terms).alias("s")).collect()}
         for i, row in enumerate(rows):
             s = [one(t, row) for t in terms]
             w = [0.25 if t in LOW_INFORMATION else 1.0 for t in terms]
@@ -58,6 +58,13 @@ def test_lexical_score_equals_plain_version(spark):
             assert abs(got[i] - want) < 1e-12
 
 
+def test_folded_is_exact(spark):
+    texts = ["Straße", "e\u0301 E\u0301", "\u0130x", "ΣΑΣ ς", "ﬁn ŉ", "\u1100\u1161\u11a8", "ǅ Ǆ", "Ω Ⅷ", "😀 𐐀", "Åå", "plain ASCII", "", None, "ÀÉ ß", "ſ K Å", "日本 ｶﾞ", "Ꭰ ꭰ"]
+    df = folded(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t")
+    assert df.columns == ["i", "t", "folded_t"]
+    assert {r.i: r.folded_t for r in df.collect()} == {i: fold(t) for i, t in enumerate(texts)}
+
+
 PATHS = {
     "/api/user/123?active=true#result": "/api/user/{param}", "api//alerts/": "/api/alerts", "/api/v2/alerts": "/api/v2/alerts", "": "/", "/": "/",
     "https://h.example/api/{id}/x": "/api/{param}/x", "/a/:id/${y}": "/a/{param}/{param}", " /a b/ ": "/a b",

@@ -37,10 +37,12 @@ def test_stream_agrees_with_batch(spark, tmp_path):
 
 def test_append_once_is_idempotent(spark, tmp_path):
     spark.createDataFrame(ROWS[:4], SCHEMA).write.json(str(tmp_path / "in"))
-    for run in ("one", "two"):
+    for run in ("one", "two", "three"):
+        if run == "three":  # a checkpoint of its own, whose first batch has other rows
+            spark.createDataFrame([("new", *ROWS[0][1:])], SCHEMA).write.mode("overwrite").json(str(tmp_path / "in"))
         stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
         ledger.append_once(stream, str(tmp_path / "out"), ["attempt_id"], str(tmp_path / run)).start().awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
 def test_windows_need_a_watermark(spark):
