@@ -9,7 +9,11 @@
 4. mixing: documents are repeated at random so that sources weigh the square root of their sizes;
 5. packing into windows of 4096 tokens.
 
-Null or empty texts fail the base rules; extra columns pass through the first four stages.
+Null or empty texts fail the base rules, so they go first; texts are read whole, however long.  Ties
+(near copies with one id) go to the smaller hash of id and text; rows alike in id and text are one after
+stage 2 and copies of each other before.  Extra columns, whatever their names, pass through the first
+four stages; nulls in them, in lang or in source change nothing (a null source is a source of its own),
+a null doc_id comes after all others.  An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -36,12 +40,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.remove_repeated(docs)
-    return _counted(cut.filter("n_removed = 0 or n_removed < n_words"), docs.columns)
+    words, gone, digest = shared.unused(docs.columns, "n_words", "n_removed", "kept_sha256")
+    cut = substring_dedup.remove_repeated(docs, names=(words, gone, digest))
+    return _counted(cut.filter((F.col(gone) == 0) | (F.col(gone) < F.col(words))), docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.replicate(docs, mixing.rates(docs))
+    names = tuple(shared.unused(docs.columns, "copies", "copy", "shuffle_key"))
+    mixed = mixing.replicate(docs, mixing.rates(docs), names=names)
     return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -65,9 +71,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared.fresh_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with shared.scratch(spark):  # what the stage wrote on its way goes
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            shared.drop_path(spark, before)
+        before = path
     return docs
