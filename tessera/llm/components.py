@@ -21,11 +21,12 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = shared.settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = shared.settle(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        first = shared.settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = shared.settle(both.join(first, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         least = shared.settle(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = shared.settle(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, edges = edges, shared.settle(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        shared.discard(before, first, large, least)
         now = _mark(edges)
         if now == mark:
             break

@@ -8,10 +8,10 @@ at least.  Each set takes the level whose estimated cost is least, from the leng
 shingles' posting lists: more levels, longer prefixes, but more shared shingles asked for before a
 pair is verified on whole sets.
 
-Equal sets collapse before, so copies make no pairs.  Sparse rounds come first: within a posting list
-sets meet the list's pivot (the set with the fewest rarer shingles) and their neighbours in a chain,
-whose order is another in each round; that is linear in the postings, and a group of near copies
-becomes one component without making all its pairs.  What is left meets in the token join: only lists
+Equal sets collapse before, so copies make no pairs.  Sparse linking comes first: within a posting list
+the sets with one min-hash, as near copies mostly have, meet their pivot (the set with the fewest rarer
+shingles) and their neighbours in a chain, and then, where components are left in a list, one set of each meets one of
+the next; that is linear in the postings, and a group of near copies becomes one component without making all its pairs.  What is left meets in the token join: only lists
 with different components, cut into bands of sizes that can link, without sets that have fewer open
 shingles than their level asks for, and only pairs that their own required overlap and their parity
 signatures allow.  No link between different components is lost.
@@ -46,8 +46,8 @@ CHAIN = 500
 FLUSH = 1 << 21
 #: Postings of one shingle in a flush beyond which they are dealt by set too.
 HOT = 64
-SPARSE_ROUNDS = 3
 SIGNATURE = [f"s{i}" for i in range(32)]
+MINIMA = ["m0", "m1"]
 #: The signature folded to a quarter, for the token join.
 FOLDED = [f"f{i}" for i in range(8)]
 
@@ -89,12 +89,17 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def minima(s: np.ndarray) -> list[int]:
+    """Min-hashes under fixed permutations of 64 bits."""
+    return [int(signed(mix(s ^ np.uint64(0x9E3779B97F4A7C15 + 2 * i)).min(keepdims=True))[0]) for i in range(len(MINIMA))]
+
+
 def _facts(n: int):
     """Per row its set's identity and size; per task the number of rows that hold each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
-        names = ["key", "doc_id", "n", "a", "b", *SIGNATURE]
+        names = ["key", "doc_id", "n", "a", "b", *SIGNATURE, *MINIMA]
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +112,12 @@ def _facts(n: int):
             size, first, second = [], [], []
             seen = []
             signs = np.zeros((part.num_rows, len(SIGNATURE)), np.int64)
+            least = np.zeros((part.num_rows, len(MINIMA)), np.int64)
             for i in range(part.num_rows):
                 s = np.unique(code[word_off[i] : stop[i]])
                 signs[i] = signature(s)
+                if len(s):
+                    least[i] = minima(s)
                 one, two = _identity(s) if len(s) else (None, None)
                 size.append(len(s))
                 first.append(one)
@@ -122,7 +130,7 @@ def _facts(n: int):
                 if len(held[0][0]) > FLUSH // 2:
                     yield _counts(*held[0], names)
                     held = []
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), *(pa.array(x) for x in signs.T.copy())], names)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), *(pa.array(x) for x in signs.T.copy()), *(pa.array(x) for x in least.T.copy())], names)
         if held:
             yield _counts(*merged(), names)
 
@@ -132,7 +140,7 @@ def _facts(n: int):
 def _counts(word: np.ndarray, count: np.ndarray, names: list[str]) -> pa.RecordBatch:
     """Word counts in the rows' schema: n below zero marks them."""
     nothing = pa.nulls(len(word), pa.int64())
-    return pa.RecordBatch.from_arrays([nothing, nothing, pa.array(-count), pa.array(signed(word)), nothing, *[nothing] * len(SIGNATURE)], names)
+    return pa.RecordBatch.from_arrays([nothing, nothing, pa.array(-count), pa.array(signed(word)), nothing, *[nothing] * (len(SIGNATURE) + len(MINIMA))], names)
 
 
 def _postings(n: int, percent: int, buckets: int, order):
@@ -251,10 +259,10 @@ class JaccardJoin:
         shared.bounded_batches(self.spark)
         text = F.col("text").cast("string")
         self.docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-        found = shared.settle(self.docs.mapInArrow(_facts(n), "key long, doc_id long, n long, a long, b long, " + ", ".join(f"{x} long" for x in SIGNATURE)), "facts")
+        found = shared.settle(self.docs.mapInArrow(_facts(n), "key long, doc_id long, n long, a long, b long, " + ", ".join(f"{x} long" for x in [*SIGNATURE, *MINIMA])), "facts")
         self.facts = found.filter("n >= 0")
         self.words = found.filter("n < 0")
-        one = [F.min("key").alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in SIGNATURE]]
+        one = [F.min("key").alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in [*SIGNATURE, *MINIMA]]]
         #: one row a distinct set
         self.classes = shared.settle(self.facts.filter("n > 0").groupBy(F.col("a").alias("owner")).agg(*one), "sets-of")
 
@@ -286,8 +294,9 @@ class JaccardJoin:
         cost = lambda l: F.col(f"c{l}") * (1 + VERIFY_COST / l)
         best = F.array_min(F.array(*[F.struct(cost(l).alias("cost"), F.lit(l).alias("level")) for l in range(1, LEVELS + 1)]))["level"]
         level = live.groupBy("owner").agg(F.min("place").alias("rarer"), *costs).select("owner", "rarer", best.alias("level"))
+        level = level.join(self.classes.select("owner", *MINIMA), "owner")
         kept = live.join(level, "owner").filter(F.col("place") < base + F.col("level"))
-        return shared.settle(kept.select("token", "owner", "size", "place", "rarer", F.least("level", F.col("size").cast("int")).alias("level"), "df"), "prefixes")
+        return shared.settle(kept.select("token", "owner", "size", "place", "rarer", F.least("level", F.col("size").cast("int")).alias("level"), "df", *MINIMA), "prefixes")
 
     def _links(self, pairs: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """(verified links, all pairs looked at so far) of pairs (a, b) that may repeat."""
@@ -307,6 +316,7 @@ class JaccardJoin:
         one = near.join(sets.select(F.col("owner").alias("b"), F.col("shingles").alias("y")), "b")
         two = one.join(sets.select(F.col("owner").alias("a"), F.col("shingles").alias("x")), "a")
         checked = shared.settle(two.select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long, good boolean"), "checked")
+        shared.discard(own, near, sets)
         return checked.filter("good").select("a", "b"), seen
 
     @staticmethod
@@ -343,21 +353,28 @@ class JaccardJoin:
     def _side(i: int, *more: str) -> list:
         return [F.col(c).alias(f"{c}{i}") for c in ("owner", "size", "place", "level", *more)]
 
-    def _star(self, prefixes: DataFrame) -> DataFrame:
-        """Each posting with its list's pivot."""
-        pivot = shared.settle(prefixes.groupBy("token").agg(F.min(F.struct("rarer", "size", "owner", "place", "level")).alias("p")), "pivots")
-        other = pivot.select("token", *[F.col(f"p.{c}").alias(f"{c}2") for c in ("owner", "size", "place", "level")])
-        return prefixes.select("token", *self._side(1)).join(other, "token").filter(self._may_link()).select(*self._pair())
-
-    def _chain(self, postings: DataFrame, turn: int, order: list) -> DataFrame:
-        """Neighbours in ``order`` of a posting list; a long list makes several chains, others in each turn."""
-        salt = F.pmod(F.xxhash64("owner", "token", F.lit(turn)), F.ceil(F.col("df") / CHAIN).cast("long"))
-        chain = Window.partitionBy("token", salt).orderBy(*order)
-        cells = [c for c in ("owner", "size", "place", "level", "root") if c in postings.columns]
-        met = postings.select(*[F.col(c).alias(f"{c}1") for c in cells], *[F.lag(c).over(chain).alias(f"{c}2") for c in cells]).filter("owner2 is not null")
-        if "root" in cells:
-            met = met.filter("root1 <> root2")
-        return met.filter(self._may_link()).select(*self._pair())
+    def _star(self, prefixes: DataFrame, *keys: str) -> DataFrame:
+        """Each posting with the pivot of its ``keys``."""
+        pivot = shared.settle(prefixes.groupBy(*keys).agg(F.count("*").alias("k"), F.min(F.struct("rarer", "size", "owner", "place", "level")).alias("p")).filter("k > 1"), "pivots")
+        other = pivot.select(*keys, *[F.col(f"p.{c}").alias(f"{c}2") for c in ("owner", "size", "place", "level")])
+        return prefixes.select(*keys, *self._side(1)).join(other, list(keys)).filter(self._may_link()).select(*self._pair())
+
+    def _chain(self, postings: DataFrame, *keys: str) -> DataFrame:
+        """Neighbours by size among the postings of one value of ``keys``; of a long list, in several chains."""
+        salt = F.pmod(F.xxhash64("owner", "token"), F.ceil(F.col("df") / CHAIN).cast("long"))
+        chain = Window.partitionBy(*keys, salt).orderBy("rarer", "size", "owner")
+        cells = ("owner", "size", "place", "level")
+        met = postings.select(*[F.col(c).alias(f"{c}1") for c in cells], *[F.lag(c).over(chain).alias(f"{c}2") for c in cells])
+        return met.filter("owner2 is not null").filter(self._may_link()).select(*self._pair())
+
+    def _between(self, postings: DataFrame, m: str) -> DataFrame:
+        """For each shingle and min-hash one set of each root, any, with the one of the next root."""
+        place = F.xxhash64("owner", "token", F.lit(m))
+        one = postings.groupBy("token", m, "root").agg(F.min_by(F.struct("owner", "size", "place", "level"), place).alias("x"))
+        chain = Window.partitionBy("token", m).orderBy(F.xxhash64("root", "token"), "root")
+        cells = ("owner", "size", "place", "level")
+        met = one.select(*[F.col(f"x.{c}").alias(f"{c}1") for c in cells], F.lag("x").over(chain).alias("y")).filter("y is not null")
+        return met.select(*[f"{c}1" for c in cells], *[F.col(f"y.{c}").alias(f"{c}2") for c in cells]).filter(self._may_link()).select(*self._pair())
 
     def _open(self, prefixes: DataFrame, roots: DataFrame) -> DataFrame:
         """Postings, with their sets' roots, of the shingles in whose lists different roots are left."""
@@ -399,18 +416,16 @@ class JaccardJoin:
     def set_components(self) -> DataFrame:
         """node, root of the sets that link with a different set."""
         prefixes = self._postings()
-        links, seen = self._links(self._star(prefixes).unionByName(self._chain(prefixes, 0, ["rarer", "size", "owner"])), None)
-        roots = shared.settle(components(links), "roots")
-        postings = self._open(prefixes, roots)
-        for i in range(1, SPARSE_ROUNDS):
-            found, seen = self._links(self._chain(postings, i, [F.xxhash64("owner", F.lit(i)), "owner"]), seen)
-            if not found.head(1):
-                break
-            links = links.unionByName(found)
-            roots = shared.settle(components(links), "roots")
-            postings = self._open(prefixes, roots)
-        found, _ = self._links(self._rest(postings), seen)
-        return shared.settle(components(links.unionByName(found)), "roots") if found.head(1) else roots
+        step = self._chain(prefixes, "token", MINIMA[0])
+        for m in MINIMA:
+            step = step.unionByName(self._star(prefixes, "token", m))
+        links, seen = self._links(step, None)
+        postings = self._open(prefixes, shared.settle(components(links), "roots"))
+        more, seen = self._links(self._between(postings, MINIMA[0]).unionByName(self._between(postings, MINIMA[1])), seen)
+        links = links.unionByName(more)
+        postings = self._open(postings.drop("root"), shared.settle(components(links), "roots"))
+        rest, _ = self._links(self._rest(postings.drop(*MINIMA)), seen)
+        return shared.settle(components(links.unionByName(rest)), "roots")
 
     def documents(self) -> DataFrame:
         """key, doc_id, n_shingles, component (of sets; null for an empty set) and component_id of every row."""
@@ -431,7 +446,7 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
     gone = found.filter("component is not null").groupBy("component").agg(F.min(place)["key"].alias("first"))
     gone = shared.settle(found.join(gone, "component").filter("key <> first").select("key").distinct(), "gone")
-    key = "__key"
+    key = shared.unused(docs.columns, "key")[0]
     kept = docs.withColumn(key, row_key()).join(shared.few(gone.withColumnRenamed("key", key)), key, "left_anti")
     if found.groupBy("key").count().filter("count > 1").head(1):
         kept = kept.dropDuplicates([key])

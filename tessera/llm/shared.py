@@ -5,23 +5,36 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.marks import drop_path, names_in, path_exists, publish, read_text
+
+__all__ = ["drop_path", "names_in", "path_exists", "publish", "read_text"]
+
 # Functions sent to executors travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 
+#: Folders that settle() has written in this process and nobody has dropped.
+_SETTLED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is set.
+    Where the session names none, a temporary folder is made if all runs on this machine; on a
+    cluster that is an error, as executors wouldn't see each other's files.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -38,20 +51,40 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder written by :func:`fresh_path`'s user."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    _SETTLED.append(path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the folders of settled frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_settled", None)
+        if path in _SETTLED:
+            _SETTLED.remove(path)
+            drop_path(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what was settled inside; only what was written elsewhere stays."""
+    before = set(_SETTLED)
+    yield
+    for path in [x for x in _SETTLED if x not in before]:
+        _SETTLED.remove(path)
+        drop_path(spark, path)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column has it, whatever the case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def width(spark: SparkSession) -> int:
