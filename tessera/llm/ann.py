@@ -3,13 +3,18 @@
 A vector is scaled to unit length and turned by a seeded random rotation; its code keeps one sign bit
 a dimension, packed, with two correction scalars: the vector's length and the inner product of the
 turned vector with its own code.  From these the inner product with a query is estimated without
-bias, with an error bound that shrinks with the dimension.  In each block of candidates the vectors
-whose upper bound reaches the k-th best lower bound are reranked on the original vectors in doubles.
-
-Every row is indexed.  Queries and candidates meet in a grid of bounded cells (candidate slot x query
-slot), so neither side is ever held whole.  Null vectors, zero vectors and vectors with null or
-non-finite components take no part; vectors meet only others of their dimension; rows with a null id
-take no part, rows that repeat an id count once; ties go to the smaller id; an empty table gives no rows.
+bias, with an error bound that shrinks with the dimension.
+
+The search takes two passes over grids of bounded cells (candidate slot x query slot), so neither side
+is ever held whole.  The first carries codes alone and keeps each query's ``FLOOR_FACTOR * k`` largest
+estimates; their exact products, from a join with the original vectors, give a floor: the k-th best of
+them, which the k-th best of all can't be below.  In the second only vectors whose upper bound reaches
+the query's floor are reranked on the original vectors in doubles.
+
+Every row is indexed.  Null vectors, zero vectors and vectors with null or non-finite components take
+no part; vectors meet only others of their dimension; rows with a null id take no part, rows that
+repeat an id count once (the least of its vectors); ties go to the smaller id; an empty table gives no
+rows; columns beyond the two are not read, and there are no texts.
 """
 
 from __future__ import annotations
@@ -24,10 +29,13 @@ from pyspark.sql import functions as F
 from . import shared
 
 SEED = 20
-BOUND = 3.0
+BOUND = 2.5
+FLOOR_FACTOR = 2
 SLOTS = 64
-SLOT_ROWS = 32_768
-QUERY_ROWS = 4_096
+SLOT_ROWS = 65_536
+QUERY_ROWS = 32_768
+CODE_SLOTS = 8
+CODE_SLOT_ROWS = 1 << 18
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -89,45 +97,97 @@ def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     return rows.mapInArrow(_index, "vec_id long, dim int, embedding array<double>, code binary, length double, own double")
 
 
-def _cell(k: int, bound: float):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def _codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids in order, packed codes, lengths and correction scalars."""
+    ids = table.column("vec_id").to_numpy()
+    at = np.argsort(ids)
+    codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)[at]
+    return ids[at], codes, table.column("length").to_numpy()[at], table.column("own").to_numpy()[at]
+
+
+def _blocks(queries: pa.Table, codes: tuple, bound: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query id, query, estimates, error bounds, places of others) of each query against the codes of one cell."""
+    asked, q = queries.column("vec_id").to_numpy(), _matrix(queries.column("embedding"))
+    ids, packed, length, own = codes
+    turn = rotation(q.shape[1])
+    for low in range(0, len(asked), 128):
+        guess, error = estimate(q[low : low + 128], turn, packed, length, own, bound)
+        for i in range(len(guess)):
+            yield low + i, q[low + i], guess[i], error[i], ids != asked[low + i]
+
+
+def _best_guesses(k: int):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("guess", pa.float64())])
+
+    def search(queries: pa.Table, found: pa.Table) -> pa.Table:
+        if not queries.num_rows or not found.num_rows:
+            return schema.empty_table()
+        codes = _codes(found)
+        asked, out = queries.column("vec_id").to_numpy(), []
+        for i, _, guess, _, rest in _blocks(queries, codes, 0.0):
+            guess = np.where(rest, guess, -np.inf)
+            best = np.argpartition(-guess, k)[:k] if len(guess) > k else np.arange(len(guess))
+            best = best[rest[best]]
+            out.append((np.full(len(best), asked[i]), codes[0][best], guess[best].astype(np.float64)))
+        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema)
+
+    return search
+
+
+def _rerank(k: int, bound: float):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("slot", pa.int32()), ("reranked", pa.int64())])
 
     def search(queries: pa.Table, found: pa.Table) -> pa.Table:
         if not queries.num_rows or not found.num_rows:
             return schema.empty_table()
-        ids, first = np.unique(found.column("vec_id").to_numpy(), return_index=True)
-        vectors = _matrix(found.column("embedding"))[first]
-        codes = np.frombuffer(b"".join(found.column("code").to_pylist()), np.uint8).reshape(found.num_rows, -1)[first]
-        length, own = (found.column(x).to_numpy()[first] for x in ("length", "own"))
-        asked, first = np.unique(queries.column("vec_id").to_numpy(), return_index=True)
-        q = _matrix(queries.column("embedding"))[first]
-        turn = rotation(vectors.shape[1])
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for low in range(0, len(asked), 256):
-            guess, error = estimate(q[low : low + 256], turn, codes, length, own, bound)
-            lower = guess - error
-            lower[asked[low : low + 256][:, None] == ids[None, :]] = -np.inf
-            for i, row in enumerate(lower):
-                rest = ids != asked[low + i]
-                floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                near = np.flatnonzero(rest & (guess[i] + error[i] >= floor))
-                score = products(vectors[near], q[low + i])
-                best = np.lexsort((ids[near], -score))[:k]
-                out.append((np.full(len(best), asked[low + i]), ids[near][best], score[best]))
+        codes = _codes(found)
+        vectors = _matrix(found.column("embedding"))[np.argsort(found.column("vec_id").to_numpy())]
+        asked, floors, out = queries.column("vec_id").to_numpy(), queries.column("floor").to_numpy(zero_copy_only=False), []
+        slot = found.column("slot")[0].as_py()
+        for i, query, guess, error, rest in _blocks(queries, codes, bound):
+            near = np.flatnonzero(rest & (guess + error >= floors[i]))
+            score = products(vectors[near], query)
+            best = np.lexsort((codes[0][near], -score))[:k]
+            out.append((np.full(len(best), asked[i]), codes[0][near][best], score[best], np.full(len(best), slot, np.int32), np.full(len(best), len(near))))
         return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema)
 
     return search
 
 
+def _grid(candidates: DataFrame, queries: DataFrame, slots: int, asks: int, search, kinds: str) -> DataFrame:
+    """``search`` of each cell of candidates (dealt to ``slots``) and queries (dealt to ``asks``) of one dimension."""
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    found = candidates.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int")).withColumn("ask", each(asks))
+    asked = queries.withColumn("ask", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(asks)).cast("int")).withColumn("slot", each(slots))
+    cell = ["dim", "slot", "ask"]
+    return asked.groupBy(*cell).cogroup(found.groupBy(*cell)).applyInArrow(search, kinds)
+
+
+def _first(rows: DataFrame, k: int, by: str) -> DataFrame:
+    """Each query's ``k`` rows with the largest ``by``, with their rank."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, bound: float = BOUND) -> DataFrame:
+    """query_id, vec_id, score, slot, reranked: each query's ``k`` best of each slot, and how many of the slot were reranked for it."""
+    coded = shared.settle(index(vectors), "codes")
+    if coded.groupBy("vec_id").count().filter("count > 1").head(1):
+        least = F.min(F.struct("dim", "embedding", "code", "length", "own")).alias("x")
+        coded = shared.settle(coded.groupBy("vec_id").agg(least).select("vec_id", "x.*"), "codes")
+    n, m = coded.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    queries = coded.filter(is_query).select("vec_id", "dim", "embedding")
+    codes = coded.drop("embedding")
+    guesses = _grid(codes, queries, max(CODE_SLOTS, -(-n // CODE_SLOT_ROWS)), max(CODE_SLOTS, -(-m // QUERY_ROWS)), _best_guesses(FLOOR_FACTOR * k), "query_id long, vec_id long, guess double")
+    guesses = _first(guesses, FLOOR_FACTOR * k, "guess").select("query_id", "vec_id")
+    pairs = guesses.join(coded.select("vec_id", F.col("embedding").alias("x")), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("y")), "query_id")
+    exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    floors = _first(pairs.select("query_id", "vec_id", exact.alias("score")), k, "score").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
+    floors = floors.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("floor")).alias("floor"))
+    asked = shared.settle(queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "floors")
+    return _grid(coded, asked, max(SLOTS, -(-n // SLOT_ROWS)), max(1, -(-m // QUERY_ROWS)), _rerank(k, bound), "query_id long, vec_id long, score double, slot int, reranked long")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, bound: float = BOUND) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products of each query's others."""
-    coded = index(vectors)
-    n, m = coded.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    slots, asks = max(SLOTS, -(-n // SLOT_ROWS)), max(1, -(-m // QUERY_ROWS))
-    sequence = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    found = coded.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int")).withColumn("ask", sequence(asks))
-    asked = coded.filter(is_query).select("vec_id", "dim", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(asks)).cast("int").alias("ask"), sequence(slots).alias("slot"))
-    cell = ["dim", "slot", "ask"]
-    best = asked.groupBy(*cell).cogroup(found.groupBy(*cell)).applyInArrow(_cell(k, bound), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _first(search(vectors, is_query, k, bound), k, "score").select("query_id", "rank", "vec_id", "score")
