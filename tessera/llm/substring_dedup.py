@@ -11,15 +11,16 @@ of the corpus too, the same text included.
    size; equal windows meet in one shard.
 3. In a shard a suffix automaton is built over the segments, and matching statistics give for each
    word the longest sequence ending there that occurs twice.  Where it reaches the window's length,
-   the words are marked.  A shard that one name makes too large is cut into several automata, and
-   each segment is streamed against those of the others.
+   the words are marked.  A name with more than ``MOST_WORDS`` words is cut into blocks; for each pair
+   of blocks a task of its own streams the segments of one against the automaton of the other.
 4. Marks go back to the segments' documents, and maximal spans are cut out.
 
 An automaton over the whole corpus can't be broadcast within a bound, so shards go to the segments
 that can match them rather than to every task.  Words are compared by 64-bit hashes.
 
 Null text has no words and stays null; rows that repeat are copies of each other; texts shorter than a
-window are kept; an empty table gives no rows; columns beyond those named pass through.
+window are kept; texts are read whole, in bounded pieces, however long; ties don't arise, as every
+occurrence is cut; an empty table gives no rows; columns beyond those named pass through.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ WINDOW = 35
 GRAM = 8
 SHARD_WORDS = 50_000
 MOST_WORDS = 200_000
+BOTH, REFERENCE, STREAMED = 0, 1, 2
 _SEGMENT = "name long, seg long, row_key long, start int, windows int, places int"
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -114,10 +116,10 @@ def _fetch(window: int):
             for i, wanted in enumerate(part.column(part.schema.get_field_index("wanted")).to_pylist()):
                 for x in wanted:
                     low = word_off[i] + x["start"]
-                    out.append((x["shard"], x["name"], x["seg"], x["copies"], value[low : low + x["windows"] + window - 1].tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "name", "seg", "copies", "words"])
+                    out.append((x["shard"], x["role"], x["name"], x["seg"], x["copies"], value[low : low + x["windows"] + window - 1].tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "role", "name", "seg", "copies", "words"])
 
     return run
 
@@ -134,54 +136,60 @@ def _runs(lengths: list[int], window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def match(found: list[tuple[list[int], int]], window: int, most: int = MOST_WORDS) -> list[list[tuple[int, int]]]:
-    """Covered ranges of each (sequence, copies): one automaton, or several of at most ``most`` words."""
-    blocks: list[list[int]] = [[]]
-    size = 0
-    for i, (seq, _) in enumerate(found):
-        if size + len(seq) > most and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(i)
-        size += len(seq)
-    out: list[list[tuple[int, int]]] = [[] for _ in found]
-    for block in blocks:
-        automaton = SuffixAutomaton()
-        states = {i: automaton.add(*found[i]) for i in block}
-        automaton.settle()
-        for i, (seq, _) in enumerate(found):
-            if i in states:
-                out[i] += _runs(automaton.repeated(states[i]), window)
-            elif len(blocks) > 1:
-                out[i] += _runs(automaton.matches(seq), window)
-    return out
-
-
-def _shard(window: int, most: int):
+def match(found: list[tuple[list[int], int, int]], window: int) -> list[list[tuple[int, int]]]:
+    """Covered ranges of each (sequence, copies, role): references get an automaton, in which their own
+    repetitions are looked up; the sequences that are only streamed get matching statistics against it."""
+    automaton = SuffixAutomaton()
+    states = {i: automaton.add(seq, copies) for i, (seq, copies, role) in enumerate(found) if role != STREAMED}
+    automaton.settle()
+    return [
+        _runs(automaton.matches(seq) if role == STREAMED else automaton.repeated(states[i]), window) if role != REFERENCE else []
+        for i, (seq, _, role) in enumerate(found)
+    ]
+
+
+def _shard(window: int):
     schema = pa.schema([("name", pa.int64()), ("seg", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
-        unique: dict[tuple[int, int], tuple[int, bytes]] = {}
-        for name, seg, copies, content in zip(*(table.column(x).to_pylist() for x in ("name", "seg", "copies", "words")), strict=True):
-            unique[name, seg] = (copies, content)
+        unique: dict[tuple[int, int, int], tuple[int, bytes]] = {}
+        for name, seg, role, copies, content in zip(*(table.column(x).to_pylist() for x in ("name", "seg", "role", "copies", "words")), strict=True):
+            unique[name, seg, role] = (copies, content)
         keys = sorted(unique)
         sizes = [len(unique[k][1]) // 8 for k in keys]
         _, code = np.unique(np.frombuffer(b"".join(unique[k][1] for k in keys), np.uint64), return_inverse=True)
         ends = np.cumsum(sizes)
-        found = [(code[e - n : e].tolist(), unique[k][0]) for k, n, e in zip(keys, sizes, ends, strict=True)]
-        out = [(k[0], k[1], a, b) for k, ranges in zip(keys, match(found, window, most), strict=True) for a, b in ranges]
+        found = [(code[e - n : e].tolist(), unique[k][0], k[2]) for k, n, e in zip(keys, sizes, ends, strict=True)]
+        out = [(k[0], k[1], a, b) for k, ranges in zip(keys, match(found, window), strict=True) for a, b in ranges]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else schema.empty_table()
 
     return run
 
 
+def _dealt(mixed: DataFrame, window: int, most: int) -> DataFrame:
+    """``mixed`` with the shards (shard, role) of each segment: one, or for names of more than ``most`` words two
+    for every block of the name: as a reference for that block's segments, and to be streamed against its automaton."""
+    total = mixed.agg(F.sum(F.col("one.windows") + window)).first()[0] or 0
+    shards = max(64, -(-total // SHARD_WORDS))
+    size = mixed.groupBy("name").agg(F.sum(F.col("one.windows") + window).alias("size")).filter(F.col("size") > most)
+    large = shared.settle(size.select("name", F.ceil(F.col("size") / most).cast("int").alias("blocks")), "large-names")
+    sole = mixed.join(large, "name", "left_anti").withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards))).withColumn("role", F.lit(BOTH))
+    cut = mixed.join(large, "name").withColumn("own", F.pmod(F.xxhash64("seg", F.lit(9)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = lambda i, j, role: F.struct((F.xxhash64("name", F.lit(17), i, j).bitwiseOR(F.lit(-(1 << 63)))).alias("shard"), role.alias("role"))
+    own, other = F.col("own"), F.col("other")
+    here = cell(own, other, F.when(own == other, BOTH).otherwise(REFERENCE))
+    there = cell(other, own, F.lit(STREAMED))
+    cut = cut.withColumn("x", F.explode(F.when(own == other, F.array(here)).otherwise(F.array(here, there)))).select(*mixed.columns, "x.shard", "x.role")
+    return sole.unionByName(cut)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = MOST_WORDS) -> DataFrame:
     """row_key, spans array<struct<low, high>> (word ranges, may overlap) of rows with repeated windows."""
     spark = docs.sparkSession
     shared.shared_dir(spark)
     shared.bounded_batches(spark)
     keyed = docs.select(row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
-    scanned = keyed.mapInArrow(_scan(window), _SEGMENT)
+    scanned = shared.settle(keyed.mapInArrow(_scan(window), _SEGMENT), "scanned")
     repeated = scanned.groupBy("name").agg(F.sum("places").alias("n")).filter("n > 1").select("name")
     found = shared.settle(scanned.drop("places").join(repeated, "name"), "segments")
     distinct = found.groupBy("name", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "start", "windows")).alias("one"))
@@ -189,27 +197,29 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = MOST_WORDS
     # a name needs an automaton unless all its segments are copies of one
     mixed = distinct.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).filter("kinds > 1 or all = 1").select("name")
     mixed = shared.settle(distinct.join(mixed, "name"), "reference")
-    total = mixed.agg(F.sum(F.col("one.windows") + window)).first()[0] or 0
-    shards = max(64, -(-total // SHARD_WORDS))
+    shared.discard(scanned)
     wanted = (
-        mixed.select(F.col("one.row_key").alias("row_key"), F.struct(F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"), "name", "seg", "copies", "one.start", "one.windows").alias("x"))
+        _dealt(mixed, window, most)
+        .select(F.col("one.row_key").alias("row_key"), F.struct("shard", "role", "name", "seg", "copies", "one.start", "one.windows").alias("x"))
         .groupBy("row_key")
         .agg(F.collect_list("x").alias("wanted"))
     )
-    content = keyed.join(wanted.hint("shuffle_hash"), "row_key").select("text", "wanted").mapInArrow(_fetch(window), "shard int, name long, seg long, copies long, words binary")
-    partial = content.groupBy("shard").applyInArrow(_shard(window, most), "name long, seg long, low int, high int")
+    content = keyed.join(wanted.hint("shuffle_hash"), "row_key").select("text", "wanted").mapInArrow(_fetch(window), "shard long, role int, name long, seg long, copies long, words binary")
+    partial = content.groupBy("shard").applyInArrow(_shard(window), "name long, seg long, low int, high int")
     whole = distinct.filter("copies > 1").select("name", "seg", F.lit(0).alias("low"), (F.col("one.windows") + window - 1).alias("high"))
     cover = shared.settle(partial.join(whole.select("name", "seg"), ["name", "seg"], "left_anti").unionByName(whole), "cover")
     spans = found.join(cover, ["name", "seg"]).select("row_key", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).alias("span"))
     return spans.groupBy("row_key").agg(F.collect_set("span").alias("spans"))
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, names: tuple[str, ...]):
+    """The last two columns are the row's key and spans."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
         for part, data, offsets in rows(batches):
             start, end, _, word_off = words(data, offsets, tables)
-            spans = part.column(part.schema.get_field_index("__spans")).to_pylist()
+            spans = part.column(part.num_columns - 1).to_pylist()
             raw = data.tobytes()
             texts, sizes, gone, digest = part.column(part.schema.get_field_index("text")).to_pylist(), [], [], []
             for i in range(part.num_rows):
@@ -233,21 +243,22 @@ def _cut(with_text: bool):
                     pieces.append(raw[at : start[low + a]])
                     at = int(end[low + b - 1])
                 texts[i] = b"".join([*pieces, raw[at : offsets[i + 1]]]).decode()
-            columns = [(pa.array(texts, f.type) if f.name == "text" else c) for f, c in zip(part.schema, part.columns, strict=True) if f.name not in ("__spans", "__row_key") and (with_text or f.name != "text")]
-            names = [f.name for f in part.schema if f.name not in ("__spans", "__row_key") and (with_text or f.name != "text")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], [*names, "n_words", "n_removed", "kept_sha256"])
+            own = [(f, c) for f, c in zip(part.schema, part.columns[:-2], strict=False) if f.name not in names and (with_text or f.name != "text")]
+            columns = [pa.array(texts, f.type) if f.name == "text" else c for f, c in own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], [*(f.name for f, _ in own), *names])
 
     return run
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = True, most: int = MOST_WORDS) -> DataFrame:
-    """``docs`` with repeated windows' words cut out of ``text``, and n_words, n_removed, kept_sha256.
+def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = True, most: int = MOST_WORDS, names: tuple[str, ...] = ("n_words", "n_removed", "kept_sha256")) -> DataFrame:
+    """``docs`` with repeated windows' words cut out of ``text``, and the columns ``names``: words, removed words and digest.
 
     The digest is that of the kept words joined by one blank.  Without ``with_text`` the text is left out.
+    Columns of ``docs`` that have one of the ``names`` are replaced, all others pass through.
     """
-    spans = repeated_spans(docs, window, most)
-    spans = spans.select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__row_key", row_key()).join(spans.hint("shuffle_hash"), "__row_key", "left")
-    kept = [f for f in docs.schema.fields if with_text or f.name != "text"]
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long, n_removed long, kept_sha256 string"])
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__row_key", "__spans").mapInArrow(_cut(with_text), kinds)
+    key, own = shared.unused(docs.columns, "row_key", "spans")
+    spans = repeated_spans(docs, window, most).select(F.col("row_key").alias(key), F.col("spans").alias(own))
+    joined = docs.withColumn(key, row_key()).join(spans.hint("shuffle_hash"), key, "left")
+    kept = [f for f in docs.schema.fields if f.name not in names and (with_text or f.name != "text")]
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{n}` {t}" for n, t in zip(names, ("long", "long", "string"), strict=True))])
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], key, own).mapInArrow(_cut(with_text, names), kinds)
