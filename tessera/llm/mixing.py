@@ -7,7 +7,8 @@ split into independent parts so that no probability underflows.  Copies are expl
 globally by a hash of (seed, id, copy): partitions are random and each is sorted by that hash.
 
 A null source is a source of its own; null ids share one draw, as rows that repeat do; sources without
-a weight are left out; columns of the input pass through; an empty table gives no rows.  Rates are
+a weight are left out; texts are neither read nor cut, however long, null or empty; columns of the input
+pass through (those named like the three added ones are replaced); an empty table gives no rows.  Rates are
 broadcast only after a count of the sources; beyond ``MOST_BROADCAST`` they are joined by shuffle.
 """
 
@@ -58,16 +59,20 @@ def rates(docs: DataFrame, source: str = "source", weights: DataFrame | None = N
     return sized.select("source", F.round(F.lit(wanted) * F.col("weight") / F.lit(float(weight or 1)) / F.col("n"), 9).alias("rate"))
 
 
-def replicate(docs: DataFrame, rate: DataFrame, source: str = "source", doc_id: str = "doc_id", seed: str = SEED, shuffle: bool = True) -> DataFrame:
-    """``docs`` with copy (from 1), copies and shuffle_key, each row as often as it drew."""
+def replicate(docs: DataFrame, rate: DataFrame, source: str = "source", doc_id: str = "doc_id", seed: str = SEED, shuffle: bool = True, names: tuple[str, str, str] = ("copies", "copy", "shuffle_key")) -> DataFrame:
+    """``docs``, each row as often as it drew, with the columns ``names``: copies drawn, number of the copy (from 1) and shuffle key."""
+    many, number, order = names
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    own, split, below, drawn = shared.unused([*docs.columns, *names], "own_source", "parts", "below", "drawn")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
-    table = rate.select(F.col("source").alias("__source"), parts.alias("__parts"), cumulative(F.col("rate") / parts).alias("__below"))
+    table = rate.select(F.col("source").alias(own), parts.alias(split), cumulative(F.col("rate") / parts).alias(below))
     few = rate.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    joined = docs.join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("__source")))
-    draw = lambda part: F.size(F.filter("__below", lambda x: x <= uniform(seed, F.col(doc_id), part)))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda a, part: a + draw(part))
-    joined = joined.withColumn("copies", copies).filter("copies > 0")
-    out = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary")))
-    out = out.drop("__source", "__parts", "__below")
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
+    joined = docs.join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col(own)))
+    # one hash a part, before the search in the distribution
+    joined = joined.withColumn(drawn, F.transform(F.sequence(F.lit(1), F.col(split)), lambda part: uniform(seed, F.col(doc_id), part)))
+    copies = F.aggregate(drawn, F.lit(0), lambda a, u: a + F.size(F.filter(below, lambda x: x <= u)))
+    joined = joined.withColumn(many, copies).filter(F.col(many) > 0)
+    out = joined.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(many))))
+    out = out.withColumn(order, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col(number).cast("string")).cast("binary")))
+    out = out.drop(own, split, below, drawn)
+    return out.repartition(order).sortWithinPartitions(order) if shuffle else out
