@@ -150,9 +150,10 @@ def base_failed():
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts the lines that the last column lists out of the text."""
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        bad = batch.column(batch.schema.get_field_index("bad_lines")).to_pylist()
+        bad = batch.column(batch.num_columns - 1).to_pylist()
         texts = batch.column(at).to_pylist()
         for i, drop in enumerate(bad):
             if drop and texts[i] is not None:
@@ -163,14 +164,12 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def clean_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """``docs`` without rejected rows, the others' frequent lines removed from ``text``."""
+    """``docs`` without rejected rows, the others' frequent lines removed from ``text``; columns pass through whatever their names."""
     report = line_report(docs, host, **limits)
-    verdict = report.filter(base_failed() | F.col("depleted") | (F.size("bad_lines") > 0)).groupBy("doc_key").agg(
-        F.max(base_failed() | F.col("depleted")).alias("reject"), F.first("bad_lines").alias("bad_lines")
+    key, reject, bad = shared.unused(docs.columns, "key", "reject", "bad_lines")
+    verdict = report.filter(base_failed() | F.col("depleted") | (F.size("bad_lines") > 0)).groupBy(F.col("doc_key").alias(key)).agg(
+        F.max(base_failed() | F.col("depleted")).alias(reject), F.first("bad_lines").alias(bad)
     )
-    key = "__key"
-    joined = docs.withColumn(key, _keyed(docs, host)[0]).join(
-        verdict.withColumnRenamed("doc_key", key).hint("shuffle_hash"), key, "left"
-    )
-    kept = joined.filter(~F.coalesce("reject", F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns], "bad_lines")
-    return kept.mapInArrow(_strip, kept.schema).drop("bad_lines")
+    joined = docs.withColumn(key, _keyed(docs, host)[0]).join(verdict.hint("shuffle_hash"), key, "left")
+    kept = joined.filter(~F.coalesce(F.col(reject), F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns], bad)
+    return kept.mapInArrow(_strip, kept.schema).drop(bad)
