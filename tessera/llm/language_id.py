@@ -9,7 +9,8 @@ batches of distinct (text, bucket) counts.
 
 Defined cases: null text, or text without a letter, gives ``und`` and score 0, as does every text if
 nothing could be learned; ties go to the alphabetically first language; rows that repeat are
-predicted each; an empty table gives no rows.
+predicted each; texts are scored whole, however long; columns beyond doc_id, text and lang are not
+read, and kept ones pass through (lang_pred and score are added); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,7 +61,8 @@ class Buckets:
             return np.empty(0, np.int64)
         keep = ~gap
         keep[1:] |= ~gap[:-1]
-        code = np.concatenate([[32], code[keep], [32]]).astype(np.uint64)
+        code = code[keep]
+        code = np.concatenate([[32], code[:-1] if code[-1] == 32 else code, [32]]).astype(np.uint64)
         out = []
         for n in ORDERS:
             value = np.full(max(len(code) - n + 1, 0), n, dtype=np.uint64)
@@ -117,7 +119,7 @@ def _score(model, langs: list[str], bits: int):
         names = [*langs, "und"]
         for b in batches:
             best, score = np.full(b.num_rows, len(langs)), np.zeros(b.num_rows)
-            texts = b.column(b.schema.get_field_index("text"))
+            texts = b.column(b.num_columns - 1)
             for low in range(0, b.num_rows, 64):
                 found = [buckets.of(texts[i].as_py() or "") for i in range(low, min(low + 64, b.num_rows))]
                 size = np.array([len(x) for x in found])
@@ -145,7 +147,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, keep: list[Colu
     spark = docs.sparkSession
     shared.bounded_batches(spark)
     bits = int(logp.shape[0]).bit_length() - 1
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    rows = docs.select(*keep, F.col("text").cast("string").alias(shared.unused(docs.select(*keep).columns, "text")[0]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     model = spark.sparkContext.broadcast(logp)
     return rows.mapInArrow(_score(model, langs, bits), f"{kinds}, lang_pred string, score double")
