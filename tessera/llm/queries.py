@@ -54,7 +54,7 @@ def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.balanced_shards(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "fill")
 
 
 HARD = r"\### Assistant: </turn> ok"
@@ -90,29 +90,25 @@ def _event(rows: DataFrame, op: str, tokenizer: str, tokens, old=None) -> DataFr
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents: two measures of length that SQL has, revised counts, deletes of toxic rows.
+    """Four batches over all documents: whole texts' tokens under two public tokenizers, the first's
+    revised to count the end token that packing adds, deletes of toxic rows.
 
     Each batch is committed twice; the second time has no effect.
     """
+    import public_tokenizers
+
     docs = _table(spark, sf_dir, "documents")
     toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    text = F.coalesce("text", F.lit(""))
-    facts = docs.select(
-        "doc_id", "source", "lang",
-        (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("blanks"),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("breaks"),
-        F.floor((F.octet_length(text) + 3) / 4).cast("long").alias("quarters"),
-    )
-    facts = shared.settle(facts, "facts")
+    paths = [public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken")]
+    facts = shared.settle(packing.token_lengths(docs, *paths, ["doc_id", "source", "lang"]), "facts")
     gone = facts.join(toxic, "doc_id", "left_semi")
-
-    blanks, lines, quarters = F.col("blanks"), F.col("blanks") + F.col("breaks"), F.col("quarters")
-    rollup = token_counts.Rollup(spark)
+    word, ended, byte = F.col("word_tokens"), F.col("word_tokens") + 1, F.col("byte_tokens")
+    rollup = token_counts.Rollup(spark, every=2)
     batches = {
-        "0001": _event(facts, "insert", "blank-1", blanks),
-        "0002": _event(facts, "insert", "quarter-1", quarters),
-        "0003": _event(facts, "revise", "blank-1", lines, blanks),
-        "0004": _event(gone, "delete", "blank-1", lines).unionByName(_event(gone, "delete", "quarter-1", quarters)),
+        "0001": _event(facts, "insert", "word-bpe-49k", word),
+        "0002": _event(facts, "insert", "byte-bpe-50k", byte),
+        "0003": _event(facts, "revise", "word-bpe-49k", ended, word),
+        "0004": _event(gone, "delete", "word-bpe-49k", ended).unionByName(_event(gone, "delete", "byte-bpe-50k", byte)),
     }
     for name, events in batches.items():
         rollup.commit(name, events)
@@ -120,26 +116,30 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-def op9_token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents: whole texts' tokens under two public tokenizers, the first's
-    revised to count the end token that packing adds, deletes of toxic rows.
+def rollup_of_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup over two measures of length that SQL has (not tokens), revised counts, deletes of toxic rows.
 
     Each batch is committed twice; the second time has no effect.
     """
-    import public_tokenizers
-
     docs = _table(spark, sf_dir, "documents")
     toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    paths = [public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken")]
-    facts = shared.settle(packing.token_lengths(docs, *paths, ["doc_id", "source", "lang"]), "facts")
+    text = F.coalesce("text", F.lit(""))
+    facts = docs.select(
+        "doc_id", "source", "lang",
+        (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("blanks"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("breaks"),
+        F.floor((F.octet_length(text) + 3) / 4).cast("long").alias("quarters"),
+    )
+    facts = shared.settle(facts, "facts")
     gone = facts.join(toxic, "doc_id", "left_semi")
-    word, ended, byte = F.col("word_tokens"), F.col("word_tokens") + 1, F.col("byte_tokens")
+
+    blanks, lines, quarters = F.col("blanks"), F.col("blanks") + F.col("breaks"), F.col("quarters")
     rollup = token_counts.Rollup(spark)
     batches = {
-        "0001": _event(facts, "insert", "word-bpe-49k", word),
-        "0002": _event(facts, "insert", "byte-bpe-50k", byte),
-        "0003": _event(facts, "revise", "word-bpe-49k", ended, word),
-        "0004": _event(gone, "delete", "word-bpe-49k", ended).unionByName(_event(gone, "delete", "byte-bpe-50k", byte)),
+        "0001": _event(facts, "insert", "blank-1", blanks),
+        "0002": _event(facts, "insert", "quarter-1", quarters),
+        "0003": _event(facts, "revise", "blank-1", lines, blanks),
+        "0004": _event(gone, "delete", "blank-1", lines).unionByName(_event(gone, "delete", "quarter-1", quarters)),
     }
     for name, events in batches.items():
         rollup.commit(name, events)
@@ -152,7 +152,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op2_line_frequency_by_share, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, op9_token_counts_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op2_line_frequency_by_share, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, rollup_of_lengths, op10_jaccard_join)}
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _FOLD = "regexp_replace(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]', '0', 'g')"
@@ -194,7 +194,7 @@ WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), t AS (S
 u AS (SELECT d.*, rate, ('0x' || substr(md5('{mixing.SEED}:' || doc_id || ':1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents d JOIN t USING (source)),
 c AS (SELECT *, len(list_filter(range(0, 60), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(i * ln(rate) - rate - lgamma(i + 1.0)))) <= u))::INT AS copies FROM u)
 SELECT doc_id, text, lang, source, n_chars, copies, copy::INT AS copy, md5('{mixing.SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM c WHERE copies > 0)""",
-    "op9_token_counts": """
+    "rollup_of_lengths": """
 WITH f AS (SELECT *, coalesce(text, '') AS t FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 e AS (SELECT source, lang, 'blank-1' AS tokenizer, length(t) - length(replace(t, ' ', '')) + 1 + length(t) - length(replace(t, chr(10), '')) AS tokens FROM f UNION ALL SELECT source, lang, 'quarter-1', (strlen(t) + 3) // 4 FROM f)
 SELECT source, lang, tokenizer, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM e GROUP BY ALL""",
