@@ -1,6 +1,7 @@
 """Plain single-machine versions that the operators are held against."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -95,3 +96,77 @@ def components(rows, n=3, percent=90):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(x).to_bytes(4, "little") for x in ids))
+
+
+def propagated(units, target, shards, rounds, fill, least_room, luck):
+    """units: (grp, chunk, bytes, shard); shard of each (grp, chunk) after label propagation under quotas."""
+    at = {(g, c): (b, s) for g, c, b, s in units}
+    for _ in range(rounds):
+        load = [sum(b for b, s in at.values() if s == j) for j in range(shards)]
+        room = [max(0, int(fill * target) - x) for x in load]
+        if max(room) <= least_room * target:
+            break
+        here = Counter()
+        for (g, _), (b, s) in at.items():
+            here[g, s] += b
+        aims = defaultdict(list)
+        for (g, c), (b, s) in at.items():
+            options = [(here[g, j], -j) for j in range(shards) if here[g, j] and room[j] > least_room * target]
+            if options and max(options) > (here[g, s], -s):
+                aims[-max(options)[1]].append((luck[g], g, c, b))
+        moved = False
+        for j, movers in aims.items():
+            before = 0
+            for _, g, c, b in sorted(movers):
+                if before + b <= room[j]:
+                    at[g, c] = (b, j)
+                    moved = True
+                before += b
+        if not moved:
+            break
+    return {k: s for k, (_, s) in at.items()}
+
+
+def ngram_buckets(text, bits):
+    """Buckets of a text's 1- to 3-grams of lower-case letters with single gaps, hashed with plain integers."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 31
+        x = x * 0x7FB5D329728EA185 & full
+        x ^= x >> 27
+        x = x * 0x81DADEF4BC2DD44D & full
+        return x ^ x >> 33
+
+    kept = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+    if not kept.strip():
+        return []
+    code = [ord(c) for c in " " + re.sub(" +", " ", kept).strip() + " "]
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(code) - n + 1):
+            value = n
+            for x in code[i : i + n]:
+                value = (value * 0x1FFFFF + x) & full
+            out.append(mix(value) >> (64 - bits))
+    return out
+
+
+def naive_bayes(train, texts, bits):
+    """train: (lang, text); (language, probability) of each text by multinomial naive Bayes with add-one smoothing."""
+    counts = defaultdict(Counter)
+    for lang, text in train:
+        counts[lang].update(ngram_buckets(text, bits))
+    out = []
+    for text in texts:
+        found = ngram_buckets(text, bits)
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        score = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + (1 << bits)
+            score[lang] = sum(math.log((c[b] + 1) / total) for b in found)
+        best = min(score, key=lambda x: (-score[x], x))
+        out.append((best, 1 / sum(math.exp(x - score[best]) for x in score.values())))
+    return out

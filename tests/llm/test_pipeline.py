@@ -28,3 +28,12 @@ def test_stages_take_effect(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == {r.doc_id for r in mixed.collect()}
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.createDataFrame([], COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [x.split()[0] for x in COLUMNS.split(", ")] and docs.count() == 0

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
@@ -34,11 +35,41 @@ def test_codes_bound_inner_products():
     rng = np.random.default_rng(2)
     vectors, queries = rng.standard_normal((500, 64)) * 3, rng.standard_normal((20, 64))
     turn = ann.rotation(64)
-    guess, error = ann.estimate(queries, turn, *ann.encode(vectors, turn))
+    guess, error = ann.estimate(queries, turn, *ann.encode(vectors, turn), bound=3.0)
     assert np.mean(np.abs(guess - queries @ vectors.T) <= error) > 0.99
     assert np.allclose(turn @ turn.T, np.eye(64))
 
 
+def test_codes_choose_what_is_reranked(spark):
+    """Random directions, the hardest case: of 100000 vectors less than a tenth are reranked, and recall is above 0.9."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((100_000, 64)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(100_000), "embedding": list(vectors)}))
+    found = ann.search(table, F.col("vec_id") % 2000 == 0).collect()
+    asked = range(0, 100_000, 2000)
+    share = sum({(r.query_id, r.slot): r.reranked for r in found}.values()) / (100_000 * len(asked))
+    mine: dict = {}
+    for r in found:
+        mine.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    hits = 0
+    for q in asked:
+        score = vectors.astype(float) @ vectors[q].astype(float)
+        score[q] = -9
+        hits += len(set(np.argsort(-score)[:20]) & {i for _, i in sorted(mine[q])[:20]})
+    print("recall", hits / (20 * len(asked)), "reranked", share)
+    assert hits >= 0.9 * 20 * len(asked) and share < 0.1
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])]
+    for part in (1, 3):
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(part), F.col("vec_id") % 20 == 0).collect()
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 1.0), (2, 2, 0.5)]
+
+
 def test_nearest_of_nothing(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
@@ -112,6 +143,26 @@ def test_rollup_is_idempotent_and_signed(spark):
     assert {x.source: x.tokens for x in rollup.totals().filter("tokenizer = 'v2'").collect()} == dict(want)
 
 
+def test_rollup_snapshots_keep_the_totals(spark):
+    rollup = token_counts.Rollup(spark, every=3)
+    for i in range(7):
+        assert rollup.commit(f"b/{i}", spark.createDataFrame([("insert", "a", None, "v", i, None, "x")], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long, docs string"))
+        assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(i + 1, i * (i + 1) // 2)]
+    number, _, done, since = rollup._state()
+    assert (number, sorted(done), since) == (2, [f"b/{i}" for i in range(6)], ["b/6"])
+    assert not rollup.commit("b/2", spark.createDataFrame([("insert", "a", None, "v", 9, None)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"))
+    assert rollup.compact() and not rollup.compact() and rollup.totals().first().tokens == 21
+
+
+def test_one_of_several_committers_succeeds(spark):
+    rollup = token_counts.Rollup(spark)
+    events = spark.createDataFrame([("insert", "a", "en", "v", 5, None)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda _: rollup.commit("1", events), range(4)))
+    assert sorted(won) == [False, False, False, True]
+    assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(1, 5)]
+
+
 def test_token_counts_are_the_tokenizers(spark, tmp_path):
     texts = [None, "", "a  b", "Hello World 123 it's\n\n x", "é 😀 Straße <|endoftext|>", "x" * 3000, "toxic words here"]
     spark.createDataFrame([(i, t, "en", "s" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -123,7 +174,7 @@ def test_token_counts_are_the_tokenizers(spark, tmp_path):
     for i, t in enumerate(texts[:6]):
         want["s" if i % 2 else None, "word-bpe-49k"] += size(word, t) + 1
         want["s" if i % 2 else None, "byte-bpe-50k"] += size(byte, t)
-    got = queries.op9_token_counts_bpe(spark, str(tmp_path)).collect()
+    got = queries.op9_token_counts(spark, str(tmp_path)).collect()
     assert {(r.source, r.tokenizer): r.tokens for r in got} == dict(want) and {r.docs for r in got} == {3}
 
 

@@ -256,6 +256,20 @@ def test_language_id_learns_and_marks_the_undefined(spark):
     assert {x.lang_pred for x in language_id.predict(docs, langs, logp, [F.col("doc_id")]).collect()} == {"und"}
 
 
+def test_language_id_equals_plain_naive_bayes(spark):
+    r = random.Random(14)
+    words = {"x": "haus straße über garten mond fluß", "y": "house street over garden moon river", "z": "maison rue sur jardin lune fleuve été"}
+    make = lambda lang, k: " ".join(r.choice(words[lang].split()) for _ in range(k))
+    rows = [(i, make("xyz"[i % 3], r.randint(1, 9)), "xyz"[i % 3]) for i in range(60)]
+    rows += [(60, "mond river été 12", None), (61, " ..Ünï x", None), (62, "", None), (63, None, None), (64, "日本 mond", None), (65, make("x", 4000), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logp = language_id.fit(docs.filter("doc_id < 60"), bits=12)
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.predict(docs, langs, logp, [F.col("doc_id")]).collect()}
+    want = brute.naive_bayes([(x[2], x[1]) for x in rows[:60]], [x[1] for x in rows], 12)
+    for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 2e-3, i
+
+
 def test_language_id_leaves_no_language_out(spark):
     one_more = spark.range(language_id.MAX_LANGS + 1).selectExpr("id AS doc_id", "'ab cd' AS text", "'l' || id AS lang")
     with pytest.raises(ValueError, match="languages"):
@@ -290,6 +304,38 @@ def test_sharding_splits_a_group_of_a_third_of_all_rows(spark):
     assert sum(held[:4]) > 800
 
 
+def test_label_propagation_matches_a_plain_version(spark):
+    r = random.Random(12)
+    units = [(g, c, r.randint(1, 400), r.randrange(6)) for g in range(60) for c in r.sample(range(48), r.randint(1, 12))]
+    target = 1.3 * sum(x[2] for x in units) / 6
+    table = spark.createDataFrame(units, "grp long, chunk int, bytes long, shard int")
+    luck = {x.grp: x.luck for x in table.select("grp", F.shiftrightunsigned(F.xxhash64("grp"), 1).alias("luck")).distinct().collect()}
+    got = {(x.grp, x.chunk): x.shard for x in sharding.propagate(table, target, 6, 4).collect()}
+    assert got == brute.propagated(units, target, 6, 4, sharding.FILL, sharding.LEAST_ROOM, luck)
+    cut = lambda at: sum(at[a[:2]] != at[b[:2]] for a in units for b in units if a[0] == b[0] and a[1] < b[1])
+    assert cut(got) < cut({x[:2]: x[3] for x in units}) / 2
+
+
+def test_clashing_columns_pass_through(spark):
+    text = lambda c: " ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    extra = ["reject", "bad_lines", "__key", "key", "row_key", "spans", "__spans", "n_words", "n_removed", "kept_sha256", "copies", "copy", "shuffle_key", "__source", "rate", "drawn", "host", "body"]
+    schema = "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    rows = [(i, f"Terms of use\n{text(c)}", "a", "en", 0, *extra) for i, c in enumerate("pqrst")]
+    rows += [(9, text("p") + " " + text("z"), "b", "en", 0, *extra), (None, None, None, None, None, *[None] * len(extra))]
+    docs = spark.createDataFrame(rows, schema)
+    import corpus_pipeline
+
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, "")
+        assert at.columns == docs.columns, name
+        kept = at.collect()
+        assert kept and all([r[c] for c in extra] == extra for r in kept), name
+    cut = {r.doc_id: r for r in substring_dedup.remove_repeated(docs).collect()}
+    assert cut[9].n_words == 120 and cut[9].n_removed == 60 and cut[9].reject == "reject"
+    assert language_id.predict(docs, ["x"], np.zeros((16, 1), np.float32), [F.col("text"), F.col("host")]).count() == 7
+
+
 def test_empty_tables(empty):
     assert line_frequency.line_report(empty).count() == 0
     assert line_frequency.clean_documents(empty).count() == 0
@@ -297,6 +343,7 @@ def test_empty_tables(empty):
     assert jaccard_join.JaccardJoin(empty).documents().count() == 0
     assert jaccard_join.drop_near_copies(empty).count() == 0
     assert packing.pack(empty, TOKENIZER).count() == 0
+    assert language_id.predict(empty, *language_id.fit(empty), [F.col("doc_id")]).count() == 0
     assert sharding.balanced_shards(empty).count() == 0
 
 
