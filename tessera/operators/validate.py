@@ -180,6 +180,32 @@ def mark_membership(cases: DataFrame, entities: DataFrame) -> DataFrame:
     return cases.join(listed, "question_id", "left").withColumn("gold_entities", F.coalesce("fixed", "gold_entities")).drop("fixed")
 
 
+def recompute_answerability(cases: DataFrame) -> DataFrame:
+    """``cases`` (task_type, gold_entities, gold_nodes, gold_edges, chain_complete, system_answerable) with the last two
+    following from which gold items are indexed, and ``changes``, the names of the columns that changed."""
+    listed = lambda c: F.coalesce(F.col(c), F.array())
+    entities, nodes, edges = listed("gold_entities"), listed("gold_nodes"), listed("gold_edges")
+    there = lambda x: F.coalesce(x["indexed_in_system"], F.lit(False))
+    gone = lambda x: F.coalesce(~x["indexed_in_system"], F.lit(False))
+    every, any_ = (lambda a: F.forall(a, there)), (lambda a: F.exists(a, there))
+    lost = lambda a: F.exists(a, gone)
+    must = F.filter(entities, lambda x: x["relevance"] == "must_recall")
+    useful = F.filter(entities, lambda x: x["relevance"].isin("must_recall", "acceptable_alternative"))
+    trace, linked, whole = F.col("task_type") == "TRACE_CHAIN", F.size(edges) > 0, every(edges) & every(nodes)
+    complete = F.when(trace & linked, whole).when(trace & F.col("chain_complete").isNotNull(), F.lit(False)).otherwise(F.col("chain_complete"))
+    with_edges = F.when(whole & every(must), "full").when(lost(nodes) | lost(edges), F.when(any_(nodes) | any_(edges) | any_(must), "partial").otherwise("insufficient")).otherwise("full")
+    seen, missing = any_(entities) | any_(nodes), lost(entities) | lost(nodes)
+    without = F.when(seen & (missing | (F.size(nodes) > 0)), "partial").otherwise("insufficient")
+    asked = F.when((F.size(useful) > 0) & every(useful), "full").when(any_(useful), "partial").otherwise("insufficient")
+    answerable = (
+        F.when(trace, F.when(linked, with_edges).otherwise(without)).when(F.size(entities) == 0, F.col("system_answerable"))
+        .when(F.col("task_type") == "CODE_QA", asked).when(F.col("task_type") == "CHANGE_PLAN", F.when(every(must), "full").otherwise("partial")).otherwise(F.col("system_answerable"))
+    )
+    out = cases.withColumn("new_chain", complete).withColumn("new_answer", answerable)
+    changed = F.filter(F.array(F.when(~F.col("new_chain").eqNullSafe(F.col("chain_complete")), "chain_complete"), F.when(~F.col("new_answer").eqNullSafe(F.col("system_answerable")), "system_answerable")), lambda x: x.isNotNull())
+    return out.withColumn("changes", changed).withColumn("chain_complete", F.col("new_chain")).withColumn("system_answerable", F.col("new_answer")).drop("new_chain", "new_answer")
+
+
 def manifest_errors(manifest: dict) -> list[str]:
     """Errors of a manifest's repositories: ids, addresses, commits, states, counts and licences."""
     import re

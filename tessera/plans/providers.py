@@ -65,6 +65,24 @@ def rewrite_query(query: str, complete: Complete | None) -> str:
         return text
 
 
+def embed_with_cache(chunks: DataFrame, embed: Embed, store, model: str = "default", key: str = "entity_id", text: str = "chunk") -> DataFrame:
+    """``key`` and embedding of every chunk, texts embedded before by ``model`` from the store's cache.
+
+    Only texts that the cache lacks, each once, go to the embedder; they are added to the cache before
+    anything is returned, so a run that fails later doesn't pay for them again.
+    """
+    name = f"embeddings-{model}"
+    keyed = chunks.select(key, text, F.sha2(F.col(text), 256).alias("text_hash"))
+    wanted = keyed.groupBy("text_hash").agg(F.any_value(text).alias(text))
+    if store.has(name):
+        wanted = wanted.join(store.read(name, "cache").select("text_hash"), "text_hash", "left_anti")
+    missing = store.settle(wanted)
+    if missing.head(1):
+        store.publish(name, {}, keep=True, more={"cache": embed_chunks(missing, embed, "text_hash", text)})
+    store.unsettle(missing)
+    return keyed.join(store.read(name, "cache").dropDuplicates(["text_hash"]), "text_hash").select(key, "embedding")
+
+
 def cached(table: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(known, missing) of ``wanted`` keys in a cache table."""
     return wanted.join(table, key), wanted.join(table.select(F.col(key)), key, "left_anti")

@@ -185,11 +185,12 @@ def test_numbers_follow_the_order(spark, tmp_path):
     assert store_module.numbered(s, df.limit(0), "n", "k").count() == 0
 
 
-def test_file_lost_after_the_listing_is_a_row(spark, tmp_path):
+def test_file_that_cannot_be_read_is_a_row(spark, tmp_path):
     for name in ("a.py", "b.py"):
         (tmp_path / name).write_text("x = 1\n")
+    # a checksum that doesn't fit: the file is listed, and reading it fails
+    (tmp_path / ".b.py.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + bytes(4))
     files, issues = scan(spark, str(tmp_path))
-    (tmp_path / "b.py").unlink()
     assert [r.file_path for r in files.collect()] == ["a.py"]
     assert [(r.file_path, r.reason_code) for r in issues.collect()] == [("b.py", "READ_ERROR")]
 
@@ -207,6 +208,25 @@ def test_graph_failure_keeps_the_direct_hits(engine, monkeypatch):
     assert refs and notes == [module.GRAPH_UNAVAILABLE] and "Relation reason: direct hybrid-search hit" in text
 
 
+def test_embedding_cache_asks_once(spark, tmp_path):
+    from tessera.plans.providers import embed_with_cache, hash_embedder
+
+    s, plain = store_module.Store(spark, str(tmp_path)), hash_embedder(8)
+    seen = tmp_path / "seen"
+
+    def counting(texts):
+        with seen.open("a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return plain(texts)
+
+    chunks = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "alpha")], "entity_id long, chunk string")
+    first = {r.entity_id: r.embedding for r in embed_with_cache(chunks, counting, s).collect()}
+    assert sorted(seen.read_text().split()) == ["alpha", "beta"] and first[1] == first[3] == plain(["alpha"])[0]
+    more = chunks.union(spark.createDataFrame([(4, "gamma")], chunks.schema))
+    assert len(embed_with_cache(more, counting, s).collect()) == 4
+    assert sorted(seen.read_text().split()) == ["alpha", "beta", "gamma"]
+
+
 def test_report_is_replaced_whole(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -283,6 +283,15 @@ def test_snapshot_rules_and_manifests(spark):
     assert got == ["chain_disagrees", "full_with_unindexed", "indexed_edge_missing", "indexed_entity_missing", "must_recall_unindexed", "unindexed_without_reason"]
     fixed = validate.mark_membership(cases, entities).first().gold_entities
     assert [(e.indexed_in_system, e.missing_reason) for e in fixed] == [(True, None), (False, "not_in_snapshot"), (False, "not_in_snapshot")]
+    full = cases.withColumn("gold_nodes", F.expr("array(named_struct('indexed_in_system', true))"))
+    again = validate.recompute_answerability(full.withColumn("task_type", F.lit("TRACE_CHAIN"))).first()
+    assert (again.chain_complete, again.system_answerable, again.changes) == (False, "partial", ["chain_complete", "system_answerable"])
+    for kind, edges, want in (("TRACE_CHAIN", "slice(gold_edges, 1, 1)", (True, "full")), ("TRACE_CHAIN", "slice(gold_edges, 1, 0)", (False, "partial")), ("CODE_QA", "gold_edges", (True, "full")), ("OTHER", "gold_edges", (True, "full"))):
+        one = full.withColumn("task_type", F.lit(kind)).withColumn("gold_edges", F.expr(edges)).withColumn("gold_entities", F.expr("slice(gold_entities, 1, 2)"))
+        got = validate.recompute_answerability(one).first()
+        assert (got.chain_complete, got.system_answerable) == want, kind
+    plan = full.withColumn("task_type", F.lit("CHANGE_PLAN"))
+    assert validate.recompute_answerability(plan).first().system_answerable == "partial"
     good = {"repo_id": "a", "url": "https://h/x", "commit_sha": "a" * 40, "status": "verified", "file_count": 1, "line_count": 2, "license": "MIT", "language": "java"}
     assert validate.manifest_errors({"repositories": [good]}) == []
     assert len(validate.manifest_errors({"repositories": [good, {**good, "url": "x", "commit_sha": "", "file_count": None}]})) == 4
