@@ -1,14 +1,16 @@
 """Quality rules: cross-document line frequency.
 
 Every line is normalised (ASCII lower case, digits to 0, white space collapsed) and hashed.  For
-each host the number of distinct documents holding a line is counted (documents with one and the
-same text count once, so copying a document doesn't turn its lines into boilerplate).  Lines held by
+each host the number of distinct documents holding a line is counted (``by_text``: of distinct texts,
+where a text copied to a large part of a host should not turn into boilerplate).  Lines held by
 more than ``max(min_docs, share * documents of the host)`` documents are removed, and a document is
 rejected if removal leaves less than ``min_left`` of its words.  The share decides at every size;
 ``min_docs`` only keeps a few documents that agree by chance in a small host from being boilerplate.
 
-Defined cases: null text reads as empty; a null host is a host of its own; rows that repeat get the
-same verdict; an empty table gives an empty result; columns beyond those named pass through.
+Defined cases: null text reads as empty; a null host is a host of its own; rows alike in id, host and
+text are one document and get the same verdict; a line held by just as many documents as the limit
+stays; texts are read whole, however long; an empty table gives an empty result; columns beyond those
+named pass through.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ from . import shared
 from .textkernel import SPACE, Tables, mix, rows, words
 
 FEW_DOCS = 3
-#: The floor that the SQL twin of op2_line_frequency has; up to 5000 documents a host it decides instead of the share.
-MIN_DOCS = 50
 SHARE = 0.01
 MIN_LEFT = 0.4
 
@@ -105,7 +105,7 @@ def _keyed(docs: DataFrame, host: str) -> list:
     ]
 
 
-def line_report(docs: DataFrame, host: str = "source", min_docs: int = FEW_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def line_report(docs: DataFrame, host: str = "source", min_docs: int = FEW_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, by_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: its counts, the hashes of its lines to remove and the verdict.
 
     Columns: doc_key, host, doc_id, the five counts, bad_lines array<long>, removed_words, depleted.
@@ -115,9 +115,10 @@ def line_report(docs: DataFrame, host: str = "source", min_docs: int = FEW_DOCS,
     shared.bounded_batches(docs.sparkSession)
     stats = shared.settle(docs.select(*_keyed(docs, host)).mapInArrow(_scan, _STATS), "line-stats")
     spread = stats.select("doc_key", "host", "body", F.inline("lines"))
+    unit = "body" if by_text else "doc_key"
     place = F.xxhash64(F.col("host"), F.col("line"))
-    counted = spread.groupBy("host", "line").agg(F.count_distinct("body").alias("docs")).filter(F.col("docs") > min_docs)
-    hosts = stats.groupBy("host").agg(F.count_distinct("body").alias("host_docs"))
+    counted = spread.groupBy("host", "line").agg(F.count_distinct(unit).alias("docs")).filter(F.col("docs") > min_docs)
+    hosts = stats.groupBy("host").agg(F.count_distinct(unit).alias("host_docs"))
     frequent = (
         counted.join(hosts, counted["host"].eqNullSafe(hosts["host"]))
         .filter(F.col("docs") > F.col("host_docs") * share)

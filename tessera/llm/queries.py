@@ -23,17 +23,11 @@ def _line_verdicts(report: DataFrame) -> DataFrame:
     return report.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         line_frequency.base_failed().alias("base_failed"),
-        (~line_frequency.base_failed() & ~F.col("depleted")).alias("kept"),
+        (~line_frequency.base_failed() & ~F.col("depleted")).alias("kept"), "removed_words",
     )
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the floor that its SQL twin has."""
-    return _line_verdicts(line_frequency.line_report(_table(spark, sf_dir, "documents"), min_docs=line_frequency.MIN_DOCS))
-
-
-def op2_line_frequency_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of the host's texts decides at every size."""
     return _line_verdicts(line_frequency.line_report(_table(spark, sf_dir, "documents")))
 
 
@@ -152,7 +146,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op2_line_frequency_by_share, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, rollup_of_lengths, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, rollup_of_lengths, op10_jaccard_join)}
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _FOLD = "regexp_replace(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]', '0', 'g')"
@@ -163,8 +157,8 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 lines AS (SELECT r, host, t, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS line FROM d),
 folded AS (SELECT r, host, t, line, {_FOLD.format("line")} AS f, len({_WORDS.format("line")}) AS k FROM lines),
-held AS (SELECT host, f, count(DISTINCT t) AS n FROM folded GROUP BY ALL), hosts AS (SELECT host, count(DISTINCT t) AS h FROM d GROUP BY host),
-bad AS (SELECT host, f FROM held JOIN hosts USING (host) WHERE n > {line_frequency.MIN_DOCS} AND n > h * {line_frequency.SHARE}),
+held AS (SELECT host, f, count(DISTINCT r) AS n FROM folded GROUP BY ALL), hosts AS (SELECT host, count(*) AS h FROM d GROUP BY host),
+bad AS (SELECT host, f FROM held JOIN hosts USING (host) WHERE n > {line_frequency.FEW_DOCS} AND n > h * {line_frequency.SHARE}),
 gone AS (SELECT r, sum(k) AS g FROM folded JOIN bad USING (host, f) GROUP BY r),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 pos AS (SELECT r, w, generate_subscripts(w, 1) AS i FROM d),
@@ -174,7 +168,7 @@ rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2
 base AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(g, 0) AS g FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (g > 0 AND n_words - g < n_words * {line_frequency.MIN_LEFT}) AS kept FROM v""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (g > 0 AND n_words - g < n_words * {line_frequency.MIN_LEFT}) AS kept, g::BIGINT AS removed_words FROM v""",
     "op4_rotated_codes": """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20""",
@@ -207,4 +201,3 @@ l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id FROM d LEFT JOIN z ON z.doc_id = d.doc_id""",
 }
-ORACLE_SQL["op2_line_frequency_by_share"] = ORACLE_SQL["op2_line_frequency"].replace(f"n > {line_frequency.MIN_DOCS} ", f"n > {line_frequency.FEW_DOCS} ")

@@ -23,14 +23,14 @@ def base_counts(text):
 
 
 def line_verdicts(rows, min_docs, share, min_left):
-    """rows: (host, text); True where the row is depleted."""
+    """rows: (host, text), each a document; True where the row is depleted."""
     fold = lambda x: " ".join(re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), x)) for x in WORD.findall(x))
     holders, hosts = defaultdict(set), defaultdict(set)
-    for host, text in rows:
-        hosts[host].add(text or "")
+    for i, (host, text) in enumerate(rows):
+        hosts[host].add(i)
         for line in (text or "").split("\n"):
             if WORD.search(line):
-                holders[host, fold(line)].add(text or "")
+                holders[host, fold(line)].add(i)
     out = []
     for host, text in rows:
         n = gone = 0
