@@ -15,6 +15,7 @@ times 2**33 plus a counter.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -72,13 +73,26 @@ class LevelArray:
 class TokenCache:
     """Token ids of texts as little-endian bytes, by way of a table of pieces seen before.
 
-    For tokenizers that lower-case, cut at letters, single digits and runs of other signs, and map
-    bytes to letters before their merges.  Where a text has code points up to U+00FF only, these
-    steps are done here and each new piece goes straight to the merges; other blank-separated words,
-    and texts that hold special tokens, go to the tokenizer itself.  Pieces of up to ``longest``
-    characters are kept, and the table starts anew after ``most`` of them.
+    For tokenizers whose own settings are ``SETTINGS``: they lower-case, cut at letters, single digits
+    and runs of other signs, and map bytes to letters before their merges.  Where a text has code
+    points up to U+00FF only, these steps are done here and each new piece goes straight to the merges;
+    other blank-separated words, and texts that hold special tokens, go to the tokenizer itself, as all
+    texts do if its settings are others.  Pieces of up to ``longest`` characters are kept, and the table
+    starts anew after ``most`` of them.
     """
 
+    # The settings of the public tokenizer for which the steps below are the same.
+    SETTINGS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
+
     SPECIAL = "<|"
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa00-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
 
@@ -88,6 +102,8 @@ class TokenCache:
         rest = [b for b in range(256) if b not in plain]
         self.letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.known: dict[str, bytes] = {}
+        own = json.loads(tokenizer.to_str())
+        self.fits = all(own[k] == v for k, v in self.SETTINGS.items()) and all(self.SPECIAL in x["content"] for x in own["added_tokens"])
 
     def piece(self, x: str) -> bytes:
         mapped = x if x.isascii() and x.isalpha() else "".join([self.letter[b] for b in x.encode()])
@@ -117,7 +133,7 @@ class TokenCache:
             return self.fill(pieces)
 
     def ids(self, text: str) -> bytes:
-        if self.SPECIAL in text:
+        if not self.fits or self.SPECIAL in text:
             return self.whole(text)
         try:
             text.encode("latin-1")

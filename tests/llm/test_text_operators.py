@@ -204,6 +204,16 @@ def test_token_cache_equals_tokenizer():
         assert np.frombuffer(cache.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_token_cache_leaves_other_tokenizers_alone():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    cache = TokenCache(tokenizer)
+    assert not cache.fits and TokenCache(Tokenizer.from_file(TOKENIZER)).fits
+    for text in ["", "Hello  World's 12", "É ok"]:
+        assert np.frombuffer(cache.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_level_array_takes_the_least_sum_of_squares():
     r = random.Random(2)
     levels, window = LevelArray(20), 20
