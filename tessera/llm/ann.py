@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-A vector is scaled to unit length and turned by a seeded random rotation; its code keeps one sign bit
-a dimension, packed, with two correction scalars: the vector's length and the inner product of the
-turned vector with its own code.  From these the inner product with a query is estimated without
-bias, with an error bound that shrinks with the dimension.
+A vector is scaled to unit length and turned by a seeded random rotation, or by several side by side
+where its dimension is below ``BITS``, which is an isometry to more dimensions; its code keeps one sign
+bit a dimension, packed, with two correction scalars: the vector's length and the inner product of the
+turned vector with its own code.  From these the inner product with a query is estimated without bias,
+with an error bound that shrinks with the number of bits.
 
 The search takes two passes over grids of bounded cells (candidate slot x query slot), so neither side
 is ever held whole.  The first carries codes alone and keeps each query's ``FLOOR_FACTOR * k`` largest
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from . import shared
 
 SEED = 20
-BOUND = 2.5
-FLOOR_FACTOR = 2
+BITS = 256
+BOUND = 3.0
+FLOOR_FACTOR = 4
 SLOTS = 64
 SLOT_ROWS = 65_536
 QUERY_ROWS = 32_768
@@ -39,24 +41,28 @@ CODE_SLOT_ROWS = 1 << 18
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, the same in every task."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """Random orthogonal matrices side by side, ``BITS`` columns at least, scaled to keep lengths; the same in every task."""
+    blocks = max(1, -(-BITS // dim))
+    random, out = np.random.default_rng([seed, dim]), []
+    for _ in range(blocks):
+        q, r = np.linalg.qr(random.standard_normal((dim, dim)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.hstack(out) / np.sqrt(blocks)
 
 
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed sign bits, length, inner product of turned unit vector and its code)."""
     length = np.linalg.norm(vectors, axis=1)
     turned = (vectors / length[:, None]) @ turn
-    return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
+    return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1])
 
 
 def estimate(queries: np.ndarray, turn: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products (queries x codes) and the half-widths of their error bounds."""
-    dim = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    raw = (queries @ turn).astype(np.float32) @ signs.T / np.float32(np.sqrt(dim))
-    spread = length * np.sqrt(np.maximum(0.0, 1 - own**2)) / own * bound / np.sqrt(max(dim - 1, 1))
+    bits = turn.shape[1]
+    signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
+    raw = (queries @ turn).astype(np.float32) @ signs.T / np.float32(np.sqrt(bits))
+    spread = length * np.sqrt(np.maximum(0.0, 1 - own**2)) / own * bound / np.sqrt(max(bits - 1, 1))
     return raw * (length / own), np.linalg.norm(queries, axis=1)[:, None] * spread + 1e-5 * length * np.linalg.norm(queries, axis=1)[:, None]
 
 

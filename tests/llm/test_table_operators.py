@@ -5,6 +5,7 @@ from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -45,9 +46,8 @@ def test_codes_choose_what_is_reranked(spark):
     rng = np.random.default_rng(5)
     vectors = rng.standard_normal((100_000, 64)).astype(np.float32)
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
-    import pandas as pd
-
-    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(100_000), "embedding": list(vectors)}))
+    columns = [pa.array(np.arange(100_000)), pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), 64).cast(pa.list_(pa.float32()))]
+    table = spark.createDataFrame(pa.table(columns, ["vec_id", "embedding"]))
     found = ann.search(table, F.col("vec_id") % 2000 == 0).collect()
     asked = range(0, 100_000, 2000)
     share = sum({(r.query_id, r.slot): r.reranked for r in found}.values()) / (100_000 * len(asked))
