@@ -46,6 +46,8 @@ CHAIN = 500
 FLUSH = 1 << 21
 #: Postings of one shingle in a flush beyond which they are dealt by set too.
 HOT = 64
+#: Rounds of components before the last links are known: enough for stars and short chains.
+PARTIAL = 3
 SIGNATURE = [f"s{i}" for i in range(32)]
 MINIMA = ["m0", "m1"]
 #: The signature folded to a quarter, for the token join.
@@ -420,10 +422,10 @@ class JaccardJoin:
         for m in MINIMA:
             step = step.unionByName(self._star(prefixes, "token", m))
         links, seen = self._links(step, None)
-        postings = self._open(prefixes, shared.settle(components(links), "roots"))
+        postings = self._open(prefixes, shared.settle(components(links, PARTIAL), "roots"))
         more, seen = self._links(self._between(postings, MINIMA[0]).unionByName(self._between(postings, MINIMA[1])), seen)
         links = links.unionByName(more)
-        postings = self._open(postings.drop("root"), shared.settle(components(links), "roots"))
+        postings = self._open(postings.drop("root"), shared.settle(components(links, PARTIAL), "roots"))
         rest, _ = self._links(self._rest(postings.drop(*MINIMA)), seen)
         return shared.settle(components(links.unionByName(rest)), "roots")
 

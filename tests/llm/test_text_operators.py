@@ -172,6 +172,8 @@ def test_components_of_random_graphs(spark):
                 root[a] = root[b] = min(root[a], root[b])
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {x.node: x.root for x in got} == root and len(got) == len(root)
+    partial = components(spark.createDataFrame(links, "a long, b long"), 2).collect()
+    assert {x.node for x in partial} == set(root) and len(partial) == len(root) and all(root[x.root] == root[x.node] for x in partial)
 
 
 def test_packing_round_trip(docs):
