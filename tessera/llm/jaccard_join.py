@@ -290,7 +290,9 @@ class JaccardJoin:
         buckets = 1 << min(20, max(8, (rows_ // 2000).bit_length()))
         blobs = self.docs.mapInArrow(_postings(self.n, self.percent, buckets, self._order()), "bucket long, token binary, owner binary, size binary, place binary")
         live = shared.settle(blobs.groupBy("bucket").applyInArrow(_live(buckets), "token long, owner long, size int, place int"), "live")
-        live = shared.settle(live.join(live.groupBy("token").agg(F.count("*").alias("df")), "token"), "counted")
+        # counts are written before they are joined, here and below, so that Spark can split a hot shingle's rows
+        counts = shared.settle(live.groupBy("token").agg(F.count("*").alias("df")), "counts")
+        live = shared.settle(live.join(counts, "token"), "counted")
         base = F.col("size") - F.ceil(F.col("size") * self.percent / 100.0 - 1e-9)
         costs = [F.sum(F.when(F.col("place") < base + l, F.col("df") - 1).otherwise(0)).alias(f"c{l}") for l in range(1, LEVELS + 1)]
         cost = lambda l: F.col(f"c{l}") * (1 + VERIFY_COST / l)
@@ -382,6 +384,7 @@ class JaccardJoin:
         """Postings, with their sets' roots, of the shingles in whose lists different roots are left."""
         placed = shared.settle(prefixes.join(roots, F.col("owner") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "owner")), "placed")
         more = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("token")
+        more = shared.settle(more, "open-tokens")
         return shared.settle(placed.join(more, "token", "left_semi"), "open")
 
     def _banded(self, postings: DataFrame) -> DataFrame:
@@ -395,7 +398,7 @@ class JaccardJoin:
         spread = postings.withColumn("own", F.floor(place).cast("int")).withColumn("band", F.explode(bands))
         for _ in range(2):
             lists = spread.groupBy("token", "band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max(F.col("own") == F.col("band")).alias("some"), F.min("level").alias("least"))
-            lists = lists.filter("r1 <> r2 and some").select("token", "band", "least")
+            lists = shared.settle(lists.filter("r1 <> r2 and some").select("token", "band", "least"), "open-lists")
             left = shared.settle(spread.drop("least", "held").join(lists, ["token", "band"]), "lists")
             held = left.groupBy("owner").agg(F.count_distinct("token").alias("held"))
             spread = shared.settle(left.join(held, "owner").filter(F.col("held") >= F.least("level", "least")), "banded")
@@ -433,7 +436,7 @@ class JaccardJoin:
         """key, doc_id, n_shingles, component (of sets; null for an empty set) and component_id of every row."""
         roots = self.set_components()
         rooted = shared.settle(self.classes.join(roots, F.col("owner") == F.col("node"), "left").select("owner", "least", F.coalesce("root", "owner").alias("component")), "rooted")
-        named = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = shared.settle(rooted.groupBy("component").agg(F.min("least").alias("component_id")), "named")
         classes = shared.settle(rooted.join(named, "component").select(F.col("owner").alias("set_id"), "component", "component_id"), "classes")
         out = self.facts.join(classes, F.col("a") == F.col("set_id"), "left")
         return out.select("key", "doc_id", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -446,7 +449,7 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     """
     found = shared.settle(JaccardJoin(docs, n, percent).documents(), "joined")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
-    gone = found.filter("component is not null").groupBy("component").agg(F.min(place)["key"].alias("first"))
+    gone = shared.settle(found.filter("component is not null").groupBy("component").agg(F.min(place)["key"].alias("first")), "firsts")
     gone = shared.settle(found.join(gone, "component").filter("key <> first").select("key").distinct(), "gone")
     key = shared.unused(docs.columns, "key")[0]
     kept = docs.withColumn(key, row_key()).join(shared.few(gone.withColumnRenamed("key", key)), key, "left_anti")

@@ -190,12 +190,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = MOST_WORDS
     shared.bounded_batches(spark)
     keyed = docs.select(row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
     scanned = shared.settle(keyed.mapInArrow(_scan(window), _SEGMENT), "scanned")
-    repeated = scanned.groupBy("name").agg(F.sum("places").alias("n")).filter("n > 1").select("name")
+    # names are written before they are joined, here and below, so that Spark can split a hot name's rows
+    repeated = shared.settle(scanned.groupBy("name").agg(F.sum("places").alias("n")).filter("n > 1").select("name"), "repeated")
     found = shared.settle(scanned.drop("places").join(repeated, "name"), "segments")
     distinct = found.groupBy("name", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "start", "windows")).alias("one"))
     distinct = shared.settle(distinct, "distinct")
     # a name needs an automaton unless all its segments are copies of one
     mixed = distinct.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).filter("kinds > 1 or all = 1").select("name")
+    mixed = shared.settle(mixed, "mixed")
     mixed = shared.settle(distinct.join(mixed, "name"), "reference")
     shared.discard(scanned)
     wanted = (
