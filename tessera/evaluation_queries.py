@@ -240,6 +240,16 @@ def graph_eval_merge(spark, sf):
     return one(nodes, "entity_id", "node").unionByName(one(own, "relation_id", "edge"))
 
 
+@query(
+    f"WITH {td.GRAPH}, w AS (SELECT s AS place, s AS entity_id, 0 AS depth FROM (SELECT unnest([{td.NATION}, {td.NATION + 1}]) AS s) UNION ALL SELECT DISTINCT here, other, 1 FROM around WHERE here IN ({td.NATION}, {td.NATION + 1}) AND relation_type = 'CALLS_METHOD'), "
+    "f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY place, depth) = 1) SELECT (row_number() OVER (ORDER BY place, depth, entity_id))::INT AS citation, entity_id, qualified_name FROM f JOIN nodes USING (entity_id)"
+)
+def graph_references(spark, sf):
+    seeds = spark.createDataFrame([(td.NATION, td.NATION), (td.NATION + 1, td.NATION + 1)], "seed_id long, place long")
+    nodes, _ = graph.merge(graph.traverse(td.nodes(spark, sf), td.edges(spark, sf), seeds, 1, ["CALLS_METHOD"]), seeds)
+    return graph.references(nodes, td.nodes(spark, sf)).select("citation", "entity_id", "qualified_name")
+
+
 # -- lists and texts --
 
 

@@ -71,6 +71,13 @@ def merge_by_id(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return own, edges.dropDuplicates(["relation_id"]).orderBy("source_id", "target_id", "relation_type", "relation_id")
 
 
+def references(nodes: DataFrame, details: DataFrame) -> DataFrame:
+    """The nodes (entity_id, depth, place) of a bounded result as numbered references: citation from 1 in the order
+    of the walk (its seeds' places, then depth, then id), with what ``details`` knows of each entity."""
+    order = Window.orderBy("place", "depth", "entity_id")  # one result, a bounded number of nodes
+    return nodes.withColumn("citation", F.row_number().over(order)).join(details, "entity_id")
+
+
 def api_matches(apis: DataFrame, method: str, normalized_path: str) -> DataFrame:
     """Backend APIs of exactly that method and path (columns http_method, normalized_path)."""
     return apis.filter((F.upper("http_method") == method.upper()) & (F.col("normalized_path") == normalized_path))
