@@ -32,7 +32,8 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_frequency.clean_documents(docs), docs.columns)
+    # by distinct texts: copies go in the next stage, and a text copied often must not become boilerplate here
+    return _counted(line_frequency.clean_documents(docs, by_text=True), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
