@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard_join, language_id, line_frequency, mixing, packing, sharding, shared, substring_dedup, token_counts
+from . import ann, chat, filter_audit, jaccard_join, language_id, line_frequency, merkle, mixing, packing, periodic_runs, sharding, shared, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,7 +146,48 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, rollup_of_lengths, op10_jaccard_join)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def looped(words: list[bytes], seed: int) -> list[bytes]:
+    """Of every tenth seed a text whose words, from one on, repeat with a period."""
+    if seed % 10 or not words:
+        return words
+    n, g = len(words), seed // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), seed=seed, rewrite=looped)
+    best = periodic_runs.highest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    start, length, period = (F.col(f"best.{c}") for c in ("start", "length", "period"))
+    return out.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+def op13_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = merkle.with_next(_table(spark, sf_dir, "documents"))
+    text, after = merkle.body(F.col("text")), merkle.body(F.col("next_text"))
+    three = texts.select("doc_id", text.alias("text"), merkle.edited(text, after).alias("edited"), after.alias("after"))
+    sides = ("text", "edited", "after")
+    trees = three.select("doc_id", "text", "edited", *[f(F.col(c)).alias(f"{name}_{c}") for name, f in (("leaves", merkle.leaf_digests), ("phrases", merkle.phrases)) for c in sides])
+    tops = trees.select("*", *[merkle.root(F.col(f"leaves_{c}")).alias(f"root_{c}") for c in sides])
+    like = lambda c: merkle.likeness(F.col("phrases_text"), F.col(f"phrases_{c}"), (F.col("root_text"), F.col(f"root_{c}")))
+    return tops.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.col("root_text").alias("fingerprint"), F.col("root_edited").alias("edited_fingerprint"), like("edited").alias("near_edited"), like("after").alias("near_next"),
+        F.size(F.array_except("leaves_edited", "leaves_text")).cast("long").alias("changed_paragraphs"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_frequency, op3_language_id, op4_rotated_codes, op5_label_propagation, op6_chat_format, op7_suffix_automata, op8_poisson_mixing, op9_token_counts, rollup_of_lengths, op10_jaccard_join, op11_filter_audit, op12_periodic_runs, op13_merkle_fingerprints)}
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _FOLD = "regexp_replace(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]', '0', 'g')"
@@ -200,4 +241,28 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM k a JOIN k b ON a.
 l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id FROM d LEFT JOIN z ON z.doc_id = d.doc_id""",
+    "op11_filter_audit": rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) = 1 AS good, coalesce(l.toxic, 0) = 1 AS toxic, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, coalesce(t.doc_id > least, false) AS e FROM t LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, good, toxic, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n FROM d GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), o AS (SELECT p.f || q.f || r.f || s.f || u.f AS filter_order FROM x p, x q, x r, x s, x u WHERE len(list_distinct([p.f, q.f, r.f, s.f, u.f])) = 5),
+k AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o),
+z AS (SELECT *, 1 << (instr('ABCDE', filter_order[step]) - 1) AS f, list_sum([1 << (instr('ABCDE', filter_order[i]) - 1) for i in range(1, 6) if i < step]) AS p FROM k),
+y AS (SELECT part, filter_order, step, f, sum(n) FILTER (mask & (coalesce(p, 0) | f) = 0) AS kept, sum(n) FILTER (mask & f > 0 AND mask & coalesce(p, 0) = 0) AS removed, sum(n) FILTER (mask & f > 0 AND mask & coalesce(p, 0) > 0) AS redundant,
+  sum(n) FILTER (mask = f) AS unique_fails, sum(n) FILTER (good AND mask & f > 0 AND mask & coalesce(p, 0) = 0) AS good_lost, sum(n) FILTER (toxic AND mask & f > 0 AND mask & coalesce(p, 0) = 0) AS toxic_lost FROM m, z GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM y""",
+    "op13_merkle_fingerprints": rf"""
+WITH r AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC) AS i, count(*) OVER () AS n FROM documents),
+d AS (SELECT a.doc_id, a.t, b.t AS x, length(a.t) // 2 AS h FROM r a JOIN r b ON b.i = a.i % a.n + 1),
+e AS (SELECT doc_id, [t, substr(t, 1, length(t) - h) || substr(x, 1, h), x] AS s FROM d),
+p AS (SELECT *, [list_transform(string_split(y, chr(10)), lambda v, i: v || CASE WHEN i < len(string_split(y, chr(10))) THEN chr(10) ELSE '' END) for y in s] AS l, [list_distinct(string_split(regexp_replace(y, '([.,;:!?dsy][ \n])', '\1' || chr(1), 'g'), chr(1))) for y in s] AS f FROM e),
+g AS (SELECT *, [[sha256(v) for v in y] for y in l] AS q FROM p),
+c AS (SELECT *, [sha256(array_to_string([sha256(v) for v in string_split(regexp_replace(array_to_string([v || CASE WHEN v[1] IN ('0', '1') THEN chr(10) ELSE ' ' END for v in y], ''), '[ \n]$', ''), chr(10))], '')) for y in q] AS z,
+  [list_sum([length(v) for v in y]) for y in f] AS k, coalesce(list_sum([length(v) for v in f[1] IF list_contains(f[2], v)]), 0) AS b2, coalesce(list_sum([length(v) for v in f[1] IF list_contains(f[3], v)]), 0) AS b3 FROM g)
+SELECT doc_id, length(s[1]) AS n_chars, sha256(s[2]) AS edited_sha256, z[1] AS fingerprint, z[2] AS edited_fingerprint,
+  CASE WHEN z[1] = z[2] THEN 1.0::DOUBLE WHEN k[1] + k[2] > 0 THEN (2 * b2)::DOUBLE / (k[1] + k[2])::DOUBLE ELSE 0.0::DOUBLE END AS near_edited, CASE WHEN z[1] = z[3] THEN 1.0::DOUBLE WHEN k[1] + k[3] > 0 THEN (2 * b3)::DOUBLE / (k[1] + k[3])::DOUBLE ELSE 0.0::DOUBLE END AS near_next,
+  len(list_distinct([v for v in q[2] if NOT list_contains(q[1], v)]))::BIGINT AS changed_paragraphs FROM c""",
 }
