@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import testdata as td
 from tessera.functions import scalars
-from tessera.operators import context, evaluation, graph, parsing, relations, stats
+from tessera.operators import context, evaluation, graph, metrics, parsing, relations, stats
 from tessera.queries import query
 from tessera.sources.store import snapshot
 
@@ -359,3 +359,18 @@ def snapshot_keys(spark, sf):
     none = spark.createDataFrame([], "source_id long, target_id long, relation_type string, confidence double")
     out = snapshot(files, entities.withColumn("id", F.xxhash64("local_key")), none, issues, "repo", "c0ffee")
     return out["code_entities"].filter("entity_type = 'frontend_api_call'").select("stable_entity_key", "file_path")
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT c_custkey::VARCHAR AS id, ['t' || c_mktsegment, 'l' || (c_nationkey % 5), 'a' || (c_acctbal > 0)] AS marks,
+  {'hard': CASE WHEN c_acctbal > 8000 THEN 3 WHEN c_acctbal > 4000 THEN 2 ELSE 1 END, 'open': (c_acctbal <= 0)::INT, 'id': c_custkey::VARCHAR} AS rank FROM customer),
+g AS (SELECT 0 AS k, []::VARCHAR[] AS ids, []::VARCHAR[] AS seen UNION ALL
+  SELECT k + 1, list_append(any_value(ids), arg_max(id, (len(list_filter(marks, lambda m: NOT list_contains(seen, m))), rank))), list_concat(any_value(seen), arg_max(marks, (len(list_filter(marks, lambda m: NOT list_contains(seen, m))), rank)))
+  FROM g, c WHERE k < 12 AND NOT list_contains(ids, id) GROUP BY k)
+SELECT unnest(ids) AS question_id, generate_subscripts(ids, 1)::INT - 1 AS place FROM g WHERE k = 12"""
+)
+def stability_subset(spark, sf):
+    c = td.table(spark, sf, "customer")
+    hard = F.when(F.col("c_acctbal") > 8000, "hard").when(F.col("c_acctbal") > 4000, "medium").otherwise("easy")
+    cases = c.select(F.col("c_custkey").alias("question_id"), F.col("c_mktsegment").alias("task_type"), (F.col("c_nationkey") % 5).alias("language"), (F.col("c_acctbal") > 0).alias("answerable"), hard.alias("difficulty"))
+    return metrics.stability_subset(cases, 12)

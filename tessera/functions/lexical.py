@@ -148,12 +148,12 @@ def term_scores(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     return folded(df, *FIELDS).select(*kept, *[field_score(t).alias(f"term_{i}") for i, t in enumerate(terms)])
 
 
-def lexical_score(terms: Sequence[str], first: int = 0) -> Column:
-    """Score from the columns of :func:`term_scores`, those of ``terms`` beginning at ``first``.
+def lexical_score(terms: Sequence[str], first: int = 0, scores: Sequence[Column] | None = None) -> Column:
+    """Score from the columns of :func:`term_scores`, those of ``terms`` beginning at ``first``, or from ``scores``.
 
     One term: its score.  Several: 0.6 of the matched weight and 0.4 of the weighted scores, over all weights.
     """
-    scores = [F.col(f"term_{first + i}") for i in range(len(terms))]
+    scores = scores or [F.col(f"term_{first + i}") for i in range(len(terms))]
     if len(terms) == 1:
         return scores[0]
     weights = [0.25 if t in LOW_INFORMATION else 1.0 for t in terms]

@@ -171,25 +171,35 @@ def leave_one_out_selection(rows: DataFrame, base: str, floor: str, fields: Sequ
     return runs.unionByName(none).groupBy("variant").agg(F.sum("runs").alias("runs"))
 
 
-def stratified_subset(cases: Sequence[dict], size: int) -> list[str]:
-    """Driver-side greedy choice of cases that cover task types, languages and answerability, hard ones first.
-
-    Each case has question_id, task_type, language, answerable and difficulty.
+def stability_subset(cases: DataFrame, size: int) -> DataFrame:
+    """question_id and place of ``size`` cases (question_id, task_type, language, answerable, difficulty) that cover all strata.
+
+    The strata are the task types, languages and answerabilities of the cases.  A case's gain is the number of its
+    strata that no chosen case has; the greatest gain is next, then the hardest, then the unanswerable, then the
+    greatest id.  Gains are counted by a join with the strata still open, so each round is one aggregation;
+    once all strata are covered, all further places follow from one order.  Cases that can't fill or cover
+    the subset are an error.
     """
-    marks = lambda c: {("task", c["task_type"]), ("language", c["language"]), ("answerable", c["answerable"])}
-    hardness = {"hard": 3, "medium": 2, "easy": 1}
-    if len(cases) < size:
+    marks = F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("task_type", "language", "answerable")])
+    hardness = F.when(F.col("difficulty") == "hard", 3).when(F.col("difficulty") == "medium", 2).when(F.col("difficulty") == "easy", 1).when(F.col("difficulty").isNull(), 1).otherwise(0)
+    own = cases.select(F.col("question_id").cast("string").alias("question_id"), marks.alias("marks"), F.struct(hardness.alias("hard"), (~F.col("answerable")).cast("int").alias("open"), F.col("question_id").cast("string").alias("id")).alias("rank"))
+    strata = own.select("question_id", F.explode("marks").alias("mark"))
+    left, chosen = {r["mark"] for r in strata.select("mark").distinct().collect()}, []  # as many as there are strata
+    while left and len(chosen) < size:
+        gains = strata.filter(F.col("mark").isin(*left)).groupBy("question_id").agg(F.count("*").alias("gain"))
+        best = own.join(gains, "question_id").agg(F.max_by(F.struct("question_id", "marks"), F.struct("gain", "rank")).alias("best")).first()["best"]
+        chosen.append(best["question_id"])
+        left -= set(best["marks"])
+    if left:
+        raise ValueError(f"strata not covered: {sorted(left)}")
+    spark = cases.sparkSession
+    first = spark.createDataFrame([(x, i) for i, x in enumerate(chosen)], "question_id string, place int")
+    rest = own.join(F.broadcast(first), "question_id", "left_anti").orderBy(F.desc("rank")).limit(max(0, size - len(chosen)))  # at most ``size`` rows
+    more = rest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rank"))) + (len(chosen) - 1)).select("question_id", "place")
+    out = first.unionByName(more)
+    if out.count() < size:
         raise ValueError(f"a subset of {size} needs as many cases")
-    left, chosen = list(cases), []
-    missing = set().union(*(marks(c) for c in cases)) if cases else set()
-    while len(chosen) < size:
-        pick = max(left, key=lambda c: (len(marks(c) & missing), hardness.get(c.get("difficulty", "easy"), 0), not c["answerable"], str(c["question_id"])))
-        left.remove(pick)
-        chosen.append(str(pick["question_id"]))
-        missing -= marks(pick)
-    if missing:
-        raise ValueError(f"strata not covered: {sorted(map(str, missing))}")
-    return sorted(chosen)
+    return out
 
 
 def citation_metrics(records: DataFrame) -> DataFrame:

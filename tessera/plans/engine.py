@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,22 +12,27 @@ from pyspark.sql import functions as F
 from tessera import schema
 from tessera.functions.api_path import normalize_api_path
 from tessera.functions.scalars import CHANGE_WORDS, TRACE_WORDS
-from tessera.operators import context, graph, parsing, relations, search, stats
-from tessera.plans.providers import Complete, Embed, embed_chunks, hash_embedder, rewrite_query
+from tessera.operators import context, graph, parsing, relations, search, stats, term_index, vector_index
+from tessera.plans.providers import Complete, Embed, embed_chunks, embed_with_cache, hash_embedder, rewrite_query
 from tessera.schema import DomainError
 from tessera.sources.files import scan
+from tessera.sources.log import AppendLog
+from tessera.sources.marks import drop_path
 from tessera.sources.store import Store, check_vectors, numbered
 
 NO_EVIDENCE = "No supporting code evidence was found."
 REFUSED = "The model answer did not pass evidence validation, so it was not returned."
 GRAPH_UNAVAILABLE = "Graph relationship retrieval was unavailable; only direct search evidence was used."
 CATALOG = "catalog"
+MESSAGE = "conversation_id long, role string, content string, task_type string, metadata_json string, created_at timestamp"
 
 
 class Engine:
     """Every method raises :class:`DomainError` with the codes of the API; reads return DataFrames or small dicts."""
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embed | None = None, complete: Complete | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, embed: Embed | None = None, complete: Complete | None = None, embed_model: str | None = None) -> None:
+        """``embed_model`` names what ``embed`` computes; with a name, embeddings are cached by text across projects and builds."""
+        self.embed_model = embed_model
         self.spark, self.store = spark, Store(spark, root)
         self.embed, self.complete = embed or hash_embedder(), complete
         self.tools = {"hybrid_search": self.hybrid, "graph_search": self.search_chain, "read_entity": self.read_entity, "get_related_entities": self.related}
@@ -39,8 +44,18 @@ class Engine:
             return []
         return [r.asDict() for r in self.store.read(CATALOG, "projects").collect()]
 
-    def _save_projects(self, rows: list[dict]) -> None:
-        self.store.publish(CATALOG, {"projects": self.spark.createDataFrame([tuple(r.values()) for r in rows], schema.PROJECTS)})
+    def _change(self, change: Callable[[list[dict]], list[dict]]) -> list[dict]:
+        """Replace the catalog by ``change`` of it, which is asked again if another writer was first; returns the new rows."""
+        while True:
+            expected = self.store.version(CATALOG)
+            rows = change(self._projects())
+            table = self.spark.createDataFrame([tuple(r.values()) for r in rows], schema.PROJECTS)
+            try:
+                self.store.publish(CATALOG, {"projects": table}, expected=expected)
+                return rows
+            except DomainError as e:
+                if e.code != "WRITE_CONFLICT":
+                    raise
 
     def list_projects(self) -> list[dict]:
         return sorted(self._projects(), key=lambda p: (p["sort_order"], p["id"]))
@@ -53,21 +68,25 @@ class Engine:
 
     def create_project(self, name: str, root_path: str) -> dict:
         """A new project stands first; the others move down by one."""
-        rows = self._projects()
-        if any(p["root_path"] == root_path for p in rows):
-            raise DomainError("PROJECT_ROOT_EXISTS", f"{root_path} is a project already.", 409)
         if not 1 <= len(name) <= 200 or not root_path:
             raise DomainError("INVALID_ROOT_PATH", "A project needs a name and a root.", 422)
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        new = {"id": max([0, *(p["id"] for p in rows)]) + 1, "name": name, "root_path": root_path, "status": "created", "sort_order": 0, "last_scan_at": None, "created_at": now, "updated_at": now}
-        self._save_projects([new, *({**p, "sort_order": p["sort_order"] + 1} for p in rows)])
-        return new
+        new = {"name": name, "root_path": root_path, "status": "created", "sort_order": 0, "last_scan_at": None, "created_at": now, "updated_at": now}
+
+        def added(rows: list[dict]) -> list[dict]:
+            if any(p["root_path"] == root_path for p in rows):
+                raise DomainError("PROJECT_ROOT_EXISTS", f"{root_path} is a project already.", 409)
+            return [{"id": max([0, *(p["id"] for p in rows)]) + 1, **new}, *({**p, "sort_order": p["sort_order"] + 1} for p in rows)]
+
+        return self._change(added)[0]
 
     def reorder_projects(self, ids: Sequence[int]) -> list[dict]:
-        rows = self._projects()
-        if sorted(ids) != sorted(p["id"] for p in rows):
-            raise DomainError("PROJECT_ORDER_CONFLICT", "The order must name each project once.", 409)
-        self._save_projects([{**p, "sort_order": list(ids).index(p["id"])} for p in rows])
+        def ordered(rows: list[dict]) -> list[dict]:
+            if sorted(ids) != sorted(p["id"] for p in rows):
+                raise DomainError("PROJECT_ORDER_CONFLICT", "The order must name each project once.", 409)
+            return [{**p, "sort_order": list(ids).index(p["id"])} for p in rows]
+
+        self._change(ordered)
         return self.list_projects()
 
     def delete_project(self, project_id: int) -> None:
@@ -78,14 +97,11 @@ class Engine:
         except Exception as e:
             raise DomainError("VECTOR_STORE_DELETE_FAILED", str(e), 502) from e
         self.store.delete(project_id)
-        rows = [p for p in self._projects() if p["id"] != project_id]
-        if rows:
-            self._save_projects(rows)
-        else:
-            self.store.delete(CATALOG)
+        drop_path(self.spark, f"{self.store.root}/logs/messages-{project_id}")
+        self._change(lambda rows: [p for p in rows if p["id"] != project_id])
 
     def _update(self, project_id: int, **values) -> None:
-        self._save_projects([{**p, **values} if p["id"] == project_id else p for p in self._projects()])
+        self._change(lambda rows: [{**p, **values} if p["id"] == project_id else p for p in rows])
 
     # -- indexing --
 
@@ -113,6 +129,9 @@ class Engine:
         entities = numbered(self.store, keyed.drop("ordinal").withColumn("project_id", F.lit(project_id).cast("long")), "id", "local_key")
         edges = relations.resolve_ends(relations.derive(entities, parsed.select(F.inline("relations"))), entities)
         edges = numbered(self.store, edges.withColumn("project_id", F.lit(project_id).cast("long")), "id", "source_id", "target_id", "relation_type")
+        folder = self.store.folder(project_id)
+        written = {t: f"{folder}/{t}" for t in ("term_rows", "term_postings")}
+        term_index.build(entities.withColumnRenamed("id", "entity_id").select(*search.HIT, "project_id"), *written.values())
         names = ["project_id", "id", *(x.split()[0] for x in schema.ENTITY.split(", "))]
         extra = warnings.unionByName(parsing.parse_errors(parsed)).withColumn("project_id", F.lit(project_id).cast("long"))
         self.store.publish(
@@ -121,6 +140,7 @@ class Engine:
                 "files": files, "entities": entities.select(*names), "issues": issues.unionByName(extra),
                 "relations": edges.select("project_id", "id", "source_id", "target_id", "relation_type", "confidence", "metadata_json"),
             },
+            written=written,
         )
         self.store.unsettle(files, issues, parsed, entities, edges)
         read = [self.store.read(project_id, t) for t in ("files", "entities", "relations", "issues")]
@@ -166,19 +186,24 @@ class Engine:
     def build_vector_index(self, project_id: int) -> int:
         chunks = self.entities(project_id).select("entity_id", search.chunk_text().alias("chunk"))
         try:
-            vectors = self.store.settle(embed_chunks(chunks, self.embed))
+            made = embed_chunks(chunks, self.embed) if self.embed_model is None else embed_with_cache(chunks, self.embed, self.store, self.embed_model)
+            vectors = self.store.settle(made)
             n = chunks.count()
             check_vectors(vectors, n)
         except Exception as e:
             raise DomainError("EMBEDDING_REQUEST_FAILED", str(e), 502) from e
-        self.store.publish(f"vectors-{project_id}", {"vectors": vectors})
+        folder = self.store.folder(f"vectors-{project_id}")
+        written = {t: f"{folder}/{t}" for t in ("vectors", "cells")}
+        vector_index.build(vectors, *written.values())
+        self.store.publish(f"vectors-{project_id}", {}, written=written)
         self.store.unsettle(vectors)
         return n
 
     def keyword(self, project_id: int, query: str, limit: int = 10) -> DataFrame:
         if not query or not 1 <= limit <= 50:
             raise ValueError("a query and a limit of 1 to 50 are needed")
-        return search.keyword_search(self.entities(project_id), query, limit)
+        rows, postings = (self._read(project_id, t) for t in ("term_rows", "term_postings"))
+        return term_index.TermIndex(rows, postings).search(query, limit)
 
     def _few(self, hits: DataFrame) -> DataFrame:
         """A branch's hits, at most its limit, as local rows: computed once, nothing stays cached."""
@@ -193,7 +218,8 @@ class Engine:
         vector, keyword, failed = None, None, []
         try:
             literal = self.embed([query])[0]
-            vector = self._few(search.vector_search(self.store.read(f"vectors-{project_id}", "vectors"), literal, 2 * limit))
+            cells = vector_index.VectorIndex(*(self.store.read(f"vectors-{project_id}", t) for t in ("vectors", "cells")))
+            vector = self._few(cells.search(literal, 2 * limit))
         except DomainError:
             raise
         except Exception as e:
@@ -248,6 +274,29 @@ class Engine:
             return "CHANGE_PLAN"
         return "TRACE_CHAIN" if any(w in text for w in TRACE_WORDS) else "CODE_QA"
 
+    @staticmethod
+    def _walked(entities: DataFrame, edges: DataFrame, hits: DataFrame) -> list:
+        """What the graph reaches from hits (entity_id, score), with the entities' columns: a bounded number of rows."""
+        ranked = graph.graph_rag(entities, edges, hits)
+        return ranked.join(entities, "entity_id").orderBy("graph_depth", F.desc("retrieval_score"), "entity_id").collect()
+
+    def _walked_apart(self, entities: DataFrame, edges: DataFrame, hits: DataFrame) -> tuple[list, set[int]]:
+        """:meth:`_walked` hit by hit, each entity once, and the hits whose walk failed: they stay direct evidence."""
+        found, failed = [], set()
+        for hit in hits.orderBy(F.desc("score"), "entity_id").collect():
+            own = hits.filter(F.col("entity_id") == hit["entity_id"])
+            try:
+                found += self._walked(entities, edges, own.select("entity_id", "score"))
+            except Exception:
+                failed.add(hit["entity_id"])
+                direct = own.withColumn("seed_id", F.col("entity_id")).withColumn("graph_depth", F.lit(0)).withColumn("retrieval_score", F.col("score"))
+                found += direct.withColumn("relation_reason", F.lit("direct hybrid-search hit")).collect()
+        first: dict = {}
+        for r in sorted(found, key=lambda r: (r["graph_depth"], -r["retrieval_score"], r["seed_id"])):
+            first.setdefault(r["entity_id"], r)
+        kept = sorted(first.values(), key=lambda r: (r["graph_depth"], -r["retrieval_score"], r["entity_id"]))
+        return kept[: graph.MAX_RESULTS], failed
+
     def _evidence(self, project_id: int, question: str, limit: int, walk: bool) -> tuple[str, list[dict], list[str]]:
         """(context, references, uncertainties): hits, or what the graph reaches from them, within the budget."""
         hits = self.hybrid(project_id, question, limit)
@@ -256,16 +305,15 @@ class Engine:
         if walk:
             edges = self.edges(project_id)
             try:
-                ranked = graph.graph_rag(entities, edges, hits.select("entity_id", "score"))
-                rows = ranked.join(entities, "entity_id").orderBy("graph_depth", F.desc("retrieval_score"), "entity_id").collect()
-            except Exception:  # the direct hits stay evidence
-                direct = hits.withColumn("graph_depth", F.lit(0)).withColumn("retrieval_score", F.col("score")).withColumn("relation_reason", F.lit("direct hybrid-search hit"))
-                rows, edges = direct.collect(), None
-                notes = [GRAPH_UNAVAILABLE]
+                rows = self._walked(entities, edges, hits.select("entity_id", "score"))
+            except Exception:  # one hit's walk may fail without the others'
+                rows, failed = self._walked_apart(entities, edges, hits)
+                notes = [GRAPH_UNAVAILABLE] if failed else []
+                edges = None if len(failed) == len({r.seed_id for r in rows}) else edges
         if walk and edges is not None:
             ids = {r.entity_id for r in rows}
             inside = edges.filter(F.col("source_id").isin(*ids) & F.col("target_id").isin(*ids)) if ids else edges.limit(0)
-            notes = [f"No stored {r.relation_type} edge was found; its relationship cannot be determined from indexed code." for r in graph.missing_relation_types(inside).orderBy("place").collect()]
+            notes += [f"No stored {r.relation_type} edge was found; its relationship cannot be determined from indexed code." for r in graph.missing_relation_types(inside).orderBy("place").collect()]
         if not walk:
             rows = hits.collect()
         blocks, refs, used = [], [], 0
@@ -362,56 +410,43 @@ class Engine:
 
     # -- conversations --
 
-    def _talk(self, project_id: int) -> tuple[str, DataFrame, DataFrame]:
-        key = f"talk-{project_id}"
-        if self.store.has(key):
-            return key, self.store.read(key, "conversations"), self.store.read(key, "messages")
-        return key, self.spark.createDataFrame([], schema.CONVERSATIONS), self.spark.createDataFrame([], schema.MESSAGES)
+    def _titles(self) -> AppendLog:
+        """Conversations of all projects: an id is a place in one log, so no two projects have one."""
+        return AppendLog(self.spark, self.store.root, "conversations", "project_id long, title string, created_at timestamp")
 
-    def conversation(self, project_id: int, conversation_id: int) -> dict:
+    def _messages(self, project_id: int) -> AppendLog:
+        return AppendLog(self.spark, self.store.root, f"messages-{project_id}", MESSAGE, ["conversation_id"])
+
+    def _own_messages(self, project_id: int, conversation_id: int) -> DataFrame:
+        """A conversation's messages; an unknown conversation, or another project's, is an error."""
         self.project(project_id)
-        _, talks, messages = self._talk(project_id)
-        found = talks.filter(F.col("id") == conversation_id).head(1)
-        if not found:
-            elsewhere = any(self.store.has(f"talk-{p['id']}") and self.store.read(f"talk-{p['id']}", "conversations").filter(F.col("id") == conversation_id).head(1) for p in self._projects())
-            if elsewhere:
-                raise DomainError("CONVERSATION_PROJECT_MISMATCH", "The conversation belongs to another project.", 409)
+        found = self._titles().read(F.col("ordinal") == conversation_id).head(1)
+        own = self._messages(project_id).read(F.col("conversation_id") == conversation_id).withColumnRenamed("ordinal", "id")
+        if found and found[0]["project_id"] != project_id:
+            raise DomainError("CONVERSATION_PROJECT_MISMATCH", "The conversation belongs to another project.", 409)
+        if not found or not own.head(1):  # one whose first exchange was never saved doesn't exist
             raise DomainError("CONVERSATION_NOT_FOUND", f"Conversation {conversation_id} does not exist.", 404)
-        own = messages.filter(F.col("conversation_id") == conversation_id).orderBy("created_at", "id")
-        return found[0].asDict() | {"messages": [m.asDict() for m in own.collect()]}
+        return own
 
-    def save_exchange(self, project_id: int, question: str, result: dict, conversation_id: int | None = None) -> int:
-        """Both messages in one publication, added to those there; a new conversation is titled by the question's first 80 characters.
+    def conversation(self, project_id: int, conversation_id: int) -> dict:
+        own = self._own_messages(project_id, conversation_id).orderBy("created_at", "id").select(*(c.split()[0] for c in schema.MESSAGES.split(", "))).collect()
+        about = self._titles().read(F.col("ordinal") == conversation_id).first()
+        return {"id": conversation_id, "project_id": project_id, "title": about["title"], "created_at": about["created_at"], "updated_at": own[-1]["created_at"], "messages": [m.asDict() for m in own]}
 
-        If another exchange was saved meanwhile, the numbers are taken anew.
-        """
+    def save_exchange(self, project_id: int, question: str, result: dict, conversation_id: int | None = None) -> int:
+        """Both messages in one append; a new conversation is titled by the question's first 80 characters."""
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         about = json.dumps({k: v for k, v in result.items() if k != "answer"}, ensure_ascii=False, sort_keys=True, default=str)
-        while True:
-            expected = self.store.version(f"talk-{project_id}")
-            key, _, messages = self._talk(project_id)
-            number, more = conversation_id, {}
-            if number is None:
-                every = [r[0] for p in self._projects() for r in self._talk(p["id"])[1].agg(F.coalesce(F.max("id"), F.lit(0))).collect()]
-                number = max([0, *every]) + 1
-                more["conversations"] = self.spark.createDataFrame([(number, project_id, question[:80], now, now)], schema.CONVERSATIONS)
-            last = messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            new = [(last + 1, number, "user", question, None, "{}", now), (last + 2, number, "assistant", result["answer"], result.get("task_type"), about, now)]
-            more["messages"] = self.spark.createDataFrame(new, schema.MESSAGES)
-            try:
-                self.store.publish(key, {}, more=more, expected=expected)
-                return number
-            except DomainError as e:
-                if e.code != "WRITE_CONFLICT":
-                    raise
+        number = self._titles().append([(project_id, question[:80], now)]) if conversation_id is None else conversation_id
+        self._messages(project_id).append([(number, "user", question, None, "{}", now), (number, "assistant", result["answer"], result.get("task_type"), about, now)])
+        return number
 
     def chat(self, project_id: int, question: str, conversation_id: int | None = None, limit: int = 5) -> dict:
         """Route a question, answer it with the conversation's last messages in mind, and save the exchange."""
         memory = ""
         if conversation_id is not None:
-            past = self.conversation(project_id, conversation_id)["messages"]
-            if past:
-                rows = self.spark.createDataFrame([(1, m["id"], m["role"], m["content"]) for m in past], "c long, id long, role string, text string")
-                memory = context.memory_window(rows, "c", "id").first()["memory"]
+            last = self._own_messages(project_id, conversation_id).orderBy(F.desc("created_at"), F.desc("id")).limit(context.MEMORY_MESSAGES)
+            rows = last.select(F.col("conversation_id").alias("c"), "id", "role", F.col("content").alias("text"))
+            memory = context.memory_window(rows, "c", "id").first()["memory"]
         result = self._answer(self.plan(question), project_id, question, limit, memory)
         return result | {"conversation_id": self.save_exchange(project_id, question, result, conversation_id)}

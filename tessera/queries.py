@@ -51,43 +51,43 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("entity_id", "file_path", F.round("score", 6).alias("score"))
 
 
-def _search(df: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
-    return _hits(search.lexical_top(df, terms, limit, 9))
+def _search(spark, sf, terms: list[str], where=None, limit: int = 20) -> DataFrame:
+    return _hits(td.terms_of(spark, sf).top(terms, limit, 9, where))
 
 
 @query(_top_sql(_score_sql("doc_7")))
 def lex_single_term(spark, sf):
-    return _search(td.entities(spark, sf), ["doc_7"])
+    return _search(spark, sf, ["doc_7"])
 
 
 @query(_top_sql(_terms_sql(["code", "the", "src3", "doc_12"])))
 def lex_multi_term(spark, sf):
-    return _search(td.entities(spark, sf), ["code", "the", "src3", "doc_12"])
+    return _search(spark, sf, ["code", "the", "src3", "doc_12"])
 
 
 @query(_top_sql(_score_sql("src1.en.doc_1")))
 def lex_structured_complete(spark, sf):
-    return _hits(search.keyword_search(td.entities(spark, sf), "src1.en.doc_1", 20))
+    return _hits(td.terms_of(spark, sf).search("src1.en.doc_1", 20))
 
 
 @query(_top_sql(_terms_sql(["nowhere", "src2", "src", "2"])))
 def lex_structured_fallback(spark, sf):
-    return _hits(search.keyword_search(td.entities(spark, sf), "nowhere.src2", 20))
+    return _hits(td.terms_of(spark, sf).search("nowhere.src2", 20))
 
 
 @query(_top_sql(_score_sql("%%%")))
 def lex_literal_wildcards(spark, sf):
-    return _search(td.entities(spark, sf), ["%%%"])
+    return _search(spark, sf, ["%%%"])
 
 
 @query(_top_sql(_score_sql("the"), "entity_type = 'src4'"))
 def lex_project_isolation(spark, sf):
-    return _search(td.entities(spark, sf).filter(F.col("entity_type") == "src4"), ["the"])
+    return _search(spark, sf, ["the"], F.col("entity_type") == "src4")
 
 
 @query(_top_sql(_score_sql("/doc_4")))
 def lex_path_term(spark, sf):
-    return _search(td.entities(spark, sf), ["/doc_4"])
+    return _search(spark, sf, ["/doc_4"])
 
 
 #: Every seventh document begins with a sharp s and a decomposed accent.
@@ -140,7 +140,7 @@ def _vector(spark, sf, limit=20):
 
 
 def _keyword(spark, sf, limit=20):
-    return search.lexical_top(td.entities(spark, sf), ["the", "src1"], limit, 9).select("entity_id", "score")
+    return td.terms_of(spark, sf).top(["the", "src1"], limit, 9).select("entity_id", "score")
 
 
 def _rounded(df):
@@ -152,6 +152,11 @@ def vec_cosine_topk(spark, sf):
     return _rounded(_vector(spark, sf))
 
 
+@query(f"WITH {_VEC} SELECT entity_id, round(score, 6) AS score FROM vec")
+def vec_index_topk(spark, sf):
+    return _rounded(td.cells_of(spark, sf).search(td.query_vector(spark, sf), 20, 9))
+
+
 @query("SELECT label, count(*) AS n, round(min(n2), 4) AS least, round(max(n2), 4) AS most FROM (SELECT label, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n2 FROM embeddings) GROUP BY label")
 def vec_norm_check(spark, sf):
     v = td.table(spark, sf, "embeddings").select("label", search.norm(F.col("embedding").cast("array<double>")).alias("n2"))

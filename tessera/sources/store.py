@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from contextlib import contextmanager
@@ -47,13 +48,13 @@ class Store:
         number = self.version(project)
         return number > 0 and (table is None or table in self._tables(project, number))
 
-    def publish(self, project, tables: dict[str, DataFrame], keep: bool = False, more: dict[str, DataFrame] | None = None, expected: int | None = None) -> int:
+    def publish(self, project, tables: dict[str, DataFrame], keep: bool = False, more: dict[str, DataFrame] | None = None, expected: int | None = None, written: dict[str, str] | None = None) -> int:
         """Replace a project's tables; returns the new version.
 
         With ``keep`` tables that aren't named stay as they are, without being copied; the rows of ``more``
-        are added to a table.  With ``expected`` the write is a conflict unless that is still the last version.
+        are added to a table; ``written`` names tables whose folders are there already (:meth:`folder`).  With ``expected`` the write is a conflict unless that is still the last version.
         """
-        folder = f"{self.root}/data/{project}/{uuid.uuid4().hex}"
+        folder = self.folder(project)
         for name, df in [*tables.items(), *(more or {}).items()]:
             df.write.parquet(f"{folder}/{name}")
         while True:
@@ -63,12 +64,17 @@ class Store:
                 raise DomainError("WRITE_CONFLICT", f"Project {project} was changed by another writer.", 409)
             before = self._tables(project, now)
             after = (dict(before) if keep or more else {}) | {name: [f"{folder}/{name}"] for name in tables}
+            after |= {name: [path] for name, path in (written or {}).items()}
             for name in more or {}:
                 after[name] = [*after.get(name, []), f"{folder}/{name}"]
             if marks.publish(self.spark, f"{self._marks(project)}/{now + 1:012d}", json.dumps(after)):
                 self._clean(project, now + 1)
                 return now + 1
 
+    def folder(self, project) -> str:
+        """A new folder for tables that are written before they are published."""
+        return f"{self.root}/data/{project}/{uuid.uuid4().hex}"
+
     def _clean(self, project, number: int) -> None:
         """Drop versions before the last ones, and the folders that only they list."""
         found = [int(x) for x in marks.names_in(self.spark, self._marks(project))]
@@ -107,18 +113,44 @@ class Store:
 
     @contextmanager
     def scanning(self, project):
-        """One scan of a project at a time, whichever process asks; a second one is refused, not queued."""
-        path = f"{self.root}/locks/{project}"
-        taken = marks.publish(self.spark, path, str(time.time()))
-        if not taken and marks.path_exists(self.spark, path) and float(marks.read_text(self.spark, path)) < time.time() - LEASE:
-            marks.drop_path(self.spark, path)
-            taken = marks.publish(self.spark, path, str(time.time()))
+        """One scan of a project at a time, whichever process asks; a second one is refused, not queued.
+
+        The lock holds a token and is renewed by beats while the scan runs.  A lock without a beat for a lease may
+        be taken over, by the one process that makes the mark for that; an owner drops the lock only while
+        it holds its own token.
+        """
+        path, token = f"{self.root}/locks/{project}", uuid.uuid4().hex
+        beats = f"{self.root}/beats/{project}"
+        taken = marks.publish(self.spark, path, f"{token} {time.time()}")
+        if not taken and (old := self._lock(path)) is not None:
+            seen = [float(x.split("-", 1)[1]) for x in marks.names_in(self.spark, beats) if x.startswith(old[0])]
+            if max([old[1], *seen]) < time.time() - LEASE and marks.publish(self.spark, f"{self.root}/takeovers/{project}-{old[0]}", token):
+                marks.drop_path(self.spark, path)
+                taken = marks.publish(self.spark, path, f"{token} {time.time()}")
         if not taken:
             raise DomainError("SCAN_ALREADY_RUNNING", f"Project {project} is being scanned.", 409)
+        done = threading.Event()
+
+        def beat() -> None:
+            while not done.wait(LEASE / 6):
+                marks.publish(self.spark, f"{beats}/{token}-{time.time()}", "")
+
+        threading.Thread(target=beat, daemon=True).start()
         try:
             yield
         finally:
-            marks.drop_path(self.spark, path)
+            done.set()
+            if (now := self._lock(path)) is not None and now[0] == token:
+                marks.drop_path(self.spark, path)
+                marks.drop_path(self.spark, beats)
+
+    def _lock(self, path: str) -> tuple[str, float] | None:
+        """Token and time of a lock that is there."""
+        try:
+            token, _, since = marks.read_text(self.spark, path).rpartition(" ") if marks.path_exists(self.spark, path) else ("", "", "")
+        except Exception:  # dropped meanwhile
+            return None
+        return (token or "none", float(since)) if since else None
 
 
 def numbered(store: Store, df: DataFrame, name: str, *order: str) -> DataFrame:

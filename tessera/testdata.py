@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import line_count
+from tessera.operators import term_index, vector_index
+from tessera.sources import places
 
 NATION, CUSTOMER, ORDER = 100, 1_000, 10_000_000_000
 
@@ -26,6 +28,30 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Indexes that this process has built, by application and folder of tables.
+_BUILT: dict[tuple, object] = {}
+
+
+def terms_of(spark: SparkSession, sf_dir: str) -> term_index.TermIndex:
+    """The entities' term index, built at its first use in a session."""
+    key = ("terms", spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        folder = places.fresh(spark, "terms")
+        term_index.build(entities(spark, sf_dir), f"{folder}/rows", f"{folder}/postings")
+        _BUILT[key] = term_index.TermIndex.at(spark, folder)
+    return _BUILT[key]
+
+
+def cells_of(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    """The vectors' cells, built at their first use in a session."""
+    key = ("cells", spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        folder = places.fresh(spark, "cells")
+        vector_index.build(vectors(spark, sf_dir), f"{folder}/vectors", f"{folder}/cells")
+        _BUILT[key] = vector_index.VectorIndex.at(spark, folder)
+    return _BUILT[key]
+
+
 ENT = """ent AS (SELECT 1::BIGINT AS project_id, doc_id AS entity_id, source AS entity_type, 'doc_' || doc_id AS name,
   source || '.' || lang || '.doc_' || doc_id AS qualified_name, source || '/' || lang || '/doc_' || doc_id || '.txt' AS file_path,
   text AS content, '{"lang": "' || lang || '", "n_chars": ' || n_chars || '}' AS metadata_json FROM documents)"""

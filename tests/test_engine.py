@@ -1,11 +1,18 @@
 import json
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import evaluation, graph
 from tessera.plans.engine import REFUSED, Engine
+from tessera.plans.providers import hash_embedder
 from tessera.schema import DomainError
 from tessera.sources import store as store_module
 from tessera.sources.files import scan
+from tessera.sources.log import FAN, RESPONSES, ResponseLog
 from tests import project
 
 
@@ -264,3 +271,118 @@ def test_snapshot_and_reports(engine, spark, tmp_path):
     assert store_module.render_report("T", [{"a": 1, "b": "x"}]) == "# T\n\n| a | b |\n|---|---|\n| 1 | x |\n"
     with pytest.raises(ValueError, match="dimension"):
         store_module.check_vectors(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "entity_id long, embedding array<double>"))
+
+
+def test_concurrent_catalog_changes_lose_nothing(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    with ThreadPoolExecutor(6) as pool:
+        made = list(pool.map(lambda i: Engine(spark, str(tmp_path / "store")).create_project(f"p{i}", f"/r{i}"), range(6)))
+    assert sorted(p["id"] for p in made) == [1, 2, 3, 4, 5, 6] and len(e.list_projects()) == 6
+    assert sorted(p["sort_order"] for p in e.list_projects()) == list(range(6))
+    jobs = [lambda: e.reorder_projects([6, 5, 4, 3, 2, 1]), lambda: e._update(3, status="ready"), lambda: e._update(4, status="failed")]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda f: f(), jobs))
+    assert [p["id"] for p in e.list_projects()] == [6, 5, 4, 3, 2, 1] and {p["id"]: p["status"] for p in e.list_projects()} | {3: "ready", 4: "failed"} == {p["id"]: p["status"] for p in e.list_projects()}
+    for i in range(1, 7):
+        e.delete_project(i)
+    assert e.list_projects() == [] and e.create_project("again", "/again")["id"] == 1
+
+
+def test_a_stale_lock_goes_to_one_waiter(spark, tmp_path, monkeypatch):
+    s = store_module.Store(spark, str(tmp_path))
+    store_module.marks.publish(spark, f"{tmp_path}/locks/7", f"old {time.time() - store_module.LEASE - 9}")
+    gate, won = threading.Barrier(4), []
+
+    def wait(i):
+        gate.wait()
+        try:
+            with s.scanning(7):
+                won.append(i)
+                time.sleep(1.5)
+        except DomainError as e:
+            assert e.code == "SCAN_ALREADY_RUNNING"
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(wait, range(4)))
+    assert len(won) == 1
+    # an owner whose lock was taken over meanwhile leaves its successor's alone
+    with s.scanning(7):
+        store_module.marks.drop_path(spark, f"{tmp_path}/locks/7")
+        store_module.marks.publish(spark, f"{tmp_path}/locks/7", f"other {time.time()}")
+    assert s._lock(f"{tmp_path}/locks/7")[0] == "other"
+    # a beat keeps a lock that is older than a lease
+    monkeypatch.setattr(store_module, "LEASE", 1.2)
+    with s.scanning(8):
+        time.sleep(2)
+        with pytest.raises(DomainError), s.scanning(8):
+            pass
+
+
+def test_a_log_numbers_rows_without_gaps(spark, tmp_path):
+    def writer(w):
+        log = ResponseLog(spark, str(tmp_path), "r1")
+        return [log.record(f"c{w}-{k // 3}", f"a{w}-{k}", "initial" if k % 3 == 0 else "repair", usage=(1, 2, 3), requested="m") for k in range(9)]
+
+    with ThreadPoolExecutor(4) as pool:
+        given = [x for some in pool.map(writer, range(4)) for x in some]
+    assert sorted(given) == list(range(1, 37))
+    log = ResponseLog(spark, str(tmp_path), "r1")
+    spark.range(3).write.parquet(f"{log.data}/torn")  # a writer that died before its mark
+    assert log.size() == 36 and log.segments() <= 2 * FAN
+    calls = log.calls()
+    assert evaluation.response_violations(calls).count() == 0
+    assert sorted(r.call_ordinal for r in calls.collect()) == list(range(1, 37))
+    slices = evaluation.case_responses(calls).collect()
+    assert {r.calls for r in slices} == {3} and len({r.case_id for r in slices}) == 12
+    assert all(r.phase == ("initial" if r.place == 1 else "repair") for r in slices)
+    table = spark.range(500).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("case_id"), (-F.col("id")).alias("at")).repartition(5)
+    names = [f.split()[0] for f in RESPONSES.split(", ")]
+    full = table.select("at", "case_id", *[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in RESPONSES.split(", ")[1:]])
+    assert names[0] == "case_id" and log.append_table(full, "at") == 37
+    assert [r.case_id for r in log.read(F.col("ordinal") > 36).orderBy("ordinal").limit(2).collect()] == ["t499", "t498"] and log.size() == 536
+
+
+def test_many_exchanges_leave_few_folders(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    one, two = e.create_project("a", "/a")["id"], e.create_project("b", "/b")["id"]
+    first = e.save_exchange(one, "q0", {"answer": "a0"})
+    for k in range(1, 20):
+        assert e.save_exchange(one, f"q{k}", {"answer": f"a{k}"}, first) == first
+    other = e.save_exchange(two, "x" * 99, {"answer": "y"})
+    assert other != first and e.conversation(two, other)["title"] == "x" * 80
+    talk = e.conversation(one, first)
+    assert [m["content"] for m in talk["messages"]] == [f"{c}{k}" for k in range(20) for c in "qa"]
+    assert e._messages(one).segments() <= 2 * FAN and len(list((tmp_path / "store/logs/messages-1/data").iterdir())) <= 4 * FAN
+    with pytest.raises(DomainError) as x:
+        e.conversation(two, first)
+    assert x.value.code == "CONVERSATION_PROJECT_MISMATCH"
+
+
+def test_one_failing_walk_leaves_the_others(engine, monkeypatch):
+    if not engine.vector_index_ready(1):
+        engine.build_vector_index(1)
+    real, bad = graph.graph_rag, engine.hybrid(1, "findById", 5).first().entity_id
+
+    def walk(nodes, edges, hits, *rest):
+        if bad in {r.entity_id for r in hits.collect()}:
+            raise RuntimeError("broken node")
+        return real(nodes, edges, hits, *rest)
+
+    monkeypatch.setattr(graph, "graph_rag", walk)
+    text, refs, notes = engine._evidence(1, "findById", 5, True)
+    assert notes[0].startswith("Graph relationship retrieval was unavailable")
+    assert bad in {r["entity_id"] for r in refs} and "Graph depth: 1" in text
+
+
+def test_named_embeddings_are_cached(spark, tree, tmp_path):
+    asked = []
+
+    def embed(texts):
+        asked.extend(texts)
+        return hash_embedder(8)(texts)
+
+    e = Engine(spark, str(tmp_path / "store"), embed=embed, embed_model="counting")
+    e.create_project("demo", str(tree))
+    e.scan_project(1)
+    n = e.build_vector_index(1)
+    assert n == e.build_vector_index(1) and e.store.read("embeddings-counting", "cache").count() <= n

@@ -152,9 +152,13 @@ def test_metrics_small(spark):
     got = [tuple(r) for r in df.select(metrics.recall(p, g, 3), metrics.reciprocal_rank(p, g), metrics.any_hit(p, g, 2), metrics.jaccard(p, g)).collect()]
     assert got == [(0.5, 1 / 3, 0.0, 0.25), (0.0, 0.0, 0.0, 0.0), (None, None, None, 0.0)]
     cases = [{"question_id": i, "task_type": "abc"[i % 3], "language": ["zh", "en"][i % 2], "answerable": i % 4 > 0, "difficulty": ["easy", "hard"][i % 2]} for i in range(12)]
-    assert len(metrics.stratified_subset(cases, 8)) == 8
+    table = spark.createDataFrame([tuple(c.values()) for c in cases], "question_id int, task_type string, language string, answerable boolean, difficulty string")
+    # by hand: 9 is hard, 8 has the other task, language and answerability, 7 the last task; then by rank alone
+    assert [r.question_id for r in metrics.stability_subset(table, 8).orderBy("place").collect()] == ["9", "8", "7", "5", "3", "11", "1", "4"]
     with pytest.raises(ValueError, match="subset"):
-        metrics.stratified_subset(cases, 20)
+        metrics.stability_subset(table, 20)
+    with pytest.raises(ValueError, match="strata"):
+        metrics.stability_subset(table, 1)
     answers = spark.createDataFrame([("I cannot answer that", "ok", []), ("fine", "error", []), ("fine", "ok", ["Evidence validation repair limit reached."]), ("fine", "ok", [])], "a string, s string, u array<string>")
     assert [r.r for r in answers.select(metrics.refused(F.col("a"), F.col("s"), F.col("u")).alias("r")).collect()] == [True, True, True, False]
 
@@ -249,6 +253,11 @@ def test_redaction_and_point_ids(spark):
     from tessera.functions import redaction
 
     assert [redaction.is_secret_key(k) for k in ("apiKey", "token", "accessToken", "token_count", "x-session-token", "name", "clientSecret")] == [True, True, True, False, True, False, True]
+    keys = ("apiKey", "api_key", "token", " Token ", "accessToken", "token_count", "x-session-token", "name", "clientSecret", "tokens_id", "my-Client-Secret-2", "", "ID_TOKEN", "identity token")
+    table = spark.createDataFrame([(k,) for k in keys], "k string").coalesce(1)
+    assert [r.s for r in table.select(redaction.secret_key(F.col("k")).alias("s")).collect()] == [redaction.is_secret_key(k) for k in keys]
+    assert redaction.clean_url("HTTPS://h?Key=1&b&c=x y#frag") == "https://h?b=&c=x+y#frag" and redaction.clean_url("no url: https://h") == "no url: https://h"
+    assert redaction.cleaned('[{"a": [{"secretKey": 1, "u": ["http://a@b/?token=1"]}]}, "http://c@d"]') == '[{"a": [{"u": ["http://b/"]}]}, "http://d"]'
     assert redaction.clean_url("https://u:p@h/x?key=1&a=2&api_key=3#token=z&b=1") == "https://h/x?a=2#b=1"
     df = spark.createDataFrame([('{"a": {"password": 1, "b": ["https://u@h/"]}}',), ("no",), (None,)], "t string")
     got = [r.c for r in df.select(redaction.clean_json("t").alias("c")).collect()]
