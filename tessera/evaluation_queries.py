@@ -8,6 +8,7 @@ from tessera import testdata as td
 from tessera.functions import scalars
 from tessera.operators import context, evaluation, graph, metrics, parsing, relations, stats
 from tessera.queries import query
+from tessera.sources import files, places
 from tessera.sources.store import snapshot
 
 # -- gold and predictions --
@@ -315,7 +316,7 @@ def _tree(spark, sf):
 
 
 def _indexed(spark, sf):
-    parsed = parsing.parse_files(_tree(spark, sf))
+    parsed = places.settled(parsing.parse_files(_tree(spark, sf)), "parsed")
     calls, warnings = parsing.resolve_requests(parsed.select(F.inline("requests")), *parsing.catalogs(parsed))
     entities = relations.last_of_each(parsed.select(F.inline("entities")).unionByName(calls).withColumn("ordinal", F.col("start_line"))).drop("ordinal")
     issues = warnings.unionByName(parsing.parse_errors(parsed))

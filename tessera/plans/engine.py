@@ -118,7 +118,13 @@ class Engine:
             return summary
 
     def _index(self, project_id: int, root: str) -> dict:
-        files, issues = scan(self.spark, root, project_id)
+        levels: list[DataFrame] = []
+
+        def settle(df: DataFrame) -> DataFrame:
+            levels.append(self.store.settle(df))
+            return levels[-1]
+
+        files, issues = scan(self.spark, root, project_id, settle=settle)
         files, issues = self.store.settle(files), self.store.settle(issues)
         parsed = self.store.settle(parsing.parse_files(files))
         requests = parsed.select(F.inline("requests"))
@@ -142,7 +148,7 @@ class Engine:
             },
             written=written,
         )
-        self.store.unsettle(files, issues, parsed, entities, edges)
+        self.store.unsettle(files, issues, parsed, entities, edges, *levels)
         read = [self.store.read(project_id, t) for t in ("files", "entities", "relations", "issues")]
         return stats.scan_summary(*read).first().asDict() | {"issues_indexed": read[3].count()}
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import IGNORED_FOLDERS, LANGUAGES, language_of, line_count
+from tessera.functions.scalars import IGNORED_FOLDERS, language_of, line_count
 from tessera.schema import DomainError
+from tessera.sources import places, tree
 
 MAX_BYTES = 2 << 20
 SNIFFED = 8192
@@ -21,54 +23,49 @@ MESSAGES = {
 }
 
 
-def local_links(root: str) -> list[str]:
-    """Symbolic links below a local root, as relative paths; other file systems have none to show."""
-    base = root.removeprefix("file://")
-    if "://" in root or not os.path.isdir(base):
-        return []
-    found = []
-    for folder, names, files in os.walk(base):
-        names[:] = [n for n in names if n not in IGNORED_FOLDERS]
-        found += [os.path.relpath(os.path.join(folder, n), base).replace(os.sep, "/") for n in [*names, *files] if os.path.islink(os.path.join(folder, n))]
-    return found
+def _elsewhere(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(listed files with content, links) of a root on a file system that tasks don't see as folders: Spark's reader lists it."""
+    plain = root.rstrip("/")
+    # a file that is listed but can't be read gives no row where its content is asked for
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    listed = reader.load(root).withColumn("file_path", F.substring("path", F.lit(len(plain) + 2), F.length("path"))).withColumn("language", language_of(F.col("file_path")))
+    folders = F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0)))
+    listed = listed.filter(~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in IGNORED_FOLDERS])))
+    return listed.select("file_path", "language", "length", "content"), spark.createDataFrame([], "file_path string")
 
 
-def scan(spark: SparkSession, root: str, project_id: int = 1, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(files, issues) of a tree: known suffixes outside ignored folders.
+def scan(spark: SparkSession, root: str, project_id: int = 1, max_bytes: int = MAX_BYTES, settle: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, issues) of a tree: known suffixes outside ignored folders, which are never opened.
 
-    Sizes are checked on the listing, so what is too large is never read.
+    Sizes are checked on the listing, so what is too large is never read.  The listing is settled by ``settle``
+    or in the session's shared folder.
     """
-    if "://" not in root and not os.path.isdir(root):
+    base = root.removeprefix("file://").rstrip("/") or "/"
+    local = "://" not in root or root.startswith("file://")
+    if local and not os.path.isdir(base):
         raise DomainError("INVALID_ROOT_PATH", f"{root} is not a folder.", 400)
-    links = local_links(root)
-    plain = root.removeprefix("file://").rstrip("/")
-    # a file that is listed but can't be read gives no row where its content is asked for
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    listed = reader.load(root)
-    relative = F.regexp_replace(F.col("path"), r"^[A-Za-z0-9+.-]+:/*(?=/)", "")
-    relative = F.substring(relative, F.lit(len(plain) + 2), F.length("path"))
-    rows = listed.withColumn("file_path", relative).withColumn("language", language_of(F.col("file_path")))
-    folders = F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0)))
-    rows = rows.filter(F.col("language").isNotNull() & ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in IGNORED_FOLDERS])))
-    if links:
-        linked = F.exists(F.array(*[F.lit(x) for x in links]), lambda x: (F.col("file_path") == x) | F.startswith(F.col("file_path"), F.concat(x, F.lit("/"))))
-        rows = rows.filter(~linked)
+    if local:
+        levels = tree.entries(spark, base, IGNORED_FOLDERS, settle or (lambda df: places.settled(df, "listing")))
+        rows = tree.all_of(levels, "file").withColumn("language", language_of(F.col("file_path")))
+        links = tree.all_of(levels, "link").select("file_path")
+    else:
+        rows, links = _elsewhere(spark, root)
+    rows = rows.filter(F.col("language").isNotNull())
     small = rows.filter(F.col("length") <= max_bytes)
     text = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
     head = F.substring(F.col("content"), 1, SNIFFED)
     reason = F.when(F.contains(head, F.lit(bytearray(b"\0"))), "BINARY_FILE").when(~F.is_valid_utf8(F.col("content").cast("string")), "DECODE_ERROR")
-    read = small.withColumn("reason_code", reason)
+    read = (tree.contents(small, base) if local else small).withColumn("reason_code", F.when(F.col("content").isNull(), "READ_ERROR").otherwise(reason))
     files = read.filter("reason_code is null").select(
         F.lit(project_id).cast("long").alias("project_id"), "file_path", "language", line_count(text).alias("line_count"),
         F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size_bytes"), text.alias("content"),
     )
-    checked = read.filter("content is not null").select("file_path", "reason_code")
-    unread = small.select("file_path").join(checked.select("file_path"), "file_path", "left_anti")
-    skipped = checked.filter("reason_code is not null").unionByName(unread.select("file_path", F.lit("READ_ERROR").alias("reason_code")))
+    skipped = read.filter("reason_code is not null").select("file_path", "reason_code")
+    if not local:  # a file that the reader gave up has no row
+        skipped = skipped.unionByName(small.select("file_path").join(read.filter("content is not null").select("file_path"), "file_path", "left_anti").select("file_path", F.lit("READ_ERROR").alias("reason_code")))
     skipped = skipped.unionByName(rows.filter(F.col("length") > max_bytes).select("file_path", F.lit("FILE_TOO_LARGE").alias("reason_code")))
-    known = [x for x in links if x.rsplit(".", 1)[-1].lower() in LANGUAGES]
-    if known:
-        skipped = skipped.unionByName(spark.createDataFrame([(x, "SYMLINK_FILE") for x in known], "file_path string, reason_code string"))
+    linked = links.filter(language_of(F.col("file_path")).isNotNull())
+    skipped = skipped.unionByName(linked.select("file_path", F.lit("SYMLINK_FILE").alias("reason_code")))
     message = F.element_at(F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv]), F.col("reason_code"))
     issues = skipped.select(F.lit(project_id).cast("long").alias("project_id"), "file_path", F.lit("skipped").alias("issue_type"), "reason_code", message.alias("message"))
     return files, issues

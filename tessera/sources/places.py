@@ -23,3 +23,10 @@ def shared_root(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, label: str) -> str:
     """A folder in the shared root that nothing else uses."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df, label: str):
+    """``df`` written in the shared root and read back, so that its branches don't compute it again."""
+    path = fresh(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

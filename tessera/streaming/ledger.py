@@ -7,8 +7,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.operators.events import append_new
 from tessera.sources.marks import names_in
 
 STATE = "started int, finished int, outcome string, latency double"
@@ -47,25 +47,53 @@ def counters(stream: DataFrame) -> DataFrame:
     )
 
 
+class _FirstOfKey(StatefulProcessor):
+    """Passes the first row of each key that was never seen; what is in the table at the first start counts as seen."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "at boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        if not self.seen.exists():
+            for some in rows:
+                if len(some):
+                    self.seen.update((True,))
+                    yield some.head(1)
+                    return
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
     """A query that appends rows whose keys aren't in ``path`` yet; replayed batches add nothing.
 
-    Each micro-batch of a checkpoint has a folder of its own, ``batch=<checkpoint>-<id>``, which a replay
-    overwrites; whether there is anything yet is asked of the file system, so a read that fails is an
-    error and not an empty table.
+    The keys are state of the query, in RocksDB, so a micro-batch looks up its own keys and nothing else however long the
+    history is.  A new checkpoint takes the table's keys as its first state, once; one query at a time
+    appends to a table.  Each micro-batch has a folder of its own, ``batch=<checkpoint>-<id>``, which a replay overwrites.
     """
     spark = stream.sparkSession
-    shape = stream.schema
     own = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    there = names_in(spark, path)
+    if any(x.startswith(f"batch={own}-") for x in there):  # this query's own keys are in its checkpoint
+        there = [x for x in there if not x.startswith(f"batch={own}-")]
+    found = [f"{path}/{x}" for x in there if x.startswith("batch=")]
+    known = spark.read.schema(stream.schema).parquet(*found) if found else spark.createDataFrame([], stream.schema)
+    new = stream.groupBy(*keys).transformWithStateInPandas(
+        _FirstOfKey(), outputStructType=stream.schema, outputMode="append", timeMode="none", initialState=known.select(*keys).distinct().groupBy(*keys)
+    )
 
     def write(batch: DataFrame, number: int) -> None:
-        there = spark.createDataFrame([], shape)
-        others = [x for x in names_in(spark, path) if x.startswith("batch=") and x != f"batch={own}-{number}"]
-        if others:
-            there = spark.read.schema(shape).parquet(*[f"{path}/{x}" for x in others])
-        append_new(there, batch, keys).write.mode("overwrite").parquet(f"{path}/batch={own}-{number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={own}-{number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
 
 
 def windowed_counts(stream: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -6,11 +6,14 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import IGNORED_FOLDERS
 from tessera.operators import evaluation, graph
 from tessera.plans.engine import REFUSED, Engine
 from tessera.plans.providers import hash_embedder
 from tessera.schema import DomainError
+from tessera.sources import places
 from tessera.sources import store as store_module
+from tessera.sources import tree as tree_module
 from tessera.sources.files import scan
 from tessera.sources.log import FAN, RESPONSES, ResponseLog
 from tests import project
@@ -40,6 +43,24 @@ def test_scan_reads_and_skips(spark, tree):
         scan(spark, str(tree / "nowhere"))
 
 
+def test_ignored_folders_are_never_opened(spark, tmp_path):
+    for i in range(40):
+        folder = tmp_path / f"a{i % 3}" / f"b{i}" / "c"
+        folder.mkdir(parents=True)
+        (folder / "x.py").write_text("x = 1")
+        deep = folder / "node_modules" / "m" / "n"
+        deep.mkdir(parents=True)
+        (deep / "y.js").write_text("")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "build").write_text("a file of an ignored folder's name")
+    for at_once in (1000, 7):
+        levels = tree_module.entries(spark, str(tmp_path), IGNORED_FOLDERS, lambda df: places.settled(df, "listing"), at_once)
+        assert (len(levels) == 1) == (at_once == 1000)
+        assert tree_module.all_of(levels, "folder").count() == 1 + 3 + 40 + 40  # the root, a, b and c; nothing below node_modules
+        assert sorted(r.file_path for r in tree_module.all_of(levels, "file").collect()) == sorted([*(f"a{i % 3}/b{i}/c/x.py" for i in range(40)), "build"])
+        assert [r.file_path for r in tree_module.all_of(levels, "link").collect()] == ["loop"]
+
+
 def test_entities_of_every_kind(engine):
     rows = engine.entities(1).collect()
     by = {}
@@ -195,9 +216,8 @@ def test_numbers_follow_the_order(spark, tmp_path):
 def test_file_that_cannot_be_read_is_a_row(spark, tmp_path):
     for name in ("a.py", "b.py"):
         (tmp_path / name).write_text("x = 1\n")
-    # a checksum that doesn't fit: the file is listed, and reading it fails
-    (tmp_path / ".b.py.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + bytes(4))
     files, issues = scan(spark, str(tmp_path))
+    (tmp_path / "b.py").unlink()  # listed, and gone when it is read
     assert [r.file_path for r in files.collect()] == ["a.py"]
     assert [(r.file_path, r.reason_code) for r in issues.collect()] == [("b.py", "READ_ERROR")]
 
