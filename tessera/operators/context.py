@@ -152,7 +152,27 @@ def grounded_files(planned: DataFrame, evidence: DataFrame) -> tuple[DataFrame,
     return kept, planned.join(known, keys, "left_anti")
 
 
+#: Lines of a bin in which ranges of one file meet.
+BIN_LINES = 512
+
+
 def range_supported(cited: DataFrame, gold: DataFrame) -> DataFrame:
-    """Cited ranges (file_path, start_line, end_line) that overlap a gold range of the same file."""
-    g = gold.select(F.col("file_path").alias("g_path"), F.col("start_line").alias("g_start"), F.col("end_line").alias("g_end"))
-    return cited.join(g, (cited["file_path"] == g["g_path"]) & (cited["start_line"] <= g["g_end"]) & (cited["end_line"] >= g["g_start"]), "left_semi")
+    """Cited ranges (file_path, start_line, end_line) that overlap a gold range of the same file.
+
+    Of the gold ranges that begin up to a cited range's end, the one that ends last decides.  So gold ranges lie in
+    the bin of their first line and cited ones in that of their last: inside a bin a running maximum along the lines
+    finds that end, and of the bins before one number each is enough.  No two ranges are paired, and a file with very
+    many is spread over its bins.  Ranges without a path or a line overlap nothing.
+    """
+    place = lambda c: F.floor(F.col(c) / BIN_LINES)
+    row = F.struct(*[F.col(f"`{c}`") for c in cited.columns])
+    asked = cited.filter(F.col("start_line").isNotNull()).select(F.col("file_path").alias("path"), F.col("end_line").cast("long").alias("line"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"), row.alias("row"))
+    given = gold.groupBy(F.col("file_path").alias("path"), F.col("start_line").cast("long").alias("line")).agg(F.max(F.col("end_line").cast("long")).alias("end"))
+    given = given.select("path", "line", F.lit(0).alias("kind"), "end", F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    both = given.unionByName(asked).filter(F.col("path").isNotNull() & F.col("line").isNotNull()).withColumn("bin", place("line"))
+    bins = both.groupBy("path", "bin").agg(F.max("end").alias("most"))
+    before = Window.partitionBy("path").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("path", "bin", F.max("most").over(before).alias("before"))
+    inside = Window.partitionBy("path", "bin").orderBy("line", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("within", F.max("end").over(inside)).filter("kind = 1").join(bins, ["path", "bin"])
+    return found.filter(F.greatest("within", "before") >= F.col("row.start_line")).select("row.*")

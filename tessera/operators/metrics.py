@@ -133,6 +133,48 @@ def bootstrap(deltas: DataFrame, draws: DataFrame) -> DataFrame:
     return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg((F.col("mean") >= -TOLERANCE).cast("double")).alias("not_worse"))
 
 
+#: Different deltas that one task draws for.
+DRAWN_TOGETHER = 50_000
+
+
+def bootstrap_by_groups(deltas: DataFrame, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
+    """:func:`bootstrap` of any number of items: its row of low, high and not_worse, over items (delta; null ones are left out).
+
+    A resample's mean depends on how often each different delta is drawn, and those counts are multinomial.  So items with one
+    delta are a group, groups are dealt to buckets, and each iteration draws first how many of the n draws fall to
+    each bucket and then, in the bucket's task, to each of its groups.  Both come from a counter-based generator under the
+    seed, the iteration and the bucket, so every task agrees on the first without a shuffle and a lost task is
+    repeated exactly.  Work follows the different deltas, not the items.
+    """
+    spark = deltas.sparkSession
+    groups = deltas.filter(F.col("delta").isNotNull()).groupBy(F.col("delta").cast("double").alias("delta")).agg(F.count("*").alias("n"))
+    wide = -(-groups.count() // DRAWN_TOGETHER)
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("delta"), F.lit(max(1, wide))).cast("int"))
+    sizes = {r["bucket"]: r["n"] for r in groups.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # one row a bucket
+    if not sizes:
+        return spark.createDataFrame([], "low double, high double, not_worse double")
+    order, total = sorted(sizes), sum(sizes.values())
+
+    def draw(rows):
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values("delta")
+        bucket, own = int(rows["bucket"].iloc[0]), sizes[int(rows["bucket"].iloc[0])]
+        share, values = rows["n"].to_numpy() / own, rows["delta"].to_numpy()
+        first, at = np.array([sizes[b] for b in order]) / total, order.index(bucket)
+        sums = np.empty(iterations)
+        for i in range(iterations):
+            mine = np.random.Generator(np.random.Philox(key=[seed, 0], counter=[0, 0, i, 0])).multinomial(total, first)[at] if len(order) > 1 else total
+            counts = np.random.Generator(np.random.Philox(key=[seed, bucket + 1], counter=[0, 0, i, 0])).multinomial(mine, share)
+            sums[i] = counts @ values
+        return pd.DataFrame({"iteration": np.arange(iterations), "part": sums})
+
+    parts = groups.groupBy("bucket").applyInPandas(draw, "iteration long, part double")
+    means = parts.groupBy("iteration").agg((F.sum("part") / total).alias("mean"))
+    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg((F.col("mean") >= -TOLERANCE).cast("double")).alias("not_worse"))
+
+
 def leave_one_out(rows: DataFrame) -> DataFrame:
     """Per omitted item and variant the mean of the others (item, variant, value): sums less the item's own."""
     w = Window.partitionBy("variant")

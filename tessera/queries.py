@@ -586,6 +586,25 @@ def evidence_range_overlap(spark, sf):
     return context.range_supported(b, p).select("id", F.col("file_path").alias("file"), F.col("start_line").alias("first"))
 
 
+@query(
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 2 AS file, l_partkey * 7 % 100000 AS a, l_partkey * 7 % 100000 + l_quantity::INT % 9 AS b, l_returnflag = 'R' AS gold FROM lineitem),
+m AS (SELECT file, a, max(max(b)) OVER (PARTITION BY file ORDER BY a) AS most FROM r WHERE gold GROUP BY file, a)
+SELECT l_orderkey, l_linenumber FROM (SELECT * FROM r WHERE NOT gold) c ASOF JOIN m ON c.file = m.file AND c.b >= m.a WHERE most >= c.a"""
+)
+def evidence_range_overlap_hot(spark, sf):
+    """All lineitems as ranges of two files."""
+    first = F.col("l_partkey") * 7 % 100000
+    r = td.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_partkey") % 2).alias("file_path"), first.alias("start_line"), (first + F.col("l_quantity").cast("int") % 9).alias("end_line"))
+    gold = F.col("l_returnflag") == "R"
+    return context.range_supported(r.filter(~gold), r.filter(gold)).select("l_orderkey", "l_linenumber")
+
+
+@query()
+def bootstrap_ci_groups(spark, sf):
+    """Discounts of all lineitems against their mean as deltas: resampled by groups of equal ones (no SQL twin: a counter-based generator)."""
+    return metrics.bootstrap_by_groups(td.table(spark, sf, "lineitem").select((F.col("l_discount") - 0.05).alias("delta")))
+
+
 @query("SELECT doc_id, (doc_id % 9 NOT IN (1, 2, 3)) OR (doc_id % 4 NOT IN (1, 2, 3)) AS bad_citation, doc_id % 5 NOT IN (0, 1) OR doc_id % 30 > 20 AS bad_path FROM documents")
 def evidence_validation(spark, sf):
     i = F.col("doc_id")

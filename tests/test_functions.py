@@ -304,3 +304,31 @@ def test_snapshot_rules_and_manifests(spark):
     good = {"repo_id": "a", "url": "https://h/x", "commit_sha": "a" * 40, "status": "verified", "file_count": 1, "line_count": 2, "license": "MIT", "language": "java"}
     assert validate.manifest_errors({"repositories": [good]}) == []
     assert len(validate.manifest_errors({"repositories": [good, {**good, "url": "x", "commit_sha": "", "file_count": None}]})) == 4
+
+
+def test_ranges_overlap_without_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    some = lambda n, odd: [(i, r.choice("abc"), s := r.randint(0, 3000), s + r.choice((0, 3, 700, -2))) for i in range(n)] + odd
+    cited, gold = some(400, [(900, None, 1, 2), (901, "a", None, 5), (902, "a", 5, None), (903, "zz", 1, 9)]), some(60, [(0, None, 1, 2), (0, "a", None, 9), (0, "a", 3, None)])
+    schema = "id int, file_path string, start_line int, end_line int"
+    got = context.range_supported(spark.createDataFrame([*cited, cited[0]], schema), spark.createDataFrame(gold, schema))
+    known = lambda *x: None not in x
+    want = [c for c in [*cited, cited[0]] if any(known(*c, *g) and c[1] == g[1] and c[2] <= g[3] and c[3] >= g[2] for g in gold)]
+    assert got.columns == ["id", "file_path", "start_line", "end_line"] and sorted(map(tuple, got.collect())) == sorted(want)
+    one = spark.range(100_000).select(F.col("id"), F.lit("f").alias("file_path"), (F.col("id") * 3).alias("start_line"), (F.col("id") * 3 + 1).alias("end_line"))
+    assert context.range_supported(one, one.filter("id % 2 = 0")).count() == 50_000
+
+
+def test_bootstrap_by_groups_agrees_with_the_exploded_form(spark, monkeypatch):
+    items = spark.range(300).select(F.col("id").alias("item"), ((F.col("id") % 7 - 2.9) / 10).alias("delta"))
+    want = metrics.bootstrap(items, metrics.hashed_draws(spark, 300, 4000)).first()
+    for together in (metrics.DRAWN_TOGETHER, 2):
+        monkeypatch.setattr(metrics, "DRAWN_TOGETHER", together)
+        got = metrics.bootstrap_by_groups(items, 4000)
+        assert tuple(got.first()) == tuple(metrics.bootstrap_by_groups(items, 4000).first())
+        assert all(abs(a - b) < 0.003 for a, b in zip(tuple(got.first())[:2], tuple(want)[:2], strict=True)) and abs(got.first()[2] - want[2]) < 0.03
+    large = metrics.bootstrap_by_groups(spark.range(1_000_000).select((F.col("id") % 11 - 4).alias("delta")), 2000).first()
+    assert abs(large.low - (1 - 1.96 * 10**0.5 / 1000)) < 0.001 and abs(large.high - (1 + 1.96 * 10**0.5 / 1000)) < 0.001 and large.not_worse == 1.0
+    assert metrics.bootstrap_by_groups(items.limit(0)).count() == 0
