@@ -46,7 +46,7 @@ def masks(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame
     """part, good, toxic and mask of every document; the fifth bit is that a smaller id has the same text."""
     text = body(F.col("text"))
     seen = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), failures(text).alias("mask"), F.sha2(text.cast("binary"), 256).alias("digest")
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(shared.col(part).cast("string"), F.lit("")).alias("part"), failures(text).alias("mask"), F.sha2(text.cast("binary"), 256).alias("digest")
     )
     seen = shared.settle(seen, "failures")
     # texts that stand once need no partner; of the others one row each is joined, so hot texts can be split

@@ -70,8 +70,8 @@ def sets_of(value: np.ndarray, word_off: np.ndarray, n: int) -> tuple[np.ndarray
     for i in np.flatnonzero((count > 0) & (count < n)):
         low, high = word_off[i], word_off[i + 1]
         x = np.uint64(0x51 + high - low)
-        for w in value[low:high]:
-            x = mix(np.array([x + w], dtype=np.uint64))[0]
+        for k in range(low, high):
+            x = mix(value[k : k + 1] + x)[0]
         code[low], stop[i] = x, low + 1
     return code, stop
 
@@ -455,4 +455,4 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     kept = docs.withColumn(key, row_key()).join(shared.few(gone.withColumnRenamed("key", key)), key, "left_anti")
     if found.groupBy("key").count().filter("count > 1").head(1):
         kept = kept.dropDuplicates([key])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[shared.col(c) for c in docs.columns])

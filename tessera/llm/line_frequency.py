@@ -172,5 +172,5 @@ def clean_documents(docs: DataFrame, host: str = "source", **limits) -> DataFram
         F.max(base_failed() | F.col("depleted")).alias(reject), F.first("bad_lines").alias(bad)
     )
     joined = docs.withColumn(key, _keyed(docs, host)[0]).join(verdict.hint("shuffle_hash"), key, "left")
-    kept = joined.filter(~F.coalesce(F.col(reject), F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns], bad)
+    kept = joined.filter(~F.coalesce(F.col(reject), F.lit(False))).select(*[shared.col(c) for c in docs.columns], bad)
     return kept.mapInArrow(_strip, kept.schema).drop(bad)

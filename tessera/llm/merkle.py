@@ -77,7 +77,7 @@ def fingerprint(docs: DataFrame, names: tuple[str, str, str] = ("fingerprint", "
     taken = shared.unused(docs.columns, *names)
     top, sections, leaves = taken
     out = docs.withColumn(leaves, leaf_digests(F.col("text")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], root(F.col(leaves)).alias(top), section_strings(F.col(leaves)).alias(sections), leaves)
+    return out.select(*[shared.col(c) for c in docs.columns], root(F.col(leaves)).alias(top), section_strings(F.col(leaves)).alias(sections), leaves)
 
 
 def edits(pairs: DataFrame, key: str) -> DataFrame:
@@ -86,7 +86,7 @@ def edits(pairs: DataFrame, key: str) -> DataFrame:
     ``pairs`` has a row for each ``key`` with columns text and other.  Equal roots and, below them, equal sections
     end the search; paragraphs of the others become rows, so that a very long text is no single row's array.
     """
-    name = F.col(f"`{key}`")
+    name = shared.col(key)
     trees = pairs.select(name.alias("key"), F.col("text"), leaf_digests(F.col("text")).alias("mine"), leaf_digests(F.col("other")).alias("theirs"))
     trees = trees.filter(F.array_join("mine", "") != F.array_join("theirs", ""))
     trees = trees.withColumn("missing", F.array_except(section_strings(F.col("mine")), section_strings(F.col("theirs"))))

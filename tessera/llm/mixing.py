@@ -62,7 +62,7 @@ def rates(docs: DataFrame, source: str = "source", weights: DataFrame | None = N
 def replicate(docs: DataFrame, rate: DataFrame, source: str = "source", doc_id: str = "doc_id", seed: str = SEED, shuffle: bool = True, names: tuple[str, str, str] = ("copies", "copy", "shuffle_key")) -> DataFrame:
     """``docs``, each row as often as it drew, with the columns ``names``: copies drawn, number of the copy (from 1) and shuffle key."""
     many, number, order = names
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    docs = docs.select(*[shared.col(c) for c in docs.columns if c not in names])
     own, split, below, drawn = shared.unused([*docs.columns, *names], "own_source", "parts", "below", "drawn")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     table = rate.select(F.col("source").alias(own), parts.alias(split), cumulative(F.col("rate") / parts).alias(below))

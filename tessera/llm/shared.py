@@ -7,9 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.marks import drop_path, names_in, path_exists, publish, read_text
@@ -20,8 +21,8 @@ __all__ = ["drop_path", "names_in", "path_exists", "publish", "read_text"]
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 
-#: Folders that settle() has written in this process and nobody has dropped.
-_SETTLED: list[str] = []
+#: Folders that settle() has written in the innermost :func:`scratch` of this thread of work and nobody has dropped.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +54,8 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
-    _SETTLED.append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return out
 
 
@@ -61,19 +63,29 @@ def discard(*frames: DataFrame) -> None:
     """Remove the folders of settled frames that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_settled", None)
-        if path in _SETTLED:
-            _SETTLED.remove(path)
+        if path is not None:
+            df._settled = None
+            if path in (scope := _SCOPE.get() or []):
+                scope.remove(path)
             drop_path(df.sparkSession, path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes what was settled inside; only what was written elsewhere stays."""
-    before = set(_SETTLED)
-    yield
-    for path in [x for x in _SETTLED if x not in before]:
-        _SETTLED.remove(path)
-        drop_path(spark, path)
+    """Removes what this thread settled inside, also where that fails; other threads' folders stay."""
+    own: list[str] = []
+    before = _SCOPE.set(own)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+        for path in own:
+            drop_path(spark, path)
+
+
+def col(name: str) -> Column:
+    """A column by its name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def unused(columns: list[str], *names: str) -> list[str]:

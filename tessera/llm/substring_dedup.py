@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import shared
 from .automaton import SuffixAutomaton
@@ -214,8 +215,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = MOST_WORDS
     return spans.groupBy("row_key").agg(F.collect_set("span").alias("spans"))
 
 
-def _cut(with_text: bool, names: tuple[str, ...]):
-    """The last two columns are the row's key and spans."""
+def _cut(passed: list[str]):
+    """The columns ``passed`` with the text cut, and the counts and digest; the last column has the row's spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
@@ -245,9 +246,9 @@ def _cut(with_text: bool, names: tuple[str, ...]):
                     pieces.append(raw[at : start[low + a]])
                     at = int(end[low + b - 1])
                 texts[i] = b"".join([*pieces, raw[at : offsets[i + 1]]]).decode()
-            own = [(f, c) for f, c in zip(part.schema, part.columns[:-2], strict=False) if f.name not in names and (with_text or f.name != "text")]
-            columns = [pa.array(texts, f.type) if f.name == "text" else c for f, c in own]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], [*(f.name for f, _ in own), *names])
+            at = {f.name: i for i, f in enumerate(part.schema)}
+            columns = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(at[c]) for c in passed]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], [*passed, "n", "gone", "digest"])
 
     return run
 
@@ -256,11 +257,14 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     """``docs`` with repeated windows' words cut out of ``text``, and the columns ``names``: words, removed words and digest.
 
     The digest is that of the kept words joined by one blank.  Without ``with_text`` the text is left out.
-    Columns of ``docs`` that have one of the ``names`` are replaced, all others pass through.
+    Columns of ``docs`` that have one of the ``names``, in whatever case, are replaced, all others pass through.
     """
     key, own = shared.unused(docs.columns, "row_key", "spans")
     spans = repeated_spans(docs, window, most).select(F.col("row_key").alias(key), F.col("spans").alias(own))
     joined = docs.withColumn(key, row_key()).join(spans.hint("shuffle_hash"), key, "left")
-    kept = [f for f in docs.schema.fields if f.name not in names and (with_text or f.name != "text")]
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{n}` {t}" for n, t in zip(names, ("long", "long", "string"), strict=True))])
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], key, own).mapInArrow(_cut(with_text, names), kinds)
+    # plain names inside, as PySpark can't hand every name to a worker
+    plain = {f"c{i}" if f.name != "text" else "text": f for i, f in enumerate(docs.schema.fields)}
+    kept = {p: f for p, f in plain.items() if f.name.lower() not in {n.lower() for n in names} and (with_text or p != "text")}
+    kinds = StructType([*(StructField(p, f.dataType) for p, f in kept.items()), StructField("n", LongType()), StructField("gone", LongType()), StructField("digest", StringType())])
+    sent = joined.select(*[shared.col(f.name).alias(p) for p, f in plain.items()], F.col(key).alias("key"), F.col(own).alias("spans"))
+    return sent.mapInArrow(_cut(list(kept)), kinds).toDF(*(f.name for f in kept.values()), *names)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import threading
 import zlib
 from fractions import Fraction
 from itertools import permutations
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit, merkle, periodic_runs, queries, tandem
+from tessera.llm import filter_audit, merkle, periodic_runs, queries, shared, substring_dedup, tandem
 from tests.llm.brute import WORD
 
 SF = "/root/testdata/sf0.001"
@@ -277,3 +278,38 @@ def test_fingerprint_query_over_a_whole_table(spark):
         assert (x.near_edited, x.near_next) == (plain_near(text, edited), plain_near(text, after))
     near = [x.near_edited for x in got.values()]
     assert sum(near) / len(near) > 0.4 and sum(x.near_next for x in got.values()) / len(near) < 0.05
+
+
+# -- shared folders and names --
+
+
+def test_scratch_removes_its_own_thread_s_folders_only(spark):
+    seen = {}
+
+    def other():
+        seen["other"] = shared.settle(spark.range(3), "other")
+
+    with shared.scratch(spark):
+        seen["mine"] = shared.settle(spark.range(3), "mine")
+        worker = threading.Thread(target=other)
+        worker.start()
+        worker.join()
+    assert not shared.path_exists(spark, seen["mine"]._settled) and seen["other"].count() == 3
+    with pytest.raises(RuntimeError), shared.scratch(spark):
+        seen["failed"] = shared.settle(spark.range(3), "failed")
+        raise RuntimeError
+    assert not shared.path_exists(spark, seen["failed"]._settled)
+    with shared.scratch(spark):
+        with shared.scratch(spark):
+            inner = shared.settle(spark.range(1), "inner")
+        kept = shared.settle(spark.range(1), "kept")
+        assert not shared.path_exists(spark, inner._settled) and kept.count() == 1
+
+
+def test_repeated_passages_with_names_of_any_case_and_sign(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 5, "x"), (2, text + " end", 6, "y"), (3, None, None, None)], "doc_id long, text string, N_Words int, `od``d na.me` string")
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeated(docs).collect()}
+    assert list(got[1].asDict()) == ["doc_id", "text", "od`d na.me", "n_words", "n_removed", "kept_sha256"]
+    assert (got[1]["n_words"], got[1]["n_removed"], got[2]["n_words"], got[2]["n_removed"], got[2]["od`d na.me"]) == (40, 40, 41, 40, "y")
+    assert got[3]["n_words"] == 0 and got[2]["text"].strip() == "end"
