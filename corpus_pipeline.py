@@ -28,7 +28,7 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs``; n_chars follows the text."""
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+    return docs.select(*[shared.col(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = tuple(shared.unused(docs.columns, "copies", "copy", "shuffle_key"))
     mixed = mixing.replicate(docs, mixing.rates(docs), names=names)
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed.select(*[shared.col(c) for c in docs.columns])
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
