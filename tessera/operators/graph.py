@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.adjacency import Adjacency
 from tessera.schema import CHAIN_TYPES, DomainError
 
 MAX_DEPTH = 2
@@ -24,22 +25,27 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH, relation_types: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def traverse(nodes: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, depth: int = MAX_DEPTH, relation_types: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(seed_id, entity_id, depth) and (seed_id, relation_id) of a breadth-first walk from each seed.
 
+    ``edges`` is a table or an :class:`adjacency.Adjacency`, whose edges aren't shuffled.
+
     Edges are followed either way.  An edge belongs to the result once both its ends are known after
     the level that looked at it, so edges between two nodes of the last level don't.
     """
     if not 0 <= depth <= MAX_DEPTH:
         raise ValueError("depth must be 0, 1 or 2")
-    if relation_types is not None:
-        edges = edges.filter(F.col("relation_type").isin(*relation_types))
-    around = both_ways(edges).join(nodes.select(F.col("entity_id").alias("other")), "other", "left_semi")
+    if isinstance(edges, Adjacency):
+        step = lambda frontier: edges.step(frontier, relation_types)
+    else:
+        own = edges if relation_types is None else edges.filter(F.col("relation_type").isin(*relation_types))
+        around = both_ways(own).join(nodes.select(F.col("entity_id").alias("other")), "other", "left_semi")
+        step = lambda frontier: frontier.join(around, "at")
     known = seeds.select("seed_id", F.col("seed_id").alias("entity_id"), F.lit(0).alias("depth"))
     frontier = known
     looked = None
     for level in range(1, depth + 1):
-        seen = frontier.select("seed_id", F.col("entity_id").alias("at")).join(around, "at").select("seed_id", F.col("other").alias("entity_id"), "relation_id")
+        seen = step(frontier.select("seed_id", F.col("entity_id").alias("at"))).select("seed_id", F.col("other").alias("entity_id"), "relation_id")
         looked = seen if looked is None else looked.unionByName(seen)
         new = seen.select("seed_id", "entity_id").distinct().join(known, ["seed_id", "entity_id"], "left_anti").withColumn("depth", F.lit(level))
         known = known.unionByName(new)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tessera import schema
 from tessera.functions.api_path import normalize_api_path
 from tessera.functions.scalars import CHANGE_WORDS, TRACE_WORDS
-from tessera.operators import context, graph, parsing, relations, search, stats, term_index, vector_index
+from tessera.operators import adjacency, context, graph, parsing, relations, search, stats, term_index, vector_index
+from tessera.operators.adjacency import Adjacency
 from tessera.plans.providers import Complete, Embed, embed_chunks, embed_with_cache, hash_embedder, rewrite_query
 from tessera.schema import DomainError
 from tessera.sources.files import scan
@@ -138,6 +139,8 @@ class Engine:
         folder = self.store.folder(project_id)
         written = {t: f"{folder}/{t}" for t in ("term_rows", "term_postings")}
         term_index.build(entities.withColumnRenamed("id", "entity_id").select(*search.HIT, "project_id"), *written.values())
+        written["adjacency"] = f"{folder}/adjacency"
+        adjacency.build(self.spark, entities.withColumnRenamed("id", "entity_id"), edges.withColumnRenamed("id", "relation_id"), written["adjacency"]).close()
         names = ["project_id", "id", *(x.split()[0] for x in schema.ENTITY.split(", "))]
         extra = warnings.unionByName(parsing.parse_errors(parsed)).withColumn("project_id", F.lit(project_id).cast("long"))
         self.store.publish(
@@ -156,6 +159,11 @@ class Engine:
         self.project(project_id)
         return self.store.read(project_id, table)
 
+    def _walkable(self, project_id: int) -> Adjacency:
+        """The project's edges from both ends, by node."""
+        self.project(project_id)
+        return Adjacency.at(self.spark, self.store.path(project_id, "adjacency"))
+
     def entities(self, project_id: int) -> DataFrame:
         return self._read(project_id, "entities").withColumnRenamed("id", "entity_id")
 
@@ -254,20 +262,20 @@ class Engine:
         seeds = graph.api_matches(apis, method, normalize_api_path(path)).select(F.col("entity_id").alias("seed_id"), F.col("entity_id").alias("place"))
         if not seeds.head(1):
             raise DomainError("API_NOT_FOUND", f"{method.upper()} {path} is not indexed.", 404)
-        return graph.merge(graph.traverse(entities, self.edges(project_id), seeds, 2, schema.CHAIN_TYPES), seeds)
+        return graph.merge(graph.traverse(entities, self._walkable(project_id), seeds, 2, schema.CHAIN_TYPES), seeds)
 
     def related(self, project_id: int, entity_id: int, depth: int = 1) -> tuple[DataFrame, DataFrame]:
         entities = self.entities(project_id)
         graph.require_entity(entities, entity_id)
         seed = self.spark.createDataFrame([(entity_id,)], "seed_id long")
-        return graph.traverse(entities, self.edges(project_id), seed, depth)
+        return graph.traverse(entities, self._walkable(project_id), seed, depth)
 
     def search_chain(self, project_id: int, query: str, limit: int = 5, max_depth: int = 2) -> tuple[DataFrame, DataFrame]:
         if not 1 <= limit <= 20 or not 1 <= max_depth <= 2:
             raise ValueError("limit must be 1 to 20 and depth 1 or 2")
         hits = [r.entity_id for r in self.hybrid(project_id, query, limit).select("entity_id").collect()]
         seeds = self.spark.createDataFrame(list(enumerate(dict.fromkeys(hits))), "place long, seed_id long").select("seed_id", "place")
-        return graph.merge(graph.traverse(self.entities(project_id), self.edges(project_id), seeds, max_depth), seeds)
+        return graph.merge(graph.traverse(self.entities(project_id), self._walkable(project_id), seeds, max_depth), seeds)
 
     # -- answers --
 

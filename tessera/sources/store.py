@@ -95,6 +95,10 @@ class Store:
             raise DomainError("PROJECT_NOT_SCANNED", f"Project {project} has no {table}.", 409)
         return self.spark.read.parquet(*tables[table])
 
+    def path(self, project, table: str) -> str:
+        """The one folder of a table that was written before it was published."""
+        return self._tables(project, self.version(project))[table][0]
+
     def settle(self, df: DataFrame) -> DataFrame:
         """``df`` written below the root and read back; :meth:`unsettle` removes it."""
         path = f"{self.root}/work/{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import search, term_index, vector_index
+from tessera.operators import adjacency, graph, search, term_index, vector_index
 
 SCHEMA = "entity_id long, entity_type string, name string, qualified_name string, file_path string, start_line int, end_line int, content string, metadata_json string"
 
@@ -110,3 +110,41 @@ def test_cells_of_few_vectors(spark, tmp_path):
         vector_index.build(table, str(tmp_path / name / "vectors"), str(tmp_path / name / "cells"))
         index = vector_index.VectorIndex.at(spark, str(tmp_path / name))
         assert found(index.search([1.0, 1.0], 5)) == found(search.vector_search(table, [1.0, 1.0], 5))
+
+
+# -- adjacency --
+
+
+def walks(nodes, edges, seeds, types=None):
+    nodes, edges = graph.traverse(nodes, edges, seeds, 2, types)
+    return sorted(map(tuple, nodes.collect())), sorted(map(tuple, edges.collect()))
+
+
+def test_walks_over_the_layout_are_the_walks_over_edges(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, r.randrange(200), r.randrange(210), r.choice("AB"), 1.0) for i in range(500)] + [(1000 + i, 7, i % 150, "A", 0.5) for i in range(300)] + [(5000, 3, 3, "A", 1.0), (5001, 3, 4, "A", 1.0), (5002, 3, 4, "A", 1.0)]
+    edges = spark.createDataFrame(rows, "relation_id long, source_id long, target_id long, relation_type string, confidence double")
+    nodes = spark.range(200).withColumnRenamed("id", "entity_id")
+    seeds = spark.createDataFrame([(3,), (7,), (150,)], "seed_id long")
+    for hub in (adjacency.HUB, 50):
+        layout = adjacency.build(spark, nodes, edges, f"file://{tmp_path}/hub{hub}", hub=hub)
+        assert (layout.hub_count > 0) == (hub == 50)
+        for types in (None, ["A"]):
+            assert walks(nodes, layout, seeds, types) == walks(nodes, edges, seeds, types)
+        again = adjacency.Adjacency(spark, layout.folder, layout.buckets, layout.hub_count)
+        assert walks(nodes, again, seeds) == walks(nodes, edges, seeds)
+
+
+def test_the_layout_is_joined_without_a_shuffle_of_edges(spark, tmp_path):
+    edges = spark.range(1000).select(F.col("id").alias("relation_id"), (F.col("id") % 50).alias("source_id"), (F.col("id") % 70).alias("target_id"), F.lit("A").alias("relation_type"), F.lit(1.0).alias("confidence"))
+    layout = adjacency.build(spark, spark.range(100).withColumnRenamed("id", "entity_id"), edges, f"file://{tmp_path}/layout", buckets=6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = layout.step(spark.range(40).select(F.col("id").alias("at"), F.lit(1).alias("seed_id")))
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert step.count() == edges.filter("source_id < 40").count() + edges.filter("target_id < 40").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    layout.close()
