@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import testdata as td
 from tessera.functions import scalars
-from tessera.operators import context, evaluation, graph, metrics, parsing, relations, stats
+from tessera.operators import context, evaluation, graph, json_schema, metrics, parsing, relations, stats
 from tessera.queries import query
 from tessera.sources import files, places
 from tessera.sources.store import snapshot
@@ -375,3 +375,27 @@ def stability_subset(spark, sf):
     hard = F.when(F.col("c_acctbal") > 8000, "hard").when(F.col("c_acctbal") > 4000, "medium").otherwise("easy")
     cases = c.select(F.col("c_custkey").alias("question_id"), F.col("c_mktsegment").alias("task_type"), (F.col("c_nationkey") % 5).alias("language"), (F.col("c_acctbal") > 0).alias("answerable"), hard.alias("difficulty"))
     return metrics.stability_subset(cases, 12)
+
+
+_EVENT_SCHEMA = {
+    "type": "object", "required": ["id", "kind"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 5}, "kind": {"enum": ["click", "view", "purchase"]}, "tags": {"type": "array", "items": {"type": "string", "maxLength": 5}},
+        "props": {"type": "object", "properties": {"k": {"type": "integer", "maximum": 90}}},
+    },
+}
+
+
+@query(
+    """SELECT event_id AS line, '$.id: below 5' AS error FROM events WHERE event_id < 5 UNION ALL SELECT event_id, '$.kind: required' FROM events WHERE event_id % 7 = 0
+UNION ALL SELECT event_id, '$.kind: ''' || event_type || ''' is not one of [''click'', ''view'', ''purchase'']' FROM events WHERE event_id % 7 <> 0 AND event_type NOT IN ('click', 'view', 'purchase')
+UNION ALL SELECT event_id, '$.tags[1]: longer than 5' FROM events WHERE length(event_type) > 5 UNION ALL SELECT event_id, '$.extra: not allowed' FROM events WHERE event_id % 11 = 0
+UNION ALL SELECT event_id, '$.props.k: above 90' FROM events WHERE regexp_extract(props, '([0-9]+)', 1)::INT > 90"""
+)
+def schema_violations(spark, sf):
+    """Events as JSON records against a schema, compiled to columns."""
+    e = F.col("event_id").cast("string")
+    kind = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit(', "kind": "'), "event_type", F.lit('"')))
+    extra = F.when(F.col("event_id") % 11 == 0, ', "extra": null').otherwise("")
+    text = F.concat(F.lit('{"id": '), e, kind, F.lit(', "tags": ["ok", "'), "event_type", F.lit('"], "props": '), "props", extra, F.lit("}"))
+    return json_schema.schema_errors(td.table(spark, sf, "events").select(F.col("event_id").alias("line"), text.alias("value")), _EVENT_SCHEMA)

@@ -212,13 +212,34 @@ def test_bootstrap_draws_as_often_as_the_reference(spark, tmp_path):
     assert got.not_worse == pytest.approx(sum(m >= -1e-12 for m in means) / 10_000, abs=1e-6)
 
 
-def test_schema_walk(spark):
-    schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"type": "string", "pattern": "^x", "maxLength": 2}}, "c": {"enum": [1, "y"]}}}
-    assert validate.check_schema({"a": 1, "b": ["x"], "c": "y"}, schema) == []
-    assert validate.check_schema({"a": True}, schema) == ["$.a: expected integer, got bool"]
-    assert validate.check_schema({"b": ["q", "xxx"], "z": 0, "c": 2, "a": 0}, schema) == ["$.z: not allowed", "$.b[0]: doesn't match ^x", "$.b[1]: longer than 2", "$.c: 2 is not one of [1, 'y']", "$.a: below 1"]
-    df = spark.createDataFrame([(1, '{"a": 2}'), (2, "{"), (3, "{}")], "line long, value string")
-    assert sorted((r.line, r.error) for r in validate.schema_errors(df, schema).collect()) == [(2, "$: not JSON"), (3, "$.a: required")]
+def test_compiled_schema_says_what_a_walk_says(spark):
+    import json
+    import random
+
+    from tessera.operators import json_schema
+    from tests.plain_schema import check_schema
+
+    deep = {"type": "array", "items": {"type": "object", "required": ["z"], "properties": {"z": {"type": "boolean"}}}}
+    schema = {
+        "type": "object", "required": ["a", "q"], "additionalProperties": False,
+        "properties": {
+            "a": {"type": "integer", "minimum": 1, "maximum": 9}, "b": {"type": "array", "items": {"type": ["string", "null"], "pattern": "^x", "minLength": 2, "maxLength": 3}},
+            "c": {"enum": [1, "y", None, True]}, "q": {"type": "object", "properties": {"n": {"type": "number", "maximum": 2.5}, "deep": deep}},
+        },
+    }
+    r = random.Random(1)
+    one = lambda: r.choice([0, 1, 5, 10, 1.5, 3.25, "x", "xx", "xyzw", "y", "q", None, True, False])
+    values = [5, [], None, "s", {"a": 2, "q": {}}, {"a": 2, "q": {"deep": [{"z": True}, {}, 4]}, "b": ["xx", None, "q", "xxxx"]}]
+    for _ in range(80):
+        pick = {"a": one(), "b": r.choice([one(), [one(), one()]]), "c": one(), "q": r.choice([one(), {"n": one(), "deep": [{"z": one()}, one()]}]), "w": one()}
+        values.append({k: pick[k] for k in r.sample(sorted(pick), r.randint(0, 5))})
+    got = {}
+    table = spark.createDataFrame([*enumerate(map(json.dumps, values)), (900, "{"), (901, None)], "line long, value string")
+    for x in json_schema.schema_errors(table, schema).collect():
+        got.setdefault(x.line, []).append(x.error)
+    assert got.pop(900) == got.pop(901) == ["$: not JSON"]
+    for i, v in enumerate(values):
+        assert sorted(got.get(i, [])) == sorted(check_schema(v, schema)), v
 
 
 def test_case_rules(spark):
