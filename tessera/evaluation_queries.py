@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import testdata as td
 from tessera.functions import scalars
-from tessera.operators import context, evaluation, graph, json_schema, metrics, parsing, relations, stats
+from tessera.operators import context, evaluation, graph, json_schema, metrics, parsing, relations, stats, validate
 from tessera.queries import query
 from tessera.sources import files, places
 from tessera.sources.store import snapshot
@@ -399,3 +399,28 @@ def schema_violations(spark, sf):
     extra = F.when(F.col("event_id") % 11 == 0, ', "extra": null').otherwise("")
     text = F.concat(F.lit('{"id": '), e, kind, F.lit(', "tags": ["ok", "'), "event_type", F.lit('"], "props": '), "props", extra, F.lit("}"))
     return json_schema.schema_errors(td.table(spark, sf, "events").select(F.col("event_id").alias("line"), text.alias("value")), _EVENT_SCHEMA)
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey AS k, 'r' || (s_suppkey % 95) AS id, CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN 'https://h/o/r/tree/main/x' ELSE 'https://h/o/r' END AS url,
+  CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 9 = 0 THEN 'abc' ELSE repeat('a', 40) END AS sha, ['candidate', 'selected', 'cloned', 'indexed', 'other'][(s_suppkey % 5 + 1)::INT] AS state,
+  CASE WHEN s_suppkey % 6 = 0 THEN NULL WHEN s_suppkey % 8 = 0 THEN 'AGPL-3.0' ELSE 'MIT' END AS license FROM supplier)
+SELECT 'clone_url_is_a_folder' AS rule, id AS key, '' AS detail FROM r WHERE url LIKE '%/tree/%' UNION ALL SELECT 'commit_sha_form', id, '' FROM r WHERE sha = 'abc' UNION ALL SELECT 'status_unknown', id, '' FROM r WHERE state = 'other'
+UNION ALL SELECT 'cloned_without_commit', id, '' FROM r WHERE state IN ('cloned', 'indexed') AND sha IS NULL UNION ALL SELECT 'verified_without_counts', id, '' FROM r WHERE k % 3 = 0 AND k % 2 = 0
+UNION ALL SELECT 'license_missing', id, '' FROM r WHERE url IS NOT NULL AND license IS NULL UNION ALL SELECT 'gpl_without_note', id, '' FROM r WHERE license LIKE '%GPL%' AND k % 16 = 0
+UNION ALL SELECT 'subdir_is_no_string', id, '' FROM r WHERE k % 11 = 0 UNION ALL SELECT 'workspace_missing', id, '' FROM r WHERE state IN ('cloned', 'indexed') AND k % 95 % 3 <> 0
+UNION ALL SELECT 'repo_id_repeated', id, count(*)::VARCHAR FROM r GROUP BY id HAVING count(*) > 1"""
+)
+def manifest_violations(spark, sf):
+    """Suppliers as a manifest's repositories."""
+    k, on = F.col("s_suppkey"), lambda n: F.col("s_suppkey") % n == 0
+    text = lambda x: F.lit(x).cast("string")
+    state = F.get(F.array(*[F.lit(x) for x in ("candidate", "selected", "cloned", "indexed", "other")]), (k % 5).cast("int"))
+    repos = td.table(spark, sf, "supplier").select(
+        F.concat(F.lit("r"), (k % 95).cast("string")).alias("repo_id"), F.when(on(10), text(None)).when(on(7), "https://h/o/r/tree/main/x").otherwise("https://h/o/r").alias("clone_url"),
+        F.when(on(4), text(None)).when(on(9), "abc").otherwise("a" * 40).alias("commit_sha"), state.alias("status"), on(3).alias("verified"), (~on(2)).alias("file_counts_verified"),
+        F.when(on(6), text(None)).when(on(8), "AGPL-3.0").otherwise("MIT").alias("license"), F.when(on(16), text(None)).otherwise("noted").alias("license_note"),
+        F.when(on(11), "5").otherwise('""').alias("repository_subdir"), text(None).alias("parent_repo"),
+    )
+    there = spark.range(0, 95, 3).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("repo_id"))
+    return validate.manifest_rules(repos, there)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -146,24 +146,58 @@ def recompute_answerability(cases: DataFrame) -> DataFrame:
     return out.withColumn("changes", changed).withColumn("chain_complete", F.col("new_chain")).withColumn("system_answerable", F.col("new_answer")).drop("new_chain", "new_answer")
 
 
-def manifest_errors(manifest: dict) -> list[str]:
-    """Errors of a manifest's repositories: ids, addresses, commits, states, counts and licences."""
-    import re
-
-    out, seen = [], set()
-    for i, repo in enumerate(manifest.get("repositories") or []):
-        name = repo.get("repo_id") or f"#{i}"
-        commit, state = str(repo.get("commit_sha") or ""), repo.get("status")
-        counts = [repo.get(k) for k in ("file_count", "line_count")]
-        rules = [
-            ("repo_id is missing", not repo.get("repo_id")), ("repo_id occurs twice", name in seen),
-            ("url is no https address", not re.fullmatch(r"https://[^\s/]+/\S+", str(repo.get("url") or ""))),
-            ("commit_sha is not 40 hex digits", bool(commit) and not re.fullmatch(r"[0-9a-f]{40}", commit)),
-            ("status is unknown", state not in ("planned", "cloned", "verified", "rejected")),
-            ("a cloned repository needs a commit", state in ("cloned", "verified") and not commit),
-            ("a verified repository needs its counts", state == "verified" and not all(isinstance(c, int) and not isinstance(c, bool) and c >= 0 for c in counts)),
-            ("license is missing", not repo.get("license")), ("language is missing", not repo.get("language")),
-        ]
-        out += [f"{name}: {text}" for text, bad in rules if bad]
-        seen.add(name)
-    return out
+# States of a manifest's repositories, those that have a clone, and addresses of a folder inside one.
+STATES = ("candidate", "selected", "cloned", "indexed")
+CLONED = ("cloned", "indexed")
+FOLDER_URL = r"/(?:tree|blob)/[^/]+/.+"
+SAMPLE = "sample-project"
+MANIFEST = "repo_id string, clone_url string, commit_sha string, status string, verified boolean, file_counts_verified boolean, license string, license_note string, repository_subdir string, parent_repo string"
+
+
+def manifest_table(spark: SparkSession, manifest: dict) -> DataFrame:
+    """A parsed manifest's repositories as rows; ``repository_subdir`` is the value's JSON, as its kind matters."""
+    import json
+
+    if not isinstance(repos := manifest.get("repositories", []), list):
+        raise ValueError("repositories must be a list")
+    text = lambda x: None if x is None else str(x)
+    flag = lambda x: x is True
+
+    def row(r: dict) -> tuple:
+        subdir = r.get("repository_subdir")
+        return (
+            text(r.get("repo_id")), text(r.get("clone_url")), text(r.get("commit_sha")), text(r.get("status")), flag(r.get("verified")), flag(r.get("file_counts_verified")),
+            text(r.get("license")), text(r.get("license_note")), None if subdir is None else json.dumps(subdir), text(r.get("parent_repo")),
+        )
+
+    return spark.createDataFrame([row(r) for r in repos], MANIFEST)
+
+
+def manifest_rules(repos: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:
+    """Violations of the rules of repositories (columns of ``MANIFEST``), all tested in one pass.
+
+    A repository without an address is a fixture, which needs no licence.  With ``workspaces`` (repo_id: the folders that are
+    there) a cloned repository needs one.
+    """
+    c = F.col
+    cloned, fixture = c("status").isin(*CLONED), c("clone_url").isNull()
+    no = lambda name: F.coalesce(c(name), F.lit("")) == ""
+    tests = {
+        "clone_url_is_a_folder": c("clone_url").rlike(FOLDER_URL),
+        "commit_sha_form": c("commit_sha").isNotNull() & ~c("commit_sha").rlike("^[0-9a-f]{40}$"),
+        "status_unknown": ~F.coalesce(c("status").isin(*STATES), F.lit(False)),
+        "cloned_without_commit": cloned & c("commit_sha").isNull(),
+        "verified_without_counts": c("verified") & ~F.coalesce(c("file_counts_verified"), F.lit(False)),
+        "license_missing": ~fixture & c("license").isNull(),
+        "gpl_without_note": F.contains(F.lower("license"), F.lit("gpl")) & no("license_note"),
+        "subdir_is_no_string": c("repository_subdir").isNotNull() & ~F.startswith(c("repository_subdir"), F.lit('"')),
+        "sample_without_parent": (c("repo_id") == SAMPLE) & no("parent_repo"),
+        "repo_id_missing": c("repo_id").isNull(),
+    }
+    known = repos
+    if workspaces is not None:
+        known = repos.join(workspaces.select("repo_id", F.lit(True).alias("there")).distinct(), "repo_id", "left")
+        tests["workspace_missing"] = cloned & c("there").isNull()
+    broken = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in tests.items()]), lambda x: x.isNotNull())
+    each = known.select(F.explode(broken).alias("rule"), F.coalesce(c("repo_id"), F.lit("<unknown>")).alias("key"), F.lit("").alias("detail"))
+    return each.unionByName(duplicates(repos.filter(c("repo_id").isNotNull()), "repo_id_repeated", "repo_id"))

@@ -322,9 +322,17 @@ def test_snapshot_rules_and_manifests(spark):
         assert (got.chain_complete, got.system_answerable) == want, kind
     plan = full.withColumn("task_type", F.lit("CHANGE_PLAN"))
     assert validate.recompute_answerability(plan).first().system_answerable == "partial"
-    good = {"repo_id": "a", "url": "https://h/x", "commit_sha": "a" * 40, "status": "verified", "file_count": 1, "line_count": 2, "license": "MIT", "language": "java"}
-    assert validate.manifest_errors({"repositories": [good]}) == []
-    assert len(validate.manifest_errors({"repositories": [good, {**good, "url": "x", "commit_sha": "", "file_count": None}]})) == 4
+    good = {"repo_id": "a", "clone_url": "https://x/y", "status": "indexed", "commit_sha": "0" * 40, "verified": True, "file_counts_verified": True, "license": "MIT", "repository_subdir": ""}
+    broken = lambda *repos: sorted((r.rule, r.key) for r in validate.manifest_rules(validate.manifest_table(spark, {"repositories": list(repos)})).collect())
+    assert broken(good) == []
+    bad = {**good, "clone_url": "https://x/y/tree/main/z", "commit_sha": None, "file_counts_verified": False, "license": "LGPL-3", "repository_subdir": 5}
+    assert broken(good, bad) == [("cloned_without_commit", "a"), ("clone_url_is_a_folder", "a"), ("gpl_without_note", "a"), ("repo_id_repeated", "a"), ("subdir_is_no_string", "a"), ("verified_without_counts", "a")]
+    assert broken({"repo_id": "sample-project", "status": "selected"}) == [("sample_without_parent", "sample-project")]
+    assert broken({"repo_id": "b", "clone_url": "u", "commit_sha": "F" * 40}) == [("commit_sha_form", "b"), ("license_missing", "b"), ("status_unknown", "b")]
+    there = spark.createDataFrame([("z",)], "repo_id string")
+    assert [r.rule for r in validate.manifest_rules(validate.manifest_table(spark, {"repositories": [good]}), there).collect()] == ["workspace_missing"]
+    with pytest.raises(ValueError, match="list"):
+        validate.manifest_table(spark, {"repositories": {}})
 
 
 def test_ranges_overlap_without_pairs(spark):
