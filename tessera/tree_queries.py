@@ -33,8 +33,10 @@ def _tree(spark, sf) -> str:
     """A folder for each document, written by tasks into the shared folder, once a session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TREES:
-        root = places.fresh(spark, "tree").removeprefix("file:")
-        root = "/" + root.lstrip("/")
+        root = places.fresh(spark, "tree")
+        if "://" in root and not root.startswith("file://"):
+            raise ValueError("a tree of files needs a shared folder that is mounted everywhere")
+        root = "/" + root.removeprefix("file:").lstrip("/")
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
