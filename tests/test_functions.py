@@ -326,7 +326,7 @@ def test_snapshot_rules_and_manifests(spark):
     broken = lambda *repos: sorted((r.rule, r.key) for r in validate.manifest_rules(validate.manifest_table(spark, {"repositories": list(repos)})).collect())
     assert broken(good) == []
     bad = {**good, "clone_url": "https://x/y/tree/main/z", "commit_sha": None, "file_counts_verified": False, "license": "LGPL-3", "repository_subdir": 5}
-    assert broken(good, bad) == [("cloned_without_commit", "a"), ("clone_url_is_a_folder", "a"), ("gpl_without_note", "a"), ("repo_id_repeated", "a"), ("subdir_is_no_string", "a"), ("verified_without_counts", "a")]
+    assert broken(good, bad) == [("clone_url_is_a_folder", "a"), ("cloned_without_commit", "a"), ("gpl_without_note", "a"), ("repo_id_repeated", "a"), ("subdir_is_no_string", "a"), ("verified_without_counts", "a")]
     assert broken({"repo_id": "sample-project", "status": "selected"}) == [("sample_without_parent", "sample-project")]
     assert broken({"repo_id": "b", "clone_url": "u", "commit_sha": "F" * 40}) == [("commit_sha_form", "b"), ("license_missing", "b"), ("status_unknown", "b")]
     there = spark.createDataFrame([("z",)], "repo_id string")
