@@ -151,7 +151,7 @@ def test_the_layout_is_joined_without_a_shuffle_of_edges(spark, tmp_path):
     layout.close()
 
 
-SEARCHES = ["lex_path_term", "lex_single_term", "lex_literal_wildcards", "lex_multi_term", "lex_project_isolation"]
+SEARCHES = ["lex_path_term", "lex_single_term", "lex_literal_wildcards", "lex_multi_term", "lex_project_isolation", "hybrid_rrf", "hybrid_weighted", "hybrid_weight_sweep", "hybrid_branch_diagnostics", "hybrid_degraded_keyword"]
 
 
 def test_one_search_builds_no_index(spark, monkeypatch):
