@@ -26,7 +26,7 @@ def lexical_top(entities: DataFrame, terms: Sequence[str], limit: int = 10, digi
     return top(scored.select(*[F.col(f"`{c}`") for c in entities.columns], "score"), limit).filter("score > 0")
 
 
-def keyword_search(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def keyword_search(entities: DataFrame, query: str, limit: int = 10, digits: int | None = None) -> DataFrame:
     """Entities that match, scored; a structured query falls back to its parts only if nothing has it whole."""
     terms = parse_terms(query)
     if not terms:
@@ -34,10 +34,12 @@ def keyword_search(entities: DataFrame, query: str, limit: int = 10) -> DataFram
     if not terms:
         return entities.withColumn("score", F.lit(0.0)).limit(0)
     if len(terms) == 1 or terms[0] != fold(query.strip()):
-        return lexical_top(entities, terms, limit)
+        return lexical_top(entities, terms, limit, digits)
     # both scores in one pass: rows that have the query whole come first, so the others go if there is one
     scored = term_scores(entities, terms).withColumn("whole", F.col("term_0") > 0)
     scored = scored.withColumn("score", F.when(F.col("whole"), F.col("term_0")).otherwise(lexical_score(terms[1:], 1)))
+    if digits is not None:
+        scored = scored.withColumn("score", F.round("score", digits))
     best = scored.select(*[F.col(f"`{c}`") for c in entities.columns], "score", "whole").orderBy(F.desc("whole"), F.desc("score"), "entity_id").limit(limit)
     found = best.withColumn("found", F.max("whole").over(Window.partitionBy()))
     return found.filter((F.col("whole") == F.col("found")) & (F.col("score") > 0)).drop("whole", "found")

@@ -151,7 +151,7 @@ def test_the_layout_is_joined_without_a_shuffle_of_edges(spark, tmp_path):
     layout.close()
 
 
-SEARCHES = ["lex_path_term", "lex_single_term", "lex_literal_wildcards", "lex_multi_term", "lex_project_isolation", "hybrid_rrf", "hybrid_weighted", "hybrid_weight_sweep", "hybrid_branch_diagnostics", "hybrid_degraded_keyword"]
+SEARCHES = ["lex_path_term", "lex_single_term", "lex_literal_wildcards", "lex_multi_term", "lex_project_isolation", "hybrid_rrf", "hybrid_weighted", "hybrid_weight_sweep", "hybrid_branch_diagnostics", "hybrid_degraded_keyword", "lex_structured_complete", "lex_structured_fallback"]
 
 
 def test_one_search_builds_no_index(spark, monkeypatch):
@@ -162,3 +162,10 @@ def test_one_search_builds_no_index(spark, monkeypatch):
     monkeypatch.setattr(testdata, "_BUILT", {})
     for name in SEARCHES:
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").head(1), name
+
+
+def test_a_scan_rounds_before_it_orders(spark):
+    table = spark.createDataFrame(some_entities(), SCHEMA)
+    for query in ("order the code find", "nowhere.order"):
+        every = sorted(((-round(s, 2), i) for i, s in found(search.keyword_search(table, query, 1000))))
+        assert [(-s, i) for i, s in found(search.keyword_search(table, query, 20, 2))] == every[:20]
