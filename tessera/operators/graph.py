@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.adjacency import Adjacency
 from tessera.schema import CHAIN_TYPES, DomainError
+from tessera.sources import places
 
 MAX_DEPTH = 2
 MAX_RESULTS = 30
@@ -25,10 +26,22 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def traverse(nodes: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, depth: int = MAX_DEPTH, relation_types: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _neighbours(nodes: DataFrame, edges: DataFrame, frontier: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``frontier`` (at and more columns, settled) with the edges at its nodes whose other end is known: other, relation_id.
+
+    Both tables are met by what is settled, whose size Spark knows: a small one is broadcast, and no edge or node is shuffled
+    or sorted but those found.
+    """
+    seen = settle(frontier.join(both_ways(edges), "at"))
+    ends = settle(nodes.select(F.col("entity_id").alias("other")).join(seen.select("other").distinct(), "other", "left_semi").distinct())
+    return seen.join(ends, "other", "left_semi")
+
+
+def traverse(nodes: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, depth: int = MAX_DEPTH, relation_types: Sequence[str] | None = None, settle: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(seed_id, entity_id, depth) and (seed_id, relation_id) of a breadth-first walk from each seed.
 
-    ``edges`` is a table or an :class:`adjacency.Adjacency`, whose edges aren't shuffled.
+    ``edges`` is a table or an :class:`adjacency.Adjacency`, whose edges aren't shuffled.  Over a table, seeds and each
+    level are settled by ``settle`` or in the session's shared folder.
 
     Edges are followed either way.  An edge belongs to the result once both its ends are known after
     the level that looked at it, so edges between two nodes of the last level don't.
@@ -36,18 +49,19 @@ def traverse(nodes: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, d
     if not 0 <= depth <= MAX_DEPTH:
         raise ValueError("depth must be 0, 1 or 2")
     if isinstance(edges, Adjacency):
+        settle = lambda df: df
         step = lambda frontier: edges.step(frontier, relation_types)
     else:
+        settle = settle or (lambda df: places.settled(df, "walk"))
         own = edges if relation_types is None else edges.filter(F.col("relation_type").isin(*relation_types))
-        around = both_ways(own).join(nodes.select(F.col("entity_id").alias("other")), "other", "left_semi")
-        step = lambda frontier: frontier.join(around, "at")
-    known = seeds.select("seed_id", F.col("seed_id").alias("entity_id"), F.lit(0).alias("depth"))
+        step = lambda frontier: _neighbours(nodes, own, frontier, settle)
+    known = settle(seeds.select("seed_id", F.col("seed_id").alias("entity_id"), F.lit(0).alias("depth")))
     frontier = known
     looked = None
     for level in range(1, depth + 1):
         seen = step(frontier.select("seed_id", F.col("entity_id").alias("at"))).select("seed_id", F.col("other").alias("entity_id"), "relation_id")
         looked = seen if looked is None else looked.unionByName(seen)
-        new = seen.select("seed_id", "entity_id").distinct().join(known, ["seed_id", "entity_id"], "left_anti").withColumn("depth", F.lit(level))
+        new = settle(seen.select("seed_id", "entity_id").distinct().join(known, ["seed_id", "entity_id"], "left_anti").withColumn("depth", F.lit(level)))
         known = known.unionByName(new)
         frontier = new
     if looked is None:

@@ -136,6 +136,33 @@ def test_walks_over_the_layout_are_the_walks_over_edges(spark, tmp_path):
         assert walks(nodes, again, seeds) == walks(nodes, edges, seeds)
 
 
+def test_a_walk_over_edges_sorts_none_of_them(spark, tmp_path):
+    n, before = 2_000_000, spark.conf.get("spark.sql.adaptive.enabled")
+    edges = spark.range(n).select(F.col("id").alias("relation_id"), F.col("id").alias("source_id"), (F.col("id") % 1000 + n).alias("target_id"), F.lit("A").alias("relation_type"), F.lit(1.0).alias("confidence"))
+    nodes, seeds = spark.range(n + 900).withColumnRenamed("id", "entity_id"), spark.createDataFrame([(5,), (950,)], "seed_id long")
+    edges.write.parquet(f"{tmp_path}/edges")
+    nodes.write.parquet(f"{tmp_path}/nodes")
+    tables = [spark.read.parquet(f"{tmp_path}/{t}") for t in ("nodes", "edges")]
+    plans = []
+
+    def settle(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = f"{tmp_path}/level{len(plans)}"
+        df.write.parquet(out)
+        return spark.read.parquet(out)
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found, looked = graph.traverse(*tables, seeds, 2, settle=settle)
+        # 950's neighbour is no node
+        assert found.filter("seed_id = 5").groupBy("depth").count().orderBy("depth").collect() == [(0, 1), (1, 1), (2, n // 1000 - 1)]
+        assert found.filter("seed_id = 950").collect() == [(950, 950, 0)] and looked.count() == n // 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    reading = [p for p in plans if "/edges" in p or "/nodes" in p]
+    assert len(reading) == 4 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in reading)
+
+
 def test_the_layout_is_joined_without_a_shuffle_of_edges(spark, tmp_path):
     edges = spark.range(1000).select(F.col("id").alias("relation_id"), (F.col("id") % 50).alias("source_id"), (F.col("id") % 70).alias("target_id"), F.lit("A").alias("relation_type"), F.lit(1.0).alias("confidence"))
     layout = adjacency.build(spark, spark.range(100).withColumnRenamed("id", "entity_id"), edges, f"file://{tmp_path}/layout", buckets=6)
