@@ -1,7 +1,8 @@
 """Listing and reading a folder tree in tasks: a frontier of folders, level by level, ignored ones never opened.
 
-A task opens the folders that it is given and those below them until it has opened ``AT_ONCE``; what is left is the
-next frontier, dealt anew.  So a small tree is one job, and a large one spreads over all tasks however uneven it is.
+A task opens all folders of the frontier that it is given and up to ``AT_ONCE`` for each batch of those found below them; the
+others found are the next frontier, dealt anew.  So a small tree is one job, a large one spreads over all tasks however uneven
+it is, and no folder waits for more rounds than the tree has levels.
 Symbolic links are rows of their own and never followed.  Executors see the tree under the same path.
 """
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders that a task opens before it hands the rest on, rows of a batch, and bytes of file contents in a batch.
+#: Folders found in a batch that a task opens itself, rows of a batch, and bytes of file contents in a batch.
 AT_ONCE, BATCH, CONTENT = 500, 10_000, 8 << 20
 ENTRY = "file_path string, kind string, length long"
 _NAMES = ["file_path", "kind", "length"]
@@ -45,18 +46,16 @@ def _open(base: str, folder: str, ignored: frozenset[str]) -> Iterator[tuple[str
 
 def _walk(base: str, ignored: frozenset[str], at_once: int):
     def rows(folders: list[str]) -> Iterator[tuple[str, str, int | None]]:
-        opened = 0
-        while folders and opened < at_once:
+        found = 0
+        while folders:
             folder = folders.pop()
-            opened += 1
             yield folder, "folder", None
             for row in _open(base, folder, ignored):
-                if row[1] == "ahead":
+                if row[1] == "ahead" and found < at_once:
+                    found += 1
                     folders.append(row[0])
                 else:
                     yield row
-        for folder in folders:
-            yield folder, "ahead", None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = lambda some: pa.RecordBatch.from_arrays([pa.array([_shown(r[0]) for r in some]), pa.array([r[1] for r in some]), pa.array([r[2] for r in some], pa.int64())], _NAMES)

@@ -61,6 +61,16 @@ def test_ignored_folders_are_never_opened(spark, tmp_path):
         assert [r.file_path for r in tree_module.all_of(levels, "link").collect()] == ["loop"]
 
 
+def test_rounds_of_a_listing_follow_depth_not_folders(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"b{i}" / "c").mkdir(parents=True)
+        (tmp_path / f"b{i}" / "c" / "x.py").write_text("x = 1")
+    levels = tree_module.entries(spark, str(tmp_path), IGNORED_FOLDERS, lambda df: places.settled(df, "listing"), 7)
+    assert len(levels) == 3
+    assert tree_module.all_of(levels, "folder").select("file_path").distinct().count() == tree_module.all_of(levels, "folder").count() == 1 + 2 * 300
+    assert tree_module.all_of(levels, "file").count() == 300
+
+
 def test_entities_of_every_kind(engine):
     rows = engine.entities(1).collect()
     by = {}
