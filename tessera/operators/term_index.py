@@ -14,9 +14,11 @@ query opens the folders of its grams and candidates alone, and in them the row g
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ BLOCK = 64
 GRAM = 3
 #: Slots of one folder of rows, and folders of postings.
 PART, SHARDS = 1 << 16, 64
+#: Characters of a text whose grams are looked at in one go.
+CHUNK = 1 << 20
 #: Candidates of a first read; each later one takes four times as many.
 FIRST_READ = 64
 #: Before a whole name stands this, which no folded text's gram begins with three of.
@@ -42,14 +46,48 @@ def grams_of(term: str) -> list[str]:
     return list(dict.fromkeys(term[i : i + size] for i in range(len(term) - size + 1)))
 
 
-def _grams(text: Column) -> Column:
-    """array<string>: different grams of one to three characters."""
-    # each list is bound once, by a lambda, as expressions are evaluated wherever they stand
-    bind = lambda value, use: F.get(F.transform(F.array(value), use), 0)
-    after = lambda chars, k: F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0)))
-    join = lambda a, b: F.filter(F.zip_with(a, b, lambda x, y: F.concat(x, y)), lambda g: g.isNotNull())
-    every = lambda chars: bind(join(chars, after(chars, 1)), lambda pairs: F.concat(chars, pairs, join(pairs, after(chars, 2))))
-    return F.array_distinct(bind(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), every))
+def _codes(text: str) -> np.ndarray:
+    """The different grams of one to three characters, each as one number: 21 bits a character, the first in the highest."""
+    found = np.empty(0, np.int64)
+    for low in range(0, len(text), CHUNK):
+        chars = np.frombuffer(text[low : low + CHUNK + GRAM - 1].encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+        own = chars << 42
+        parts = [own[:CHUNK]]
+        for k in range(1, GRAM):
+            own = own[:-1] | (chars[k:] << (42 - 21 * k))
+            parts.append(own[:CHUNK])
+        found = np.unique(np.concatenate([found, *parts]))
+    return found
+
+
+def _gram_of(code: int) -> str:
+    return "".join(chr(c - 1) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
+
+
+def _block_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (slot, folded fields) by gram and block; rows of a block that are no neighbours give several."""
+
+    def posted(block: int, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        codes = np.concatenate([c for _, _, c in held])
+        grams, place = np.unique(codes, return_inverse=True)
+        bits = np.zeros((len(FIELDS), len(grams)), np.uint64)
+        low = 0
+        for field, bit, own in held:  # the codes of one text differ, so none is met twice here
+            bits[field, place[low : low + len(own)]] |= np.uint64(1 << bit)
+            low += len(own)
+        columns = [pa.array([_gram_of(c) for c in grams.tolist()], pa.string()), pa.array(np.full(len(grams), block)), *(pa.array(b.view(np.int64)) for b in bits)]
+        return pa.RecordBatch.from_arrays(columns, ["gram", "block", *FIELDS])
+
+    for batch in batches:
+        at, held = None, []
+        for slot, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and slot // BLOCK != at:
+                yield posted(at, held)
+                held = []
+            at = slot // BLOCK
+            held += [(i, slot % BLOCK, _codes(t)) for i, t in enumerate(texts) if t]
+        if held:
+            yield posted(at, held)
 
 
 def slotted(entities: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -76,8 +114,8 @@ def slotted(entities: DataFrame, key: str = "entity_id") -> DataFrame:
 def build(entities: DataFrame, rows_path: str, postings_path: str, key: str = "entity_id") -> None:
     """Write the rows, with the folded fields that lower case alone doesn't give, and the postings of ``entities``.
 
-    Ids are unique.  One pass folds and writes the rows; the postings are one aggregation over them, whose
-    map side already joins the entities of a block.
+    Ids are unique.  One pass folds and writes the rows, sorted by slot; a second joins the entities of a block where
+    they are read, so that what is shuffled are postings, not the grams of each text.
     """
     spark = entities.sparkSession
     if not entities.head(1):  # a partitioned table of nothing has no file that keeps its columns
@@ -88,16 +126,13 @@ def build(entities: DataFrame, rows_path: str, postings_path: str, key: str = "e
     fields = folded(entities, *FIELDS)
     rest = [F.when(F.col(f"folded_{c}") != F.lower(F.coalesce(F.col(c), F.lit(""))), F.col(f"folded_{c}")).alias(f"rest_{c}") for c in FIELDS]
     rows = slotted(fields.select(*entities.columns, *rest), key).withColumn("part", F.floor(F.col("slot") / PART).cast("int"))
-    rows.repartitionByRange("part", "slot").sortWithinPartitions("part", "slot").write.partitionBy("part").option("parquet.block.size", 8 << 20).parquet(rows_path)
+    # a given number of ranges isn't put together again, so that the second pass has as many files to read
+    rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "slot").sortWithinPartitions("part", "slot").write.partitionBy("part").option("parquet.block.size", 8 << 20).parquet(rows_path)
     stored = _folded_again(spark.read.parquet(rows_path))
-    bit = F.expr(f"shiftleft(1L, int(slot % {BLOCK}))")
-    held = F.array(
-        *[F.struct(F.lit(i).alias("field"), _grams(F.col(f"folded_{c}")).alias("grams")) for i, c in enumerate(FIELDS)],
-        F.struct(F.lit(len(FIELDS)).alias("field"), F.array(F.concat(F.lit(_WHOLE), F.col("folded_name"))).alias("grams")),
-    )
-    spread = stored.select(F.floor(F.col("slot") / BLOCK).cast("long").alias("block"), bit.alias("bit"), F.inline(held)).select("block", "bit", "field", F.explode("grams").alias("gram"))
-    bits = lambda i: F.coalesce(F.bit_or(F.when(F.col("field") == i, F.col("bit"))), F.lit(0).cast("long"))
-    postings = spread.groupBy("gram", "block").agg(*[bits(i).alias(c) for i, c in enumerate((*FIELDS, "whole"))])
+    none = F.lit(0).cast("long")
+    parts = stored.select("slot", *[f"folded_{c}" for c in FIELDS]).mapInArrow(_block_postings, "gram string, block long, " + ", ".join(f"{c} long" for c in FIELDS)).withColumn("whole", none)
+    names = stored.select(F.concat(F.lit(_WHOLE), F.col("folded_name")).alias("gram"), F.floor(F.col("slot") / BLOCK).cast("long").alias("block"), *[none.alias(c) for c in FIELDS], F.expr(f"shiftleft(1L, int(slot % {BLOCK}))").alias("whole"))
+    postings = parts.unionByName(names).groupBy("gram", "block").agg(*[F.bit_or(c).alias(c) for c in (*FIELDS, "whole")])
     postings = postings.withColumn("shard", F.pmod(F.crc32(F.encode("gram", "UTF-8")), F.lit(SHARDS)).cast("int"))
     postings.repartitionByRange("shard", "gram", "block").sortWithinPartitions("shard", "gram", "block").write.partitionBy("shard").option("parquet.block.size", 4 << 20).parquet(postings_path)
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,19 @@ def test_common_terms_read_few_candidates(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in plan or "part#" in plan.split("PartitionFilters")[1][:60]
 
 
+def test_a_block_is_posted_where_it_is_read(spark, monkeypatch):
+    monkeypatch.setattr(term_index, "CHUNK", 5)
+    texts = ["", "a", "abab", "😀x\u0130\x00é", "the same old text, the same old text"]
+    for t in texts:
+        assert {term_index._gram_of(c) for c in term_index._codes(t).tolist()} == {t[i : i + k] for k in (1, 2, 3) for i in range(len(t) - k + 1)}
+    rows = [(s, *([texts[s % 5]] * 5)) for s in range(60, 140)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["slot", *term_index.FIELDS])
+    out = [r for b in term_index._block_postings(iter([batch])) for r in b.to_pylist()]
+    assert len(out) == len({(r["gram"], r["block"]) for r in out})  # 80 texts, and one row for a gram and block
+    for r in out:
+        assert {r["block"] * 64 + i for i in range(64) if r["content"] >> i & 1} == {s for s, *t in rows if s // 64 == r["block"] and r["gram"] in t[0]}
+
+
 def test_empty_term_index(spark, tmp_path):
     term_index.build(spark.createDataFrame([], SCHEMA), str(tmp_path / "rows"), str(tmp_path / "postings"))
     assert term_index.TermIndex.at(spark, str(tmp_path)).search("a", 3).count() == 0
